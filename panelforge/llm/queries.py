@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import language_id, line_dedup, pieces, quality_classifier, quality_rules, source_mix, toxicity
+from panelforge.llm import language_id, line_dedup, near_dup, pieces, quality_classifier, quality_rules, source_mix, top_k, toxicity, warc
 from panelforge.llm.common import fold, table
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.search(table(spark, sf_dir, "embeddings"), top_k.every())
+
+
 def _classified(spark, sf_dir, operator, of: int, out: int) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", of) != out)
@@ -20,6 +24,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, quality_classifier, 5, 0)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = language_id.fit(documents.where(fold("doc_id", 3) != 1))
@@ -40,6 +48,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.digest(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
     digest = F.sha2(F.col("decoded"), 256)
@@ -51,5 +63,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op4_language, op5_line_dedup, op6_source_mix, op7_toxicity, op9_pieces, op10_quality_rules)}
-SQL = {"op6_source_mix": source_mix.SQL}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_quality, op3_warc, op4_language, op5_line_dedup, op6_source_mix, op7_toxicity, op8_near_dup, op9_pieces, op10_quality_rules, pipeline)}
+SQL = {"op1_top_k": top_k.SQL, "op3_warc": warc.SQL, "op6_source_mix": source_mix.SQL}

@@ -122,24 +122,38 @@ def fit(documents: DataFrame, labels: DataFrame, column: str = "toxic", sample:
     return mean["term"].to_numpy(), mean["w"].to_numpy() / parts_of, mean[[f"v{f}" for f in range(factors)]].to_numpy() / parts_of, bias
 
 
+def _logit(text: str | None, ids: np.ndarray, w: np.ndarray, v: np.ndarray, bias: float) -> float:
+    t = terms(text)
+    if not len(ids) or not len(t):
+        return bias
+    at = np.searchsorted(ids, t)
+    at = at[ids[np.minimum(at, len(ids) - 1)] == t]
+    vv = v[at]
+    total = vv.sum(0)
+    return float(bias + w[at].sum() + 0.5 * (total @ total - (vv * vv).sum()))
+
+
 def score(documents: DataFrame, model: tuple, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted of every row."""
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    sent = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, w, v, bias = sent.value
         for b in batches:
-            out = np.full(b.num_rows, bias)
-            for i, text in enumerate(b.column(1)):
-                t = terms(text.as_py())
-                if len(ids) and len(t):
-                    at = np.searchsorted(ids, t)
-                    at = at[ids[np.minimum(at, len(ids) - 1)] == t]
-                    vv = v[at]
-                    total = vv.sum(0)
-                    out[i] += w[at].sum() + 0.5 * (total @ total - (vv * vv).sum())
-            p = _sigmoid(out)
+            p = _sigmoid(np.array([_logit(x.as_py(), *sent.value) for x in b.column(1)], float))
             yield pa.record_batch([b.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     kind = dict(documents.dtypes)["doc_id"]
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+
+
+def keep(documents: DataFrame, model: tuple, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of documents, unchanged, that score below the threshold: no join."""
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = _sigmoid(np.array([_logit(x.as_py(), *sent.value) for x in b.column(at)], float))
+            yield b.filter(pa.array(p < threshold))
+
+    return documents.mapInArrow(run, documents.schema)
