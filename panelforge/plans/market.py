@@ -89,7 +89,7 @@ def g4(spark, d):
     return signals.single_asset_reversion(views.market(spark, d), VOL)
 
 
-PAIRS = (("Brand#11", "Brand#12"), ("Brand#21", "Brand#22"), ("Brand#31", "Brand#45"), ("Brand#51", "Brand#55"))
+PAIRS = (("Brand#11", "Brand#12"), ("Brand#21", "Brand#22"), ("Brand#3", "Brand#14"), ("Brand#5", "Brand#25"))
 _PAIRED = f"SELECT p.a, p.b, x.date, ln(x.close) AS la, ln(y.close) AS lb FROM (SELECT unnest({[a for a, _ in PAIRS]}) AS a, unnest({[b for _, b in PAIRS]}) AS b) p JOIN panel x ON x.ticker = p.a JOIN panel y ON y.ticker = p.b AND y.date = x.date"
 _BY = "PARTITION BY a, b ORDER BY date"
 _RATIO = f"SELECT *, CASE WHEN count(la + lb) OVER {window(26, 'a, b')} >= 26 THEN covar_samp(la, lb) OVER {window(26, 'a, b')} / nullif(var_samp(lb) OVER {window(26, 'a, b')}, 0) END AS ratio FROM paired"
@@ -239,7 +239,7 @@ def b4(spark, d):
     return account.with_liquidity(views.market(spark, d), COSTS)
 
 
-@query("b5_participation_cap", "date:k ticker:k cap:f", f"SELECT date, ticker, CASE WHEN 0.05 * adv * close / {COSTS.capital!r} > 0 THEN 0.05 * adv * close / {COSTS.capital!r} END AS cap FROM liq")
+@query("b5_participation_cap", "date:k ticker:k cap:f", f"SELECT date, ticker, CASE WHEN 0.05 * adv * close / {COSTS.capital!r} > 0 THEN 0.05 * adv * close / {COSTS.capital!r} END AS cap FROM liq", digits=9)
 def b5(spark, d):
     return account.with_liquidity(views.market(spark, d), COSTS).withColumn("cap", account.participation_cap(F.col("close"), F.col("adv"), COSTS.capital, 0.05))
 
@@ -369,7 +369,7 @@ def b16(spark, d):
     """SELECT book, gs AS gross_sharpe, CASE WHEN gs > 0 THEN th END AS threshold,
   CASE WHEN gs IS NULL OR gs <= 0 OR c IS NULL THEN NULL WHEN x0 IS NULL THEN c ELSE pow(10, log10(x0) + coalesce((th - y0) / nullif(y1 - y0, 0), 0) * (log10(c) - log10(x0))) END AS capacity,
   CASE WHEN gs IS NULL OR gs <= 0 THEN 'frictionless Sharpe not positive' WHEN c IS NULL THEN 'above the threshold throughout' WHEN x0 IS NULL THEN 'below the threshold from the first' ELSE '' END AS note
-FROM (SELECT b.book, any_value(b.gs) AS gs, any_value(b.gs) * 0.5 AS th, min(s.capital) AS c, min_by(s.x0, s.capital) AS x0, min_by(s.y0, s.capital) AS y0, min_by(s.net_sharpe, s.capital) AS y1
+FROM (SELECT b.book, any_value(b.gs) AS gs, any_value(b.gs) * 0.5 AS th, min(s.capital) AS c, nullif(min_by(coalesce(s.x0, -1), s.capital), -1) AS x0, min_by(coalesce(s.y0, 0), s.capital) AS y0, min_by(s.net_sharpe, s.capital) AS y1
   FROM (SELECT book, any_value(gross_sharpe) AS gs FROM sweep GROUP BY 1) b LEFT JOIN (SELECT *, lag(capital) OVER (PARTITION BY book ORDER BY capital) AS x0, lag(net_sharpe) OVER (PARTITION BY book ORDER BY capital) AS y0 FROM sweep) s ON s.book = b.book AND s.net_sharpe < 0.5 * b.gs GROUP BY 1)""",
     digits=4, swept=_SWEPT, sweep=_SWEEP,
 )
@@ -663,7 +663,7 @@ def p18(spark, d):
     return performance.bootstrap_report(views.daily(spark, d), 0.95, 20, 10, 7, PERIODS)
 
 
-ROLES = {"market": "Brand#11", "small": "Brand#23", "value": "Brand#34", "growth": "Brand#45"}
+ROLES = {"market": "Brand#11", "small": "Brand#23", "value": "Brand#4", "growth": "Brand#15"}
 _FACTORS = "SELECT date, m AS mkt, s - m AS smb, v - g AS hml FROM (SELECT date, " + ", ".join(f"max(CASE WHEN ticker = '{t}' THEN r END) AS {k[0]}" for k, t in ROLES.items()) + " FROM rets GROUP BY 1)"
 
 

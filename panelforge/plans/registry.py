@@ -3,23 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelforge.operators import account, signals
-from panelforge.plans import market, views
+from panelforge.plans import market, quotes, views
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Momentum over monthly bars: date, ret of the lagged book."""
     m = views.market(spark, sf_dir, "month")
     w = signals.cross_sectional_momentum(m, 12, 1, 0.2, 1)
-    from pyspark.sql import functions as F
-
     return views.rounded(account.account(w.withColumn("book", F.lit("mom")), m).select("date", "ret", "turnover", "equity"))
 
 
 def queries() -> dict:
-    return {**market.QUERIES}
+    return {**market.QUERIES, **quotes.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**market.SQL}
+    return {**market.SQL, **quotes.SQL}

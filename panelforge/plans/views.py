@@ -82,17 +82,20 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("underlying"), F.col("p_retailprice").cast("double").alias("spot"))
     days = F.explode(F.array(*(F.lit(d) for d in DAYS))).alias("days")
     money = F.posexplode(F.array(*(F.lit(m) for m in MONEYNESS))).alias("mi", "m")
-    at = parts.select("*", days).select("*", money).select("*", F.explode(F.array(F.lit("call"), F.lit("put"))).alias("option_type"))
+    at = parts.select("*", days).select("*", money)
     at = at.withColumn("defect", F.col("underlying") % 10).where("NOT (defect = 5 AND days = 365 AND mi > 2)")
     at = at.withColumn("as_of", F.to_date(F.lit("1998-01-02"))).withColumn("expiry", F.date_add("as_of", F.col("days")))
     at = at.withColumn("tte", F.when((F.col("defect") == 4) & (F.col("days") == 30), F.lit(-5.0)).otherwise(F.col("days").cast("double")) / 365)
     at = at.withColumn("strike", F.round(F.col("spot") * F.exp("m"), 4))
     k = F.ln(F.col("strike") / F.col("spot")) - RATE * F.col("tte")
-    vol = 0.20 + 0.1 * k * k - 0.05 * k + 0.01 * F.col("tte")
     bent = F.when((F.col("defect") == 6) & (F.col("mi") == 4), 1.3).when((F.col("defect") == 7) & (F.col("days") == 365), 0.5).otherwise(1.0)
-    at = at.withColumn("true_vol", vol * bent)
-    value = options.price(F.col("spot"), F.col("strike"), F.col("tte"), F.col("true_vol"), F.col("option_type") == "call", RATE)
-    at = at.withColumn("fair", value).withColumn("half", 0.02 + 0.01 * F.col("fair"))
+    at = at.withColumn("_k", k).withColumn("true_vol", (0.20 + 0.1 * F.col("_k") * F.col("_k") - 0.05 * F.col("_k") + 0.01 * F.col("tte")) * bent)
+    for kind in ("call", "put"):
+        at = options.with_price(at, *(F.col(c) for c in ("spot", "strike", "tte", "true_vol")), F.lit(kind == "call"), RATE, out=kind)
+    # the two sides become rows last: later filters on prices then stay above the pricing
+    sides = F.array(*(F.struct(F.lit(kind).alias("option_type"), F.col(kind).alias("fair")) for kind in ("call", "put")))
+    at = at.select("underlying", "as_of", "spot", "expiry", "tte", "strike", "true_vol", "mi", "defect", F.explode(sides).alias("side")).select("*", "side.option_type", "side.fair")
+    at = at.withColumn("half", 0.02 + 0.01 * F.col("fair"))
     zero, crossed, wide = ((F.col("defect") == d) & (F.col("mi") == 0) for d in (1, 2, 3))
     bid = F.when(zero, 0.0).when(crossed, F.col("fair") + 1).when(wide, F.col("fair") * 0.4).otherwise(F.col("fair") - F.col("half"))
     ask = F.when(wide, F.col("fair") * 1.6).otherwise(F.col("fair") + F.col("half"))
