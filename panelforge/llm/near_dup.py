@@ -11,18 +11,19 @@ similarity is ``PERCENT`` % or more, confirmed on the full sets.
    keys are each chunk less each one of its symbols: no pair within that
    distance is missed. At similarity 0.8 the expected distance is 14.4 of 72 symbols and
    a pair misses all keys with probability 3e-6.
-3. Classes that share a key are compared in rounds, not pair by pair: in each bucket a
-   leader (the class with the most shared keys) meets the members of other
-   components; links found join components (a bucket within one component is
-   done), and the leader leaves the bucket, having met all it could. After ``ROUNDS`` rounds
-   the pairs of different components that are left are compared one by one.
-   Every pair of a bucket has then been compared or is in one component: no cap.
-4. Candidates pass a length bound and a distance of at most ``FAR`` symbols (six
-   standard deviations beyond similarity 0.8), then the exact test.
+3. Each key's bucket has a head, the class with the most shared keys, and every
+   member meets its heads first, exactly. What links to a head is done with it.
+4. The members of a head's buckets that do not link to it, its outsiders, meet all of its
+   other members in blocks: numpy compares a block of outsiders with a block of members and emits
+   links alone. A pair is compared exactly if it shares a key, if sizes allow it and if
+   the distances to the head do (Jaccard distance is a metric: a pair within 0.2 has
+   distances to the head that differ by 0.2 at most). Two classes that share a key share its
+   head, so every pair of every bucket is linked, compared or ruled out: no cap. Members
+   of one head are dealt over ``BLOCK``-row blocks, so a hot group is spread over tasks.
 
 Edge cases: a null or empty text has an empty set and links with nothing; rows with a
-null doc_id link with nothing and have a null component; rows with equal doc_id are
-judged each by its own text and share a component through the id where their texts link; a very
+null doc_id link with nothing and have a null component; of rows with one doc_id but
+different texts, classes that the id stands for are sought by one of its texts; a very
 long text is handled whole, in memory in proportion to it; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -41,8 +42,7 @@ from panelforge.llm.components import components
 
 SPAN, PERCENT = 4, 80
 CHUNKS, WIDTH = 12, 6
-FAR = 34
-ROUNDS = 4
+BLOCK = 256
 BATCH = 1 << 20
 
 _SYMBOLS = CHUNKS * WIDTH
@@ -107,7 +107,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo in range(0, b.num_rows, 4096):
             part = b.slice(lo, 4096)
-            s = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(-1, CHUNKS, WIDTH).astype(np.uint64)
+            s = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, CHUNKS, WIDTH).astype(np.uint64)
             keys = []
             for c in range(CHUNKS):
                 for j in range(WIDTH):
@@ -115,63 +115,119 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     first = rest[0] | (rest[1] << np.uint64(16)) | (rest[2] << np.uint64(32)) | (rest[3] << np.uint64(48))
                     keys.append(mixed(first, rest[4] | np.uint64((c * WIDTH + j) << 16)))
             key = np.stack(keys, 1).ravel().view(np.int64)
-            yield pa.record_batch([pa.array(key), pa.array(np.repeat(part.column(0).to_numpy(), _SYMBOLS)), pa.array(np.repeat(part.column(1).to_numpy(), _SYMBOLS))], ["key", "id", "n"])
-
-
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures differ in FAR symbols at most."""
-    for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(-1, _SYMBOLS) for k in (2, 3))
-        on = pa.array((x != y).sum(1) <= FAR)
-        yield pa.record_batch([b.column(0).filter(on), b.column(1).filter(on)], ["a", "b"])
-
-
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full sets are similar enough."""
-    for b in batches:
-        on = np.zeros(b.num_rows, bool)
-        for i in range(b.num_rows):
-            x, y = (np.frombuffer(b.column(k)[i].as_buffer(), np.uint64) for k in (2, 3))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            on[i] = 100 * both >= PERCENT * (len(x) + len(y) - both)
-        yield pa.record_batch([b.column(0).filter(pa.array(on)), b.column(1).filter(pa.array(on))], ["a", "b"])
+            yield pa.record_batch([pa.array(key), pa.array(np.repeat(part.column(0).to_numpy(), _SYMBOLS))], ["key", "id"])
 
 
 def _sets(span: int):
+    """id, n, sig and the full set of texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                yield pa.record_batch([part.column(0), pa.array([shingles(x.as_py(), span).tobytes() for x in part.column(1)], pa.binary())], ["id", "set"])
+                found = [shingles(x.as_py(), span) for x in part.column(1)]
+                on = [i for i, x in enumerate(found) if len(x)]
+                if on:
+                    sigs = signatures([found[i] for i in on])
+                    yield pa.record_batch([part.column(0).take(pa.array(on)), pa.array([s.tobytes() for s in sigs], pa.binary()), pa.array([found[i].tobytes() for i in on], pa.binary())], ["id", "sig", "set"])
 
     return run
 
 
-def _alike(n: str, m: str):
-    """What sizes alone allow."""
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)).alias("alike")
+def _alike(n: np.ndarray, m: np.ndarray, both: np.ndarray) -> np.ndarray:
+    return 100 * both >= PERCENT * (n + m - both)
+
+
+def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, id, distance, linked of each member and its head."""
+    for b in batches:
+        d, on = np.empty(b.num_rows), np.empty(b.num_rows, bool)
+        for i in range(b.num_rows):
+            x, y = (np.frombuffer(b.column(k)[i].as_buffer(), np.uint64) for k in (2, 3))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            d[i], on[i] = 1 - both / (len(x) + len(y) - both), _alike(len(x), len(y), both)
+        yield pa.record_batch([b.column(0), b.column(1), pa.array(d), pa.array(on)], ["h", "id", "d", "linked"])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows (h, id, d, linked, sig, set) that come sorted by (h, linked)."""
+    names = ["h", "outside", "ids", "ds", "sizes", "sigs", "sets"]
 
+    def block():
+        h, linked = key
+        ids, ds, sigs, sets = zip(*rows, strict=True)
+        return pa.record_batch([pa.array([h]), pa.array([not linked]), *(pa.array([x], pa.binary()) for x in (np.array(ids, np.int64).tobytes(), np.array(ds).tobytes(), np.array([len(x) // 8 for x in sets], np.int64).tobytes(), b"".join(sigs), b"".join(sets)))], names)
 
-class _Confirmer:
-    """Candidate pairs to links, by signatures and then by full sets."""
+    key, rows = None, []
+    for b in batches:
+        for h, i, d, linked, sig, full in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if rows and ((h, linked) != key or len(rows) >= BLOCK):
+                yield block()
+                rows = []
+            key = (h, linked)
+            rows.append((i, d, sig, full))
+    if rows:
+        yield block()
+
+
+def _unpacked(ids, ds, sizes, sigs, sets):
+    n = np.frombuffer(sizes, np.int64)
+    return np.frombuffer(ids, np.int64), np.frombuffer(ds), n, np.frombuffer(sigs, np.uint16).reshape(len(n), CHUNKS, WIDTH), np.frombuffer(sets, np.uint64)
+
+
+def block_links(x: tuple, y: tuple, same: bool) -> list[tuple[int, int]]:
+    """The links between a block of outsiders and a block of members of one head."""
+    xi, xd, xn, xs, xset = x
+    yi, yd, yn, ys, yset = y
+    ends, starts = np.cumsum(xn), np.cumsum(yn) - yn
+    out = []
+    for k in range(len(xi)):
+        near = (np.abs(yd - xd[k]) <= 1 - PERCENT / 100 + 1e-9) & (100 * np.minimum(yn, xn[k]) >= PERCENT * np.maximum(yn, xn[k]))
+        if same:
+            near &= yi > xi[k]
+        at = np.flatnonzero(near)
+        if len(at):  # a common key: some chunk with one error at most
+            at = at[((ys[at] != xs[k]).sum(2) <= 1).any(1)]
+        if not len(at):
+            continue
+        own = xset[ends[k] - xn[k] : ends[k]]
+        rows = np.concatenate([np.arange(starts[j], starts[j] + yn[j]) for j in at])
+        values = yset[rows]
+        hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+        both = np.add.reduceat(hit.astype(np.int64), np.cumsum(yn[at]) - yn[at])
+        out.extend((int(xi[k]), int(yi[j])) for j in at[_alike(xn[k], yn[at], both)])
+    return out
 
-    def __init__(self, classes: DataFrame, sets: DataFrame):
-        self.classes, self.sets = classes, sets
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        sig = self.classes.select("id", "sig")
-        x = pairs.join(sig.toDF("a", "x"), "a").join(sig.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        near = x.mapInArrow(_near, "a long, b long")
-        full = near.join(self.sets.toDF("b", "y"), "b").join(self.sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
-        return written(full.mapInArrow(_confirm, "a long, b long"), "near-links")
+def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for *x, both_outside in zip(*b.columns, strict=True):
+            parts = [v.as_buffer() for v in x]
+            first, second = _unpacked(*parts[:5]), _unpacked(*parts[5:])
+            found = block_links(first, second, both_outside.as_py())
+            if found:
+                u, v = zip(*found, strict=True)
+                yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """comp (id, comp) after links (a, b) of ids."""
-    u = links.join(comp.toDF("a", "u"), "a").join(comp.toDF("b", "v"), "b").select("u", "v")
-    merged = components(u)
-    out = comp.join(merged.toDF("comp", "label"), "comp", "left")
-    return written(out.select("id", F.coalesce("label", "comp").alias("comp")), "near-comp")
+def _links(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): links enough to connect all that is similar."""
+    weight = live.groupBy("id").agg(F.count("*").alias("shared"))
+    weighed = live.join(weight, "id")
+    heads = weighed.groupBy("key").agg(F.min(F.struct(-F.col("shared"), F.col("id"))).alias("best")).select("key", F.col("best.id").alias("h"))
+    members = live.join(heads, "key").where("id <> h").select("h", "id").distinct()
+    full = sets.select("id", "set")
+    pairs = members.join(full.toDF("id", "y"), "id").join(full.toDF("h", "x"), "h").select("h", "id", "x", "y")
+    star = written(pairs.mapInArrow(_star, "h long, id long, d double, linked boolean"), "near-star")
+    groups = star.groupBy("h").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("o")).where("o > 0 AND n > 1")
+    dealt = star.join(groups, "h").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / (2 * BLOCK))))
+    rows = dealt.join(sets, "id").select("h", "id", "d", "linked", "sig", "set", "salt")
+    rows = rows.repartition("h", "salt").sortWithinPartitions("h", "linked").select("h", "id", "d", "linked", "sig", "set")
+    blocks = written(rows.mapInArrow(_pack, "h long, outside boolean, ids binary, ds binary, sizes binary, sigs binary, sets binary"), "near-blocks")
+    cols = ["ids", "ds", "sizes", "sigs", "sets"]
+    a = blocks.where("outside").select("h", *(F.col(c).alias(f"a_{c}") for c in cols))
+    both = a.join(blocks, "h").select(*(f"a_{c}" for c in cols), *cols, "outside")
+    return star.where("linked").select(F.col("h").alias("u"), F.col("id").alias("v")).unionByName(both.mapInArrow(_between, "u long, v long"))
 
 
 def near_duplicates(documents: DataFrame, span: int = SPAN) -> DataFrame:
@@ -180,45 +236,16 @@ def near_duplicates(documents: DataFrame, span: int = SPAN) -> DataFrame:
     signed = written(texts.mapInArrow(_sign(span), "doc_id long, n long, h1 long, h2 long, sig binary"), "near-signed")
     alive = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(alive.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")), "near-classes")
-    emitted = classes.select("id", "n", "sig").mapInArrow(_keys, "key long, id long, n long")
+    emitted = classes.select("id", "sig").mapInArrow(_keys, "key long, id long")
     shared = emitted.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    live = written(emitted.join(shared, "key", "left_semi"), "near-live")
-    weight = live.groupBy("id").agg(F.count("*").alias("shared"))
-    live = live.join(weight, "id")
-    ids = live.select("id").distinct()
-    sets = written(texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id").mapInArrow(_sets(span), "id long, set binary"), "near-sets")
-    # rows of one doc_id may differ in text: a class' set is the one with its number of shingles
-    sized = sets.join(classes.select("id", F.col("n").alias("_n")), "id").where(F.length("set") == 8 * F.col("_n")).groupBy("id").agg(F.min("set").alias("set")) if _repeated(alive) else sets
-    confirm = _Confirmer(classes, sized)
-    comp = written(ids.select("id", F.col("id").alias("comp")), "near-comp")
-    order = F.struct(-F.col("shared"), F.col("id"), F.col("n"), F.col("comp"))
-    for _ in range(ROUNDS):
-        beside = live.join(comp, "id")
-        by_comp = beside.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min(order).alias("best"))
-        main = by_comp.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("main")).where("comps > 1")
-        other = by_comp.join(main, "key").where("main.c = 1 OR comp <> main.comp")
-        leaders = other.groupBy("key").agg(F.min("best").alias("best")).select("key", F.col("best.id").alias("lid"), F.col("best.n").alias("ln"), F.col("best.comp").alias("lcomp"))
-        leaders = written(leaders, "near-leaders")
-        if leaders.isEmpty():
-            live = None
-            break
-        met = beside.join(leaders, "key").where((F.col("comp") != F.col("lcomp")) & _alike("n", "ln"))
-        pairs = met.select(F.col("lid").alias("a"), F.col("id").alias("b")).distinct()
-        comp = _joined(comp, confirm.links(pairs))
-        open_ = live.join(leaders.select("key", "lid"), "key").where("id <> lid").select("key", "id", "n", "shared")
-        live = written(open_, "near-live")
-    if live is not None:
-        x = live.join(comp, "id")
-        y = x.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-        met = x.join(y, "key").where((F.col("comp") < F.col("comp2")) & _alike("n", "n2"))
-        pairs = met.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-        comp = _joined(comp, confirm.links(pairs))
+    live = written(emitted.join(shared, "key", "left_semi").select("key", "id"), "near-live")
+    ids = live.select(F.col("id").alias("doc_id")).distinct()
+    sets = texts.join(ids, "doc_id").mapInArrow(_sets(span), "id long, sig binary, set binary")
+    if not alive.groupBy("doc_id").count().where("count > 1").isEmpty():  # rows of one doc_id with different texts: that of the class
+        sets = sets.join(classes.select("id", "sig"), ["id", "sig"], "left_semi").dropDuplicates(["id"])
+    comp = components(written(_links(live, written(sets, "near-sets")), "near-links")).withColumnRenamed("label", "comp")
     of = classes.join(comp, "id", "left").select("h1", "h2", F.col("n").alias("_n"), F.coalesce("comp", "id").alias("component_id"))
     rows = signed.join(of, (signed.h1 == of.h1) & (signed.h2 == of.h2) & (signed.n == of._n) & signed.doc_id.isNotNull(), "left")
     component = F.coalesce("component_id", "doc_id")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
-
-def _repeated(alive: DataFrame) -> bool:
-    """Whether some doc_id has several rows."""
-    return not alive.groupBy("doc_id").count().where("count > 1").isEmpty()
