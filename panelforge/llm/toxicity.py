@@ -8,10 +8,11 @@ letters), lower-cased, hashed to 32 bits. The score is the logistic of
 so pairs such as insult and group mention have weights of their own.
 Fitting uses at most about ``SAMPLE`` labelled documents (a hash of the id
 chooses), dealt over tasks of about ``SHARD_ROWS``. Each task keeps terms found in
-``MIN_DOCS`` of its documents, fits the linear part by FTRL with L1 and gives
-factors to the terms that keep a weight; factors start from a hash of the term,
-so that the mean over shards is meaningful. The model holds the terms with a
-weight alone: bounded by the sample, not by the input.
+``MIN_DOCS`` of its documents and fits the linear part by FTRL with L1. Factors go to
+terms that keep a linear weight and to those in ``FACTOR_SHARE`` of the documents, whose pairs
+may count where they alone don't; they start from a hash of the term, so that the mean over
+shards is meaningful. The model holds these terms alone: bounded by the sample, not
+by the input.
 
 Edge cases: null and empty texts get the score of the bias; without any settled
 training label every score is 0.5; repeated rows get equal scores; documents with
@@ -38,6 +39,7 @@ FACTORS = 4
 THRESHOLD = 0.3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.5
 V_RATE, V_L2 = 0.05, 0.02
+FACTOR_SHARE = 0.05
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -62,6 +64,7 @@ def _sigmoid(x):
 def train(rows: list[np.ndarray], y: np.ndarray, size: int, ids: np.ndarray, epochs: int, factors: int) -> tuple[np.ndarray, np.ndarray]:
     """w (the last is the bias) and V. rows hold indexes into ids."""
     z, n = np.zeros(size + 1), np.zeros(size + 1)
+    often = np.bincount(np.concatenate(rows), minlength=size) >= FACTOR_SHARE * len(rows) if rows else np.zeros(size, bool)
     v, seen = _start(ids, factors), np.full((size, factors), 1e-3)
     penalty = np.append(np.full(size, L1), 0.0)
 
@@ -73,7 +76,7 @@ def train(rows: list[np.ndarray], y: np.ndarray, size: int, ids: np.ndarray, epo
         for r, label in zip(rows, y, strict=True):
             at = np.append(r, size)
             w = weights(at)
-            on = r[w[:-1] != 0.0] if epoch else r[:0]  # a term gets factors once its own weight holds
+            on = r[(w[:-1] != 0.0) | often[r]] if epoch else r[:0]  # factors: for terms whose own weight holds, and for frequent ones
             vv = v[on]
             total = vv.sum(0)
             g = float(_sigmoid(w.sum() + 0.5 * (total @ total - (vv * vv).sum())) - label)
@@ -85,7 +88,7 @@ def train(rows: list[np.ndarray], y: np.ndarray, size: int, ids: np.ndarray, epo
                 seen[on] += gv * gv
                 v[on] = vv - V_RATE * gv / np.sqrt(seen[on])
     w = weights(np.arange(size + 1))
-    return w, np.where(w[:-1, None] != 0.0, v, 0.0)
+    return w, np.where((w[:-1, None] != 0.0) | often[:, None], v, 0.0)
 
 
 def _fit_shard(epochs: int, factors: int, min_docs: int):
@@ -96,7 +99,7 @@ def _fit_shard(epochs: int, factors: int, min_docs: int):
         ids = ids[counts >= min_docs]
         rows = [np.searchsorted(ids, r[np.isin(r, ids, assume_unique=True)]) for r in found]
         w, v = train(rows, pdf["label"].to_numpy(float), len(ids), ids, epochs, factors)
-        at = np.flatnonzero(w[:-1])
+        at = np.flatnonzero((w[:-1] != 0.0) | (v != 0.0).any(1))
         return pd.DataFrame({"term": np.append(ids[at], -1), "w": np.append(w[at], w[-1]), "v": [*v[at].tolist(), [0.0] * factors]})
 
     return fit
