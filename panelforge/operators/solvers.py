@@ -318,14 +318,10 @@ def svi_fit(k: np.ndarray, w: np.ndarray, weight: np.ndarray | None = None, pena
         out += 10 * max(0.0, -(p[0] + p[1] * p[4] * math.sqrt(1 - p[2] ** 2))) / top
         return out + penalty * float(np.mean(np.minimum(_g(p, grid), 0.0) ** 2)) if penalty else out
 
-    best = None
-    for m0 in (float(k[np.argmin(w)]), 0.0):
-        q = np.array([math.atanh(min(0.9, max(0.01, float(w.min()) * 0.5 / top))), math.log(max(1e-3, (w.max() - w.min()) / span)), -0.3, m0, math.log(0.1)])
-        for _ in range(3):
-            q, y = nelder_mead(loss, q, 500, 0.2)
-        if best is None or y < best[1]:
-            best = (q, y)
-    p = params(best[0])
+    q = np.array([math.atanh(min(0.9, max(0.01, float(w.min()) * 0.5 / top))), math.log(max(1e-3, (w.max() - w.min()) / span)), -0.3, float(k[np.argmin(w)]), math.log(0.1)])
+    for _ in range(2):  # a simplex that has shrunk starts anew from its best point
+        q, _ = nelder_mead(loss, q, 220, 0.2)
+    p = params(q)
     return p, float(np.sqrt(np.mean((_svi(p, k) - w) ** 2)))
 
 
@@ -368,7 +364,7 @@ def ssvi_surfaces(points: DataFrame) -> DataFrame:
             bad = np.maximum(0.0, theta0 * phi * (1 + abs(rho)) - 4).sum() + np.maximum(0.0, theta0 * phi**2 * (1 + abs(rho)) - 4).sum()
             return float(np.mean((_ssvi(k, theta0[at], rho, phi[at]) - w) ** 2)) / w.mean() ** 2 + bad
 
-        q, _ = nelder_mead(loss, np.array([-0.3, 0.0, 0.0]), 400, 0.3)
+        q, _ = nelder_mead(loss, np.array([-0.3, 0.0, 0.0]), 160, 0.3)
         rho, eta, gamma = params(q)
         phi = eta / theta0**gamma / (1 + theta0) ** (1 - gamma)
         e = math.sqrt(float(np.mean((_ssvi(k, theta0[at], rho, phi[at]) - w) ** 2)))
