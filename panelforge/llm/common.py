@@ -42,6 +42,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with its session's Arrow batches at ``rows`` rows: of texts with long ones among them, the default of 10,000 rows takes a task hundreds of MB."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    return df
+
+
 def fold(doc_id: str | Column, of: int) -> Column:
     """crc32 of the id as text, mod ``of``."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % of

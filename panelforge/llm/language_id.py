@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import bounded_sample
+from panelforge.llm.common import bounded_sample, small_batches
 
 SIZES = (3, 4)
 BITS = 18
@@ -137,4 +137,4 @@ def predict(documents: DataFrame, model: Filter) -> DataFrame:
 
     kind = dict(documents.dtypes)["doc_id"]
     rows = documents.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
-    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return small_batches(rows).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")

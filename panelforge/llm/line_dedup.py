@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import mixed, written
+from panelforge.llm.common import mixed, small_batches, written
 
 MIN_CHARS = 20
 BLOCKS = 4
@@ -176,4 +176,4 @@ def dedup(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             yield pa.record_batch([*cols, pa.array(totals, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_lines", "n_removed"])
 
     schema = ", ".join(f"`{n}` {k}" for n, k in base.dtypes)
-    return both.mapInArrow(rebuild, f"{schema}, n_lines long, n_removed long")
+    return small_batches(both).mapInArrow(rebuild, f"{schema}, n_lines long, n_removed long")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import mixed, windows, word_hashes, written
+from panelforge.llm.common import mixed, small_batches, windows, word_hashes, written
 from panelforge.llm.components import components
 
 SPAN, PERCENT = 4, 80
@@ -233,7 +233,7 @@ def _links(live: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(texts.mapInArrow(_sign(span), "doc_id long, n long, h1 long, h2 long, sig binary"), "near-signed")
+    signed = written(small_batches(texts).mapInArrow(_sign(span), "doc_id long, n long, h1 long, h2 long, sig binary"), "near-signed")
     alive = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(alive.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")), "near-classes")
     emitted = classes.select("id", "sig").mapInArrow(_keys, "key long, id long")

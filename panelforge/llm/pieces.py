@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from panelforge.llm.common import small_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 CACHED, ENTRIES = 48, 250_000
@@ -175,7 +177,7 @@ def encode(documents: DataFrame, model: str = MODEL, text: str = "text", out: st
             made = pa.ListArray.from_arrays(starts, pa.array(np.frombuffer(b"".join(x or b"" for x in ids), np.int32)))
             yield pa.record_batch([*(b.column(b.schema.names.index(n)) for n in names), made], [*names, out])
 
-    return documents.mapInArrow(run, _added(documents, out, T.ArrayType(T.IntegerType())))
+    return small_batches(documents).mapInArrow(run, _added(documents, out, T.ArrayType(T.IntegerType())))
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -190,4 +192,4 @@ def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", out: str =
             texts = [None if not r.is_valid else coder.decode(r.values.to_numpy(zero_copy_only=False).tolist()) for r in rows]
             yield pa.record_batch([*(b.column(b.schema.names.index(n)) for n in names), pa.array(texts, pa.string())], [*names, out])
 
-    return encoded.mapInArrow(run, _added(encoded, out, T.StringType()))
+    return small_batches(encoded).mapInArrow(run, _added(encoded, out, T.StringType()))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import bounded_sample, mixed, settled_labels, word_hashes
+from panelforge.llm.common import bounded_sample, mixed, settled_labels, small_batches, word_hashes
 
 BITS = 20
 SAMPLE = 16_000
@@ -139,4 +139,4 @@ def score(documents: DataFrame, weights: np.ndarray, bits: int = BITS, threshold
             yield pa.record_batch([b.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     kind = dict(documents.dtypes)["doc_id"]
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return small_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import bounded_sample, windows, word_hashes
+from panelforge.llm.common import bounded_sample, small_batches, windows, word_hashes
 
 SAMPLE = 400
 MIN_WORDS, MAX_REPEAT_PERCENT, SPAN = 10, 20, 5
@@ -153,4 +153,4 @@ def apply(documents: DataFrame, order: list[str] | None = None, rules: tuple = R
             yield pa.record_batch([b.column(0), *cols, pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_()), pa.array(by, pa.string()), pa.array(ran, pa.int32())], ["doc_id", *counts, "base_failed", "kept", "rejected_by", "rules_run"])
 
     schema = f"doc_id {kind}, {', '.join(f'{c} long' for c in counts)}, base_failed boolean, kept boolean, rejected_by string, rules_run int"
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return small_batches(documents).select("doc_id", "text").mapInArrow(run, schema)

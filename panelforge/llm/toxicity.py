@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import bounded_sample, settled_labels, word_hashes
+from panelforge.llm.common import bounded_sample, settled_labels, small_batches, word_hashes
 
 SAMPLE = 24_000
 SHARD_ROWS = 4_000
@@ -146,7 +146,7 @@ def score(documents: DataFrame, model: tuple, threshold: float = THRESHOLD) -> D
             yield pa.record_batch([b.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     kind = dict(documents.dtypes)["doc_id"]
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return small_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
 
 
 def keep(documents: DataFrame, model: tuple, threshold: float = THRESHOLD) -> DataFrame:
@@ -159,4 +159,4 @@ def keep(documents: DataFrame, model: tuple, threshold: float = THRESHOLD) -> Da
             p = _sigmoid(np.array([_logit(x.as_py(), *sent.value) for x in b.column(at)], float))
             yield b.filter(pa.array(p < threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return small_batches(documents).mapInArrow(run, documents.schema)
