@@ -228,7 +228,7 @@ def kelly(moments: DataFrame, fraction: float = 0.5, most: float = 0.10, *keys:
 
     kinds = dict(moments.dtypes)
     schema = "name string, w double" + "".join(f", {k} {kinds[k]}" for k in keys)
-    return (moments.groupBy(*keys) if keys else moments.groupBy(F.lit(0))).applyInPandas(run, schema)
+    return (moments.groupBy(*keys) if keys else moments.withColumn("_all", F.lit(0)).groupBy("_all")).applyInPandas(run, schema)
 
 
 def cluster_order(d: np.ndarray) -> list[int]:
@@ -286,7 +286,7 @@ def hrp_weights(pairs: DataFrame, *keys: str) -> DataFrame:
 
     kinds = dict(pairs.dtypes)
     schema = "name string, w double" + "".join(f", {k} {kinds[k]}" for k in keys)
-    return (pairs.groupBy(*keys) if keys else pairs.groupBy(F.lit(0))).applyInPandas(run, schema)
+    return (pairs.groupBy(*keys) if keys else pairs.withColumn("_all", F.lit(0)).groupBy("_all")).applyInPandas(run, schema)
 
 
 def _svi(p, k):

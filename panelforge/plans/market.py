@@ -33,10 +33,10 @@ def query(name: str, columns: str, source: str | None = None, digits: int = 6, *
 # --- panels ---------------------------------------------------------------------------------
 
 
-@query("s3_coverage", "ticker:k reason:k", "SELECT ticker, CASE WHEN a > CAST('1992-02-01' AS DATE) THEN 'starts late' WHEN b < CAST('1998-11-30' AS DATE) THEN 'ends early' END AS reason FROM (SELECT ticker, min(date) AS a, max(date) AS b FROM bars GROUP BY 1) WHERE a > CAST('1992-02-01' AS DATE) OR b < CAST('1998-11-30' AS DATE)")
+@query("s3_coverage", "ticker:k reason:k", "SELECT ticker, CASE WHEN a > CAST('1992-02-01' AS DATE) THEN 'starts late' WHEN b < CAST('2001-10-01' AS DATE) THEN 'ends early' END AS reason FROM (SELECT ticker, min(date) AS a, max(date) AS b FROM bars GROUP BY 1) WHERE a > CAST('1992-02-01' AS DATE) OR b < CAST('2001-10-01' AS DATE)")
 def s3(spark, d):
     b = views.bars(spark, d)
-    return panel.coverage(b, b.select("ticker"), "1992-02-01", "1998-11-30")
+    return panel.coverage(b, b.select("ticker"), "1992-02-01", "2001-10-01")
 
 
 @query("s4_universe", "ticker:k date:k close:f ord:i", "SELECT b.ticker, b.date, b.close, u.ord FROM bars b JOIN (SELECT p_brand AS ticker, min(p_size) AS ord FROM part WHERE p_size <= 5 GROUP BY 1) u ON u.ticker = b.ticker")
@@ -155,7 +155,7 @@ def g12(spark, d):
     return feature_rows(spark, d)
 
 
-_FOLD_ENDS = ("1995-07-03", "1997-01-06")
+_FOLD_ENDS = ("1997-06-02", "1999-07-05")
 _WHOLE = " AND ".join(f"{c} IS NOT NULL" for c in signals.FEATURES)
 _LABELLED = f"SELECT *, lead(date) OVER ({T}) AS t1, CASE WHEN lead(r) OVER ({T}) IS NOT NULL THEN CASE WHEN lead(r) OVER ({T}) > 0 THEN 1.0 ELSE 0.0 END END AS y FROM feats"
 # 504 weekdays are 100 weeks and 4 days: from a Monday that many back is a Tuesday, 101 weeks less a day.
@@ -585,9 +585,9 @@ for _name, _cols in {
     query(_name, "book:k " + _cols, _METRICS, digits=5)(lambda spark, d: performance.metrics(views.daily(spark, d), 0.0, PERIODS))
 
 
-@query("p10_rolling_sharpe", "book:k date:k rolling_sharpe:f", f"SELECT book, date, {rolling('avg', 'ret', 26, 'book')} / nullif({rolling('stddev_samp', 'ret', 26, 'book')}, 0) * {math.sqrt(PERIODS)!r} AS rolling_sharpe FROM daily WHERE date >= CAST('1993-09-01' AS DATE)", digits=4)
+@query("p10_rolling_sharpe", "book:k date:k rolling_sharpe:f", f"SELECT book, date, {rolling('avg', 'ret', 26, 'book')} / nullif({rolling('stddev_samp', 'ret', 26, 'book')}, 0) * {math.sqrt(PERIODS)!r} AS rolling_sharpe FROM daily WHERE date >= CAST('1996-09-01' AS DATE)", digits=4)
 def p10(spark, d):
-    return performance.rolling_sharpe(views.daily(spark, d).where("date >= DATE'1993-09-01'"), 26, PERIODS)
+    return performance.rolling_sharpe(views.daily(spark, d).where("date >= DATE'1996-09-01'"), 26, PERIODS)
 
 
 @query("p11_rolling_beta", "book:k date:k rolling_beta:f", f"SELECT d.book, d.date, b AS rolling_beta FROM daily d LEFT JOIN (SELECT book, date, CASE WHEN count(*) OVER {window(26, 'book')} >= 26 THEN covar_samp(ret, r) OVER {window(26, 'book')} / nullif(var_samp(r) OVER {window(26, 'book')}, 0) END AS b FROM (SELECT d.book, d.date, d.ret, p.r FROM daily d JOIN proxy p ON p.date = d.date WHERE p.r IS NOT NULL)) x ON x.book = d.book AND x.date = d.date")

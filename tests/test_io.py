@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -49,3 +50,29 @@ def test_stream_emits_each_filing_once(spark, tmp_path):
     q = alerts.filing_alerts(stream).writeStream.foreachBatch(lambda df, k: df.write.mode("append").parquet(str(out))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r.accession for r in spark.read.parquet(str(out)).collect()] == ["a"]
+
+
+def test_state_crosses_micro_batches(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    for k in range(3):
+        (src / f"{k}.json").write_text(json.dumps({"book": "b", "ticker": "x", "date": f"2020-01-0{k + 1}", "target": 1.0, "cap": 0.25}))
+        os.utime(src / f"{k}.json", (1_600_000_000 + k, 1_600_000_000 + k))
+    rows = spark.readStream.schema("book string, ticker string, date date, target double, cap double").option("maxFilesPerTrigger", 1).json(str(src))
+    q = alerts.chased_stream(rows).writeStream.foreachBatch(lambda df, k: df.write.mode("append").parquet(str(out))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [r.held for r in spark.read.parquet(str(out)).orderBy("date").collect()] == [0.25, 0.5, 0.75]
+
+
+def test_drawdown_stop_crosses_micro_batches(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    for k, r in enumerate((-0.3, 0.1, 0.1, 0.1)):
+        (src / f"{k}.json").write_text(json.dumps({"book": "b", "date": f"2020-01-0{k + 1}", "ret": r}))
+        os.utime(src / f"{k}.json", (1_600_000_000 + k, 1_600_000_000 + k))
+    rows = spark.readStream.schema("book string, date date, ret double").option("maxFilesPerTrigger", 1).json(str(src))
+    q = alerts.stopped_stream(rows, 0.2, 2).writeStream.foreachBatch(lambda df, k: df.write.mode("append").parquet(str(out))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [r.stopped for r in spark.read.parquet(str(out)).orderBy("date").collect()] == [-0.3, 0.0, 0.0, 0.1]
