@@ -307,7 +307,7 @@ def svi_fit(k: np.ndarray, w: np.ndarray, weight: np.ndarray | None = None, pena
     """(a, b, rho, m, sigma) and the root mean square error of a slice, by least squares within bounds; a penalty on g < 0 keeps butterflies out."""
     weight = np.ones(len(k)) if weight is None else weight / weight.mean()
     top, span = max(float(w.max()), 1e-6), max(float(k.max() - k.min()), 0.05)
-    grid = np.linspace(min(-1.0, k.min() - 0.5), max(1.0, k.max() + 0.5), 81)
+    grid = np.linspace(min(-1.0, k.min() - 0.5), max(1.0, k.max() + 0.5), 41)
 
     def params(q):
         return np.array([top * math.tanh(q[0]), math.exp(min(3.0, q[1])), 0.999 * math.tanh(q[2]), q[3], math.exp(max(-7.0, min(1.0, q[4])))])
@@ -320,7 +320,7 @@ def svi_fit(k: np.ndarray, w: np.ndarray, weight: np.ndarray | None = None, pena
 
     q = np.array([math.atanh(min(0.9, max(0.01, float(w.min()) * 0.5 / top))), math.log(max(1e-3, (w.max() - w.min()) / span)), -0.3, float(k[np.argmin(w)]), math.log(0.1)])
     for _ in range(2):  # a simplex that has shrunk starts anew from its best point
-        q, _ = nelder_mead(loss, q, 220, 0.2)
+        q, _ = nelder_mead(loss, q, 150, 0.2)
     p = params(q)
     return p, float(np.sqrt(np.mean((_svi(p, k) - w) ** 2)))
 
