@@ -154,3 +154,27 @@ def apply(documents: DataFrame, order: list[str] | None = None, rules: tuple = R
 
     schema = f"doc_id {kind}, {', '.join(f'{c} long' for c in counts)}, base_failed boolean, kept boolean, rejected_by string, rules_run int"
     return small_batches(documents).select("doc_id", "text").mapInArrow(run, schema)
+
+
+SQL = """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, unnest(list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' '))) AS w FROM t WHERE len(ws) >= 5
+), hit AS (
+  SELECT g.doc_id, g.i FROM g JOIN (SELECT doc_id, w FROM g GROUP BY 1, 2 HAVING count(*) > 1) h ON h.doc_id = g.doc_id AND h.w = g.w
+), rep AS (
+  SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + k AS p FROM hit CROSS JOIN (SELECT unnest(range(0, 5)) AS k) x) GROUP BY 1
+), dup AS (
+  SELECT doc_id, sum(n - 1) AS n, sum(n) AS lines FROM (SELECT doc_id, l, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM t) WHERE len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) > 0 GROUP BY 1, 2) GROUP BY 1
+), stats AS (
+  SELECT t.doc_id, CAST(len(ws)AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(ws) < 10 OR 100 * coalesce(rep.n, 0) > 20 * len(ws) AS base_failed,
+    coalesce(dup.lines, 0) AS lines, len(regexp_extract_all(text, '[a-z]')) AS small, len(regexp_extract_all(text, '[A-Z]')) AS large, len(list_filter(range(1, len(ws)), lambda k: ws[k] = ws[k + 1])) AS same
+  FROM t LEFT JOIN rep ON rep.doc_id = t.doc_id LEFT JOIN dup ON dup.doc_id = t.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 4 * n_symbols > n_words OR (small + large >= 50 AND 5 * large > 2 * (small + large)) OR (lines >= 5 AND 10 * n_dup_lines > 3 * lines)
+    OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 5 * same > n_words) AS kept
+FROM stats
+"""

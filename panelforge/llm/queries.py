@@ -70,4 +70,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_top_k, op2_quality, op3_warc, op4_language, op5_line_dedup, op6_source_mix, op7_toxicity, op8_near_dup, op9_pieces, op10_quality_rules, pipeline)}
-SQL = {"op1_top_k": top_k.SQL, "op3_warc": warc.SQL, "op6_source_mix": source_mix.SQL}
+SQL = {"op1_top_k": top_k.SQL, "op3_warc": warc.SQL, "op6_source_mix": source_mix.SQL, "op8_near_dup": near_dup.SQL, "op10_quality_rules": quality_rules.SQL}
