@@ -42,7 +42,7 @@ BLOCKS = 4
 _BLANKS = " \t\r\x0b\x0c"
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-BATCH = 1 << 18
+BATCH = 1 << 16
 
 
 def _block_keys(line: Column, n: Column, blocks: int) -> Column:
@@ -111,6 +111,16 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of each text that its list of (pos, block) names."""
+    for b in batches:
+        for doc, text, want in zip(b.column(0), b.column(1), b.column(2), strict=True):
+            parts, want = text.as_py().split("\n"), want.as_py()
+            places = [w["pos"] for w in want]
+            cols = [pa.array([doc.as_py()] * len(want), pa.int64()), pa.array(places, pa.int32()), pa.array([parts[p].strip(_BLANKS) for p in places], pa.string()), pa.array([w["block"] for w in want], pa.int32())]
+            yield pa.record_batch(cols, ["doc_id", "pos", "line", "block"])
+
+
 def first_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id and pos of each different line's first occurrence, with its block keys."""
     found = lines(documents, min_chars)
@@ -126,11 +136,10 @@ def near_pairs(documents: DataFrame, firsts: DataFrame) -> DataFrame:
     shared = spread.groupBy("bk").agg(F.min(F.struct("doc_id", "pos")).alias("a"), F.max(F.struct("doc_id", "pos")).alias("b")).where("a <> b").select("bk")
     hot = spread.join(shared, "bk", "left_semi")
     wanted = hot.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "block")).alias("want"))  # the lines of one document
-    texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    found = texts.join(wanted, "doc_id").select("doc_id", F.split("text", "\n", -1).alias("parts"), F.explode("want").alias("w"))
-    found = found.select("doc_id", F.col("w.pos").alias("pos"), F.btrim(F.get("parts", F.col("w.pos")), F.lit(_BLANKS)).alias("line"), F.col("w.block").alias("block"))
+    texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = small_batches(texts).join(wanted, "doc_id").mapInArrow(_wanted, "doc_id long, pos int, line string, block int")
     candidates = written(found, "line-candidates")
-    emitted = candidates.mapInArrow(_emit, "key long, role byte, doc_id long, pos int")
+    emitted = candidates.select("doc_id", "pos", "line", "block").mapInArrow(_emit, "key long, role byte, doc_id long, pos int")
     at = F.struct("doc_id", "pos")
     least = [F.min(F.when(F.col("role") == r, at)).alias(f"m{r}") for r in (0, 1, 2)]
     several = F.max(at) != F.min(at)

@@ -34,7 +34,7 @@ from panelforge.llm.common import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-CACHED, ENTRIES = 48, 250_000
+CACHED, ENTRIES = 48, 60_000
 UNKNOWN = 10.0
 
 _CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -52,10 +52,11 @@ def read_model(path: str = MODEL) -> list[tuple[str, float, bool]]:
 class Coder:
     """Encodes and decodes with one list of pieces."""
 
-    def __init__(self, pieces: list[tuple[str, float, bool]]):
-        import ahocorasick
+    def __init__(self, pieces: list[tuple[str, float, bool]], encodes: bool = True):
+        if encodes:
+            import ahocorasick
 
-        self.automaton = ahocorasick.Automaton()
+            self.automaton = ahocorasick.Automaton()
         self.bytes_of: list[bytes] = []
         self.byte_id: dict[int, int] = {}
         lowest, whole = 0.0, False
@@ -67,10 +68,12 @@ class Coder:
                 continue
             self.bytes_of.append(piece.replace(BLANK, " ").encode() if on else b"")
             if on:
-                self.automaton.add_word(piece, (len(piece), score, i))
+                if encodes:
+                    self.automaton.add_word(piece, (len(piece), score, i))
                 lowest = min(lowest, score)
                 whole |= BLANK in piece.lstrip(BLANK)
-        self.automaton.make_automaton()
+        if encodes:
+            self.automaton.make_automaton()
         self.unknown = lowest - UNKNOWN
         self.whole = whole
         self.young: dict[str, bytes] = {}
@@ -147,14 +150,15 @@ class Coder:
         return text[1:] if text[:1] == " " else text
 
 
-_CODERS: dict[int, Coder] = {}
+_CODERS: dict[tuple, Coder] = {}
 
 
-def _coder(sent) -> Coder:
+def _coder(sent, encodes: bool = True) -> Coder:
     """One coder a model and Python worker."""
-    key = zlib.crc32(repr((len(sent.value), sent.value[-50:])).encode())
+    key = (zlib.crc32(repr((len(sent.value), sent.value[-50:])).encode()), encodes)
     if key not in _CODERS:
-        _CODERS[key] = Coder(sent.value)
+        _CODERS.clear()
+        _CODERS[key] = Coder(sent.value, encodes)
     return _CODERS[key]
 
 
@@ -185,7 +189,7 @@ def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", out: str =
     sent = encoded.sparkSession.sparkContext.broadcast(read_model(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(sent)
+        coder = _coder(sent, encodes=False)
         for b in batches:
             names = [n for n in b.schema.names if n != out]
             rows = b.column(b.schema.names.index(ids))
