@@ -17,15 +17,12 @@ from pyspark.sql import functions as F
 from panelforge.llm import line_dedup, near_dup, pieces, source_mix, toxicity
 from panelforge.llm.common import fold, table, written
 
-#: A document goes at this score: above the operator's own threshold, to keep clean ones.
-REJECT = 0.5
-
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the factorization machine finds toxic."""
+    """Drops documents that op7 predicts toxic, at the operator's own threshold."""
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2)
     model = toxicity.fit(docs, labels)
-    return toxicity.keep(docs, model, REJECT)
+    return toxicity.keep(docs, model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
+import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from panelforge.llm import toxicity
 from tests.llm.test_operators import words
 
 
@@ -30,6 +33,22 @@ def test_stages_take_effect(spark, tmp_path):
     assert final.where("doc_id IN (500, 501)").count() == 0
 
 
+def test_toxicity_stage_drops_what_op7_predicts(spark, tmp_path, monkeypatch):
+    texts = {0: "nothing here", 1: "a zzmild word", 2: "a zzharsh word"}
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], schema)
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    logit = {t: math.log(p / (1 - p)) + 3.0 for t, p in (("zzmild", 0.4), ("zzharsh", 0.9))}
+    w = {int(toxicity.terms(t)[0]): x for t, x in logit.items()}
+    ids = np.array(sorted(w))
+    model = (ids, np.array([w[i] for i in ids]), np.zeros((2, 4)), -3.0)
+    monkeypatch.setattr(toxicity, "fit", lambda *a, **k: model)
+    predicted = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+    assert predicted == {0: 0, 1: 1, 2: 1}  # document 1 scores 0.4
+    kept = {r.doc_id for r in corpus_pipeline.toxic(spark, docs, str(tmp_path)).collect()}
+    assert kept == {i for i, p in predicted.items() if not p}
+
+
 def test_registered():
     import __spark_entry__ as entry
 
