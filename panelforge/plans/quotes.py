@@ -67,8 +67,7 @@ def o3(spark, d):
 
 @query("o4_american", "underlying:k expiry:k strike:f option_type:k american:f european:f premium:f", digits=4)
 def o4(spark, d):
-    near = options.clean(views.quotes(spark, d)).where("expiry <= DATE'1998-04-30'")
-    return options.early_exercise(near, 60, RATE, vol="true_vol")
+    return options.early_exercise(options.clean(views.quotes(spark, d)), rate=RATE, vol="true_vol")
 
 
 @query("o5_bumped_greeks", "underlying:k expiry:k strike:f option_type:k fd_delta:f fd_gamma:f fd_vega:f fd_theta:f fd_rho:f", digits=3)

@@ -127,6 +127,19 @@ def test_implied_vol_reasons():
     assert f(50.0, 100.0, 50.0, 1.0, 0.0, True) == "at_intrinsic"
 
 
+def test_every_clean_quote_has_an_american_price(spark, tmp_path):
+    from panelforge.plans import quotes
+
+    spark.createDataFrame([(1, 901.0), (6, 906.0)], "p_partkey long, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    clean = options.clean(quotes.views.quotes(spark, str(tmp_path)))
+    got = quotes.QUERIES["o4_american"](spark, str(tmp_path)).collect()
+    assert len(got) == clean.count() and len({str(r.expiry) for r in got}) == 4
+    one = next(r for r in clean.where("option_type = 'put' AND expiry = (SELECT max(x) FROM VALUES (DATE'1999-01-02') t(x))").collect() if r.strike > r.spot)
+    price = options._tree(*(np.array([x]) for x in (one.spot, one.strike, one.tte, one.true_vol, quotes.RATE, False)), True, 500, 0.0)[0]
+    same = next(r for r in got if (r.underlying, r.expiry, r.strike, r.option_type) == (one.underlying, one.expiry, round(one.strike, 4), "put"))
+    assert same.american == pytest.approx(price, abs=1e-3)
+
+
 def test_fdr(spark):
     p = [("f", "a", 0.001), ("f", "b", 0.5), ("f", "c", None), ("f", "d", 0.04), ("f", "e", float("nan"))]
     got = {r.name: r for r in performance.fdr(spark.createDataFrame(p, "family string, name string, p double"), 0.10).collect()}
