@@ -99,7 +99,7 @@ def permuted(rows: DataFrame, columns, repeats: int, seed: int = 7) -> DataFrame
     return out
 
 
-def permutation_importance(model, rows: DataFrame, features=FEATURES, repeats: int = 5, seed: int = 7) -> DataFrame:
+def permutation_importance(model, rows: DataFrame, features=FEATURES, repeats: int = 199, seed: int = 7) -> DataFrame:
     """feature, importance (mean loss of AUC when it is dealt anew) and p: (1 + label permutations that lose as much) / (repeats + 1)."""
     base = cv.auc(scored(model, rows, features)).first().auc
     dealt = scored(model, permuted(rows, features, repeats, seed), features)
@@ -113,7 +113,7 @@ def permutation_importance(model, rows: DataFrame, features=FEATURES, repeats: i
     return one.join(counts, "feature").withColumn("p", (1 + F.col("k")) / (repeats + 1)).drop("k")
 
 
-def feature_significance(rows: DataFrame, features=FEATURES, repeats: int = 5, alpha: float = 0.10, seed: int = 7, **fit) -> DataFrame:
+def feature_significance(rows: DataFrame, features=FEATURES, repeats: int = 199, alpha: float = 0.10, seed: int = 7, **fit) -> DataFrame:
     """feature, importance, p, q, keep: fitted on three quarters of the ids (by hash), measured on the rest, with false discoveries controlled."""
     part = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(4))
     model = fit_boosted(rows.where(part > 0), features, seed=seed, **fit)

@@ -88,12 +88,12 @@ def g25_cv_scores(spark: SparkSession, d: str) -> DataFrame:
 def g26_permutation_importance(spark: SparkSession, d: str) -> DataFrame:
     _, _, rows = _training(spark, d)
     own = _with_id(rows.where("fold = 0")).persist()
-    return ml.permutation_importance(ml.fit_boosted(own, trees=5), own, repeats=2)
+    return ml.permutation_importance(ml.fit_boosted(own, trees=5), own)
 
 
 def g27_feature_significance(spark: SparkSession, d: str) -> DataFrame:
     _, _, rows = _training(spark, d)
-    return ml.feature_significance(_with_id(rows.where("fold = 0")).persist(), repeats=2, trees=5)
+    return ml.feature_significance(_with_id(rows.where("fold = 0")).persist(), trees=5)
 
 
 def r5_garch_vol(spark: SparkSession, d: str) -> DataFrame:

@@ -147,6 +147,21 @@ def test_fdr(spark):
     assert got["d"].q == pytest.approx(0.06) and got["c"].q is None
 
 
+def test_significance_can_keep_a_feature(spark):
+    import inspect
+
+    from panelforge.operators import ml
+
+    for f in (ml.permutation_importance, ml.feature_significance):
+        repeats = inspect.signature(f).parameters["repeats"].default
+        assert 1 / (repeats + 1) <= 0.10 / len(signals.FEATURES)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(160, 2))
+    rows = spark.createDataFrame([(i, float(a), float(b), float(a > 0)) for i, (a, b) in enumerate(x)], "id long, good double, noise double, y double").persist()
+    got = {r.feature: r for r in ml.feature_significance(rows, ("good", "noise"), trees=3).collect()}
+    assert got["good"].keep and got["good"].p == pytest.approx(1 / 200) and not got["noise"].keep
+
+
 def test_purged_folds(spark):
     rows = [(f"T{k}", DAY0 + dt.timedelta(days=i), DAY0 + dt.timedelta(days=i + 1)) for i in range(100) for k in range(3)]
     got = cv.purged_folds(spark.createDataFrame(rows, "ticker string, date date, t1 date"), 5, 5)
