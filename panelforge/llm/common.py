@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,32 +23,73 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Odd multipliers of 64-bit hash mixing (golden ratio and two primes).
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
+#: Paths that ``written`` made within the innermost ``scratch``.
+_MADE: list[list[str]] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where that is unset and the session is local, one of our own; a cluster needs the setting.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
+def put(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
+    made, path = put(df, name)
+    if _MADE:
+        _MADE[-1].append(path)
+    return made
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end the tables that ``written`` made within: what is to last must be written elsewhere by then."""
+    _MADE.append([])
+    try:
+        yield _MADE[-1]
+    finally:
+        for path in _MADE.pop():
+            removed(spark, path)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches (Spark bounds their bytes) in slices of ``rows`` rows, so that what a task makes of them stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df, with its session's Arrow batches at ``rows`` rows: of texts with long ones among them, the default of 10,000 rows takes a task hundreds of MB."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    return df
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def fold(doc_id: str | Column, of: int) -> Column:

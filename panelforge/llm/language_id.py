@@ -8,10 +8,12 @@ full each language's slice is), decide.
 
 N-grams are runs of ``SIZES`` bytes of the lower-cased text with all but letters
 made blanks. A language learns the n-grams that make up at least ``SHARE`` of
-its own and that no other language uses ``RATIO`` times as often. Counts come from at
+its own, whoever else has them: the filter says who does, and the counts decide. Counts come from at
 most about ``SAMPLE`` labelled documents (a hash of the id chooses), aggregated by
 Spark; the filter has ``2 ** BITS`` slots of 64 bits, whatever the input's size.
 
+A very long text is handled whole, its n-grams in pieces that overlap.
+
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; where
 nothing can be learnt every text is ``und``; of equal counts the language first in
 code-point order wins; null languages teach nothing; more than 64 languages raise
@@ -27,32 +29,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import bounded_sample, small_batches
+from panelforge.llm.common import bounded_sample, sliced
 
 SIZES = (3, 4)
 BITS = 18
 SAMPLE = 20_000
 SHARE = 2e-5
-RATIO = 0.5
 PIECE = 1 << 20
 
 _LETTERS = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
 
 
-def grams(text: str, sizes: tuple[int, ...] = SIZES) -> np.ndarray:
-    """Every n-gram of a text as a number: its bytes and its length. Runs of blanks count as one."""
+def pieces(text: str, sizes: tuple[int, ...] = SIZES, piece: int = PIECE) -> Iterator[np.ndarray]:
+    """Every n-gram of a text, once, as a number: its bytes and its length. Runs of blanks count as one. The n-grams
+    that begin in one piece of ``piece`` bytes come together, which bounds what a very long text takes."""
     raw = _LETTERS[np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8)]
     blank = raw == 32
-    raw = raw[~(blank & np.append(False, blank[:-1]))].astype(np.int64)
-    out = []
-    for n in sizes:
-        if len(raw) < n:
-            continue
-        g = np.full(len(raw) - n + 1, n, np.int64)
-        for i in range(n):
-            g = (g << 8) | raw[i : len(raw) - n + 1 + i]
-        out.append(g)
-    return np.concatenate(out) if out else np.empty(0, np.int64)
+    raw = raw[~(blank & np.append(False, blank[:-1]))]
+    for lo in range(0, len(raw), piece):
+        out = []
+        for n in sizes:
+            part = raw[lo : lo + piece + n - 1].astype(np.int64)
+            g = np.full(max(0, len(part) - n + 1), n, np.int64)
+            for i in range(n):
+                g = (g << 8) | part[i : len(part) - n + 1 + i]
+            out.append(g)
+        yield np.concatenate(out)
+
+
+def grams(text: str, sizes: tuple[int, ...] = SIZES) -> np.ndarray:
+    return np.concatenate(list(pieces(text, sizes)))
 
 
 def _places(g: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +69,7 @@ def _places(g: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches):
         by: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             by.setdefault(lang, []).append(grams(text.as_py() or ""))
@@ -84,8 +90,8 @@ class Filter:
         """Corrected number of n-grams that each language holds."""
         bits = len(self.masks).bit_length() - 1
         total, n = np.zeros(len(self.langs)), 0
-        for at in range(0, max(1, len(text)), PIECE):  # bounds the memory of a very long text
-            a, b = _places(grams(text[at : at + PIECE]), bits)
+        for g in pieces(text):
+            a, b = _places(g, bits)
             found = self.masks[a] & self.masks[b]
             if len(self.langs) <= 8:
                 seen = np.bincount(found.astype(np.uint8), minlength=256)
@@ -96,7 +102,7 @@ class Filter:
         return np.maximum(0.0, (total - n * self.false) / (1.0 - self.false))
 
 
-def fit(documents: DataFrame, sample: int = SAMPLE, bits: int = BITS, share: float = SHARE, ratio: float = RATIO) -> Filter:
+def fit(documents: DataFrame, sample: int = SAMPLE, bits: int = BITS, share: float = SHARE) -> Filter:
     """A filter learnt from the rows' text and non-null lang."""
     known = documents.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     chosen = bounded_sample(known.select("doc_id", "lang", "text"), sample)
@@ -106,8 +112,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE, bits: int = BITS, share: flo
     if len(langs) > 64:
         raise ValueError("the masks hold 64 languages at most")
     rates = counts.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("rate"))  # totals: a row a language
-    top = rates.groupBy("gram").agg(F.max("rate").alias("top"))
-    kept = rates.where(F.col("rate") >= share).join(top, "gram").where(F.col("rate") >= ratio * F.col("top")).select("lang", "gram")
+    kept = rates.where(F.col("rate") >= share).select("lang", "gram")
     masks = np.zeros(1 << bits, np.uint64)
     rows = kept.toPandas()  # at most 1 / share n-grams a language
     for k, lang in enumerate(langs):
@@ -122,7 +127,7 @@ def predict(documents: DataFrame, model: Filter) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in batches:
+        for b in sliced(batches):
             langs, scores = [], []
             for text, letter in zip(b.column(1), b.column(2).to_pylist(), strict=True):
                 if not letter or not m.langs:
@@ -137,4 +142,4 @@ def predict(documents: DataFrame, model: Filter) -> DataFrame:
 
     kind = dict(documents.dtypes)["doc_id"]
     rows = documents.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
-    return small_batches(rows).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")

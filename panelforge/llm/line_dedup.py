@@ -1,9 +1,10 @@
 """Operator 5: line dedup by a deletion-neighbourhood join.
 
-A line (cut at ``\\n``, ASCII blanks trimmed, ``MIN_CHARS`` characters or more) goes
-if an earlier line of the corpus, in the order of (doc_id, line number), is within
-one edit of it: equal, or one character inserted, deleted or replaced. So the
-earliest of each neighbourhood stays. Shorter lines always stay.
+A line (cut at ``\\n``, ASCII blanks trimmed, not empty) goes if an earlier line of the
+corpus, in the order of (doc_id, text hash, line number), is equal to it or, where both have
+``EDIT_CHARS`` characters or more, within one edit of it: one character inserted, deleted or
+replaced. So the earliest of each neighbourhood stays. Lines of fewer characters have an edit
+bound of 0 (one edit makes another word of them); blank lines always stay.
 
 Two lines within one edit share a variant with one character deleted:
 * one of them less a character is the other (insertion), or
@@ -22,8 +23,10 @@ one character of that block deleted.
 
 Edge cases: rows with a null doc_id or text pass unchanged and take no part; an
 empty text stays empty; a text all of whose lines go becomes empty, and its row stays;
-rows with equal doc_id count as one document; a very long line is handled whole, in
-memory in proportion to it; an empty table gives an empty result; other columns are kept.
+rows equal in doc_id and text count as one document and get equal results, rows of one doc_id
+with different texts are told apart by a hash of the text; ids may be of any type that has an
+order; a very long line is handled whole, in memory in proportion to it; an empty table gives an
+empty result; other columns are kept, but for ``n_lines`` and ``n_removed``, which the result's replace.
 """
 
 from __future__ import annotations
@@ -35,18 +38,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import mixed, small_batches, written
+from panelforge.llm.common import fresh, mixed, sliced, written
+
+EDIT_CHARS = 20
+BLOCKS = 2
+BATCH = 1 << 16
 
-MIN_CHARS = 20
-BLOCKS = 4
 _BLANKS = " \t\r\x0b\x0c"
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-BATCH = 1 << 16
+_AT = ("doc", "th", "pos")
 
 
 def _block_keys(line: Column, n: Column, blocks: int) -> Column:
-    """Structs (key, m, block): the line less each block, as one of length m = n, and of m = n - 1 (with one character more)."""
+    """The line less each block, as one of length m = n, then of m = n - 1 (with one character more)."""
     keys = []
     for less in (0, 1):
         m = n - less
@@ -58,11 +63,11 @@ def _block_keys(line: Column, n: Column, blocks: int) -> Column:
     return F.array(*keys)
 
 
-def lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, pos and line of every line that takes part."""
-    rows = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    rows = rows.withColumn("line", F.btrim("line", F.lit(_BLANKS)))
-    return rows.where(F.length("line") >= min_chars)
+def lines(documents: DataFrame) -> DataFrame:
+    """doc, th (the text's hash), pos and line of every line that takes part."""
+    rows = documents.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    rows = rows.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return rows.withColumn("line", F.btrim("line", F.lit(_BLANKS))).where("line <> ''")
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,99 +95,106 @@ def variants(line: str, block: int, less: int, blocks: int = BLOCKS) -> tuple[np
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out():
-        sizes = [len(k) for k in keys]
-        cols = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(roles)), pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.repeat(np.array(places, np.int32), sizes))]
-        return pa.record_batch(cols, ["key", "role", "doc_id", "pos"])
-
-    keys, roles, ids, places, n = [], [], [], [], 0
-    for b in batches:
-        for doc, pos, line, block in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            k, r = variants(line, block % BLOCKS, block // BLOCKS)
-            keys.append(k)
-            roles.append(r)
-            ids.append(doc)
-            places.append(pos)
-            n += len(k)
-            if n >= BATCH:
-                yield out()
-                keys, roles, ids, places, n = [], [], [], [], 0
-    if keys:
-        yield out()
+    """key, role and place of every variant of (doc, th, pos, line, blocks)."""
+    for b in sliced(batches):
+        keys, roles, sizes, held, began = [], [], [], 0, 0
+        for i in range(b.num_rows):
+            line, n = b.column(3)[i].as_py(), 0
+            for block in b.column(4)[i].as_py():
+                k, r = variants(line, block % BLOCKS, block // BLOCKS)
+                keys.append(k)
+                roles.append(r)
+                n += len(k)
+            sizes.append(n)
+            held += n
+            if held >= BATCH or i == b.num_rows - 1:
+                of = pa.array(np.repeat(np.arange(began, i + 1), sizes))
+                cols = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(roles)), *(b.column(c).take(of) for c in range(3))]
+                yield pa.record_batch(cols, ["key", "role", *_AT])
+                keys, roles, sizes, held, began = [], [], [], 0, i + 1
 
 
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines of each text that its list of (pos, block) names."""
-    for b in batches:
-        for doc, text, want in zip(b.column(0), b.column(1), b.column(2), strict=True):
-            parts, want = text.as_py().split("\n"), want.as_py()
+    """The lines of each text that its list of (pos, blocks) names."""
+    for b in sliced(batches):
+        for i in range(b.num_rows):
+            parts, want = b.column(2)[i].as_py().split("\n"), b.column(3)[i].as_py()
+            of = pa.array(np.full(len(want), i))
             places = [w["pos"] for w in want]
-            cols = [pa.array([doc.as_py()] * len(want), pa.int64()), pa.array(places, pa.int32()), pa.array([parts[p].strip(_BLANKS) for p in places], pa.string()), pa.array([w["block"] for w in want], pa.int32())]
-            yield pa.record_batch(cols, ["doc_id", "pos", "line", "block"])
+            blocks = pa.array([w["blocks"] for w in want], pa.list_(pa.int32()))
+            cols = [b.column(0).take(of), b.column(1).take(of), pa.array(places, pa.int32()), pa.array([parts[p].strip(_BLANKS) for p in places], pa.string()), blocks]
+            yield pa.record_batch(cols, [*_AT, "line", "blocks"])
 
 
-def first_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id and pos of each different line's first occurrence, with its block keys."""
-    found = lines(documents, min_chars)
+def first_lines(documents: DataFrame, edit_chars: int = EDIT_CHARS) -> DataFrame:
+    """Number, doc, th and pos of each different line's first occurrence, with its block keys."""
     n = F.length("line")
-    rows = found.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), F.struct("doc_id", "pos").alias("at"), _block_keys(F.col("line"), n, BLOCKS).alias("keys"))
+    keys = F.when(n >= edit_chars, _block_keys(F.col("line"), n, BLOCKS)).otherwise(F.expr("array()").cast("array<bigint>"))
+    rows = lines(documents).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), F.struct(*_AT).alias("at"), keys.alias("keys"))
     firsts = rows.groupBy("h1", "h2").agg(F.min_by("keys", "at").alias("keys"), F.min("at").alias("at"))
-    return firsts.select("at.doc_id", "at.pos", "keys")
+    return firsts.select(F.monotonically_increasing_id().alias("nr"), *(f"at.{c}" for c in _AT), "keys")
 
 
 def near_pairs(documents: DataFrame, firsts: DataFrame) -> DataFrame:
-    """doc_id, pos of the first lines that have an earlier line one edit away."""
-    spread = firsts.select("doc_id", "pos", F.posexplode("keys").alias("block", "bk"))
-    shared = spread.groupBy("bk").agg(F.min(F.struct("doc_id", "pos")).alias("a"), F.max(F.struct("doc_id", "pos")).alias("b")).where("a <> b").select("bk")
-    hot = spread.join(shared, "bk", "left_semi")
-    wanted = hot.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "block")).alias("want"))  # the lines of one document
-    texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = small_batches(texts).join(wanted, "doc_id").mapInArrow(_wanted, "doc_id long, pos int, line string, block int")
-    candidates = written(found, "line-candidates")
-    emitted = candidates.select("doc_id", "pos", "line", "block").mapInArrow(_emit, "key long, role byte, doc_id long, pos int")
-    at = F.struct("doc_id", "pos")
+    """doc, th, pos of the first lines that have an earlier line one edit away.
+
+    A different line has each of its block keys once, so a key counted twice is one of two lines.
+    """
+    shared = firsts.select(F.explode("keys").alias("bk")).groupBy("bk").count().where("count > 1").select("bk")
+    spread = firsts.select("nr", F.posexplode("keys").alias("block", "bk"))
+    hot = spread.join(shared, "bk", "left_semi").groupBy("nr").agg(F.collect_list("block").alias("blocks"))  # 2 * BLOCKS at most
+    places = hot.join(firsts.select("nr", *_AT), "nr")
+    wanted = written(places.groupBy("doc", "th").agg(F.collect_list(F.struct("pos", "blocks")).alias("want")), "line-wanted")  # the lines of one document
+    texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), "text")
+    found = texts.join(wanted, ["doc", "th"]).select("doc", "th", "text", "want")
+    kind = dict(firsts.dtypes)["doc"]
+    candidates = found.mapInArrow(_wanted, f"doc {kind}, th long, pos int, line string, blocks array<int>").dropDuplicates(list(_AT))
+    candidates = written(candidates, "line-candidates")
+    emitted = candidates.select(*_AT, "line", "blocks").mapInArrow(_emit, f"key long, role byte, doc {kind}, th long, pos int")
+    at = F.struct(*_AT)
     least = [F.min(F.when(F.col("role") == r, at)).alias(f"m{r}") for r in (0, 1, 2)]
     several = F.max(at) != F.min(at)
     met = emitted.groupBy("key").agg(*least, several.alias("several")).where("several").drop("several")
     partner = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
-    pairs = emitted.join(met, "key").select("doc_id", "pos", partner.alias("other")).where(F.col("other") < at).distinct()
-    pairs = pairs.select("doc_id", "pos", F.col("other.doc_id").alias("o_doc"), F.col("other.pos").alias("o_pos"))
-    text = candidates.groupBy("doc_id", "pos").agg(F.first("line").alias("line"))
-    other = text.select(F.col("doc_id").alias("o_doc"), F.col("pos").alias("o_pos"), F.col("line").alias("o_line"))
-    seen = pairs.join(text, ["doc_id", "pos"]).join(other, ["o_doc", "o_pos"])
-    return seen.where(F.levenshtein("line", "o_line", 1) >= 0).select("doc_id", "pos").distinct()
+    pairs = emitted.join(met, "key").select(*_AT, partner.alias("other")).where(F.col("other") < at).distinct()
+    pairs = pairs.select(*_AT, *(F.col(f"other.{c}").alias(f"o_{c}") for c in _AT))
+    text = candidates.select(*_AT, "line")
+    other = text.select(*(F.col(c).alias(f"o_{c}") for c in _AT), F.col("line").alias("o_line"))
+    seen = pairs.join(text, list(_AT)).join(other, [f"o_{c}" for c in _AT])
+    return seen.where(F.levenshtein("line", "o_line", 1) >= 0).select(*_AT).distinct()
 
 
-def dedup(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """documents with the repeated lines taken out of ``text``, and n_lines, n_removed."""
-    firsts = written(first_lines(documents, min_chars), "line-firsts")
+def dedup(documents: DataFrame, edit_chars: int = EDIT_CHARS, counts: bool = True) -> DataFrame:
+    """documents with the repeated lines taken out of ``text``, and (``counts``) n_lines, n_removed."""
+    firsts = written(first_lines(documents, edit_chars), "line-firsts")
     near = written(near_pairs(documents, firsts), "line-near")
-    kept = firsts.select("doc_id", "pos").join(near, ["doc_id", "pos"], "left_anti").groupBy("doc_id").agg(F.collect_list("pos").alias("_kept"))
-    base = documents.drop("n_lines", "n_removed", "_kept")
-    both = base.join(kept, "doc_id", "left")
+    mark = fresh(documents, "kept_places")
+    kept = firsts.select(*_AT).join(near, list(_AT), "left_anti").groupBy("doc", "th").agg(F.collect_list("pos").alias(mark))
+    base = documents.drop("n_lines", "n_removed") if counts else documents
     names = base.columns
+    both = base.join(kept, (base["doc_id"] == kept["doc"]) & (F.xxhash64(base["text"]) == kept["th"]), "left").select(*(base[c] for c in names), kept[mark])
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = names.index("text")
-        for b in batches:
-            by = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+        i, t, k = names.index("doc_id"), names.index("text"), len(names)
+        for b in sliced(batches):
             texts, totals, gone = [], [], []
-            for doc, text, keep in zip(by["doc_id"].to_pylist(), by["text"], by["_kept"], strict=True):
+            for doc, text, keep in zip(b.column(i), b.column(t), b.column(k), strict=True):
                 text = text.as_py()
-                if text is None or doc is None:
+                if text is None or not doc.is_valid:
                     texts.append(text)
                     totals.append(len(text.split("\n")) if text else 0)
                     gone.append(0)
                     continue
                 parts = text.split("\n")
                 first = set(keep.as_py() or ())
-                left = [x for i, x in enumerate(parts) if i in first or len(x.strip(_BLANKS)) < min_chars]
+                left = [x for i, x in enumerate(parts) if i in first or not x.strip(_BLANKS)]
                 texts.append("\n".join(left))
                 totals.append(len(parts) if text else 0)
                 gone.append(len(parts) - len(left))
-            cols = [by[n] for n in names]
+            cols = [b.column(c) for c in range(k)]
             cols[t] = pa.array(texts, pa.string())
-            yield pa.record_batch([*cols, pa.array(totals, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_lines", "n_removed"])
+            more = [pa.array(totals, pa.int64()), pa.array(gone, pa.int64())] if counts else []
+            yield pa.record_batch([*cols, *more], [*names, *(("n_lines", "n_removed") if counts else ())])
 
     schema = ", ".join(f"`{n}` {k}" for n, k in base.dtypes)
-    return small_batches(both).mapInArrow(rebuild, f"{schema}, n_lines long, n_removed long")
+    return both.mapInArrow(rebuild, schema + (", n_lines long, n_removed long" if counts else ""))

@@ -14,18 +14,20 @@ similarity is ``PERCENT`` % or more, confirmed on the full sets.
 3. Each key's bucket has a head, the class with the most shared keys, and every
    member meets its heads first, exactly. What links to a head is done with it.
 4. The members of a head's buckets that do not link to it, its outsiders, meet all of its
-   other members in blocks: numpy compares a block of outsiders with a block of members and emits
+   other members: numpy compares the outsiders of a cell with its members and emits
    links alone. A pair is compared exactly if it shares a key, if sizes allow it and if
    the distances to the head do (Jaccard distance is a metric: a pair within 0.2 has
    distances to the head that differ by 0.2 at most). Two classes that share a key share its
-   head, so every pair of every bucket is linked, compared or ruled out: no cap. Members
-   of one head are dealt over ``BLOCK``-row blocks, so a hot group is spread over tasks.
+   head, so every pair of every bucket is linked, compared or ruled out: no cap.
+
+A head's set is sent once for ``DEAL`` of its members, which are dealt over tasks; outsiders and
+members of one head form a grid of cells of about ``CELL`` each, a group of its own each. So a hot
+group is spread over tasks, each of bounded memory.
 
 Edge cases: a null or empty text has an empty set and links with nothing; rows with a
-null doc_id link with nothing and have a null component; of rows with one doc_id but
-different texts, classes that the id stands for are sought by one of its texts; a very
-long text is handled whole, in memory in proportion to it; an empty table gives an empty
-result; other columns are ignored.
+null doc_id link with nothing and have a null component; rows of one doc_id with different
+texts count as linked, each with its own set; a very long text is handled whole, in memory in
+proportion to it; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,12 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import mixed, small_batches, windows, word_hashes, written
+from panelforge.llm.common import mixed, sliced, windows, word_hashes, written
 from panelforge.llm.components import components
 
-SPAN, PERCENT = 4, 80
+SPAN, PERCENT = 5, 80
 CHUNKS, WIDTH = 12, 6
-BLOCK = 256
+DEAL, CELL = 64, 1024
 BATCH = 1 << 20
 
 _SYMBOLS = CHUNKS * WIDTH
@@ -74,17 +76,16 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def _sign(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, sets, size, at = [], [], 0, 0
-            for i, x in enumerate(b.column(1)):
+        for b in sliced(batches):
+            sets, size, at = [], 0, 0
+            for i, x in enumerate(b.column(2)):
                 sets.append(shingles(x.as_py(), span))
                 size += len(sets[-1])
                 if size >= BATCH or i == b.num_rows - 1:
-                    ids = b.column(0).slice(at, len(sets))
-                    yield made(ids, sets)
+                    yield made(b.slice(at, len(sets)), sets)
                     sets, size, at = [], 0, i + 1
 
-    def made(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    def made(rows: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
         n = np.array([len(s) for s in sets], np.int64)
         full = [s for s in sets if len(s)]
         h1, h2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
@@ -97,7 +98,8 @@ def _sign(span: int):
                 h2[on] = np.add.reduceat(mixed(flat, flat), starts)
             for k, s in zip(on, signatures(full), strict=True):
                 sigs[k] = s.tobytes()
-        return pa.record_batch([ids, pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sigs, pa.binary())], ["doc_id", "n", "h1", "h2", "sig"])
+        made = [pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sigs, pa.binary())]
+        return pa.record_batch([rows.column(0), rows.column(1), *made], ["doc_id", "th", "n", "h1", "h2", "sig"])
 
     return run
 
@@ -138,53 +140,49 @@ def _alike(n: np.ndarray, m: np.ndarray, both: np.ndarray) -> np.ndarray:
     return 100 * both >= PERCENT * (n + m - both)
 
 
-def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h, id, distance, linked of each member and its head."""
-    for b in batches:
-        d, on = np.empty(b.num_rows), np.empty(b.num_rows, bool)
-        for i in range(b.num_rows):
-            x, y = (np.frombuffer(b.column(k)[i].as_buffer(), np.uint64) for k in (2, 3))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            d[i], on[i] = 1 - both / (len(x) + len(y) - both), _alike(len(x), len(y), both)
-        yield pa.record_batch([b.column(0), b.column(1), pa.array(d), pa.array(on)], ["h", "id", "d", "linked"])
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of rows (h, id, d, linked, sig, set) that come sorted by (h, linked)."""
-    names = ["h", "outside", "ids", "ds", "sizes", "sigs", "sets"]
-
-    def block():
-        h, linked = key
-        ids, ds, sigs, sets = zip(*rows, strict=True)
-        return pa.record_batch([pa.array([h]), pa.array([not linked]), *(pa.array([x], pa.binary()) for x in (np.array(ids, np.int64).tobytes(), np.array(ds).tobytes(), np.array([len(x) // 8 for x in sets], np.int64).tobytes(), b"".join(sigs), b"".join(sets)))], names)
-
-    key, rows = None, []
-    for b in batches:
-        for h, i, d, linked, sig, full in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if rows and ((h, linked) != key or len(rows) >= BLOCK):
-                yield block()
-                rows = []
-            key = (h, linked)
-            rows.append((i, d, sig, full))
-    if rows:
-        yield block()
-
-
-def _unpacked(ids, ds, sizes, sigs, sets):
-    n = np.frombuffer(sizes, np.int64)
-    return np.frombuffer(ids, np.int64), np.frombuffer(ds), n, np.frombuffer(sigs, np.uint16).reshape(len(n), CHUNKS, WIDTH), np.frombuffer(sets, np.uint64)
+def _runs(keys: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Where rows of equal keys begin and end."""
+    n = len(keys[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    starts = np.flatnonzero(new)
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True))
 
 
-def block_links(x: tuple, y: tuple, same: bool) -> list[tuple[int, int]]:
-    """The links between a block of outsiders and a block of members of one head."""
-    xi, xd, xn, xs, xset = x
-    yi, yd, yn, ys, yset = y
+def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, id, distance, linked of each member and its head. Rows come by (h, salt, role), the head (role 0) before its members."""
+    head = np.empty(0, np.uint64)
+    for b in sliced(batches):
+        role, d, on = b.column(2).to_numpy(), np.empty(b.num_rows), np.empty(b.num_rows, bool)
+        for i in range(b.num_rows):
+            x = np.frombuffer(b.column(3)[i].as_buffer(), np.uint64)
+            if role[i] == 0:
+                head = x.copy()
+                continue
+            both = len(np.intersect1d(x, head, assume_unique=True))
+            d[i], on[i] = 1 - both / (len(x) + len(head) - both), _alike(len(x), len(head), both)
+        keep = pa.array(role == 1)
+        yield pa.record_batch([b.column(0), b.column(1), pa.array(d), pa.array(on)], ["h", "id", "d", "linked"]).filter(keep)
+
+
+def _block(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """ids, distances, sizes, signatures, sets, whether outsiders of rows (id, d, linked, sig, set)."""
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("set")]
+    sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, CHUNKS, WIDTH)
+    out = ~b.column("linked").to_numpy(zero_copy_only=False)
+    return b.column("id").to_numpy(), b.column("d").to_numpy(), np.array([len(s) for s in sets], np.int64), sig, np.concatenate(sets), out
+
+
+def block_links(x: tuple, y: tuple) -> list[tuple[int, int]]:
+    """The links between a block of outsiders and a block of members of one head; of two outsiders, the one of the larger id is the member."""
+    xi, xd, xn, xs, xset, _ = x
+    yi, yd, yn, ys, yset, y_out = y
     ends, starts = np.cumsum(xn), np.cumsum(yn) - yn
     out = []
     for k in range(len(xi)):
         near = (np.abs(yd - xd[k]) <= 1 - PERCENT / 100 + 1e-9) & (100 * np.minimum(yn, xn[k]) >= PERCENT * np.maximum(yn, xn[k]))
-        if same:
-            near &= yi > xi[k]
+        near &= ~y_out | (yi > xi[k])
         at = np.flatnonzero(near)
         if len(at):  # a common key: some chunk with one error at most
             at = at[((ys[at] != xs[k]).sum(2) <= 1).any(1)]
@@ -199,12 +197,20 @@ def block_links(x: tuple, y: tuple, same: bool) -> list[tuple[int, int]]:
     return out
 
 
-def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for *x, both_outside in zip(*b.columns, strict=True):
-            parts = [v.as_buffer() for v in x]
-            first, second = _unpacked(*parts[:5]), _unpacked(*parts[5:])
-            found = block_links(first, second, both_outside.as_py())
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of each cell. Rows come by (h, s, t, role), the outsiders (role 0) before the members that they meet."""
+    cell, held = None, []
+    for b in sliced(batches, 256):
+        keys = [b.column(k).to_numpy() for k in range(4)]
+        for lo, hi in _runs(keys):
+            here, role = tuple(int(k[lo]) for k in keys[:3]), keys[3][lo]
+            if here != cell:
+                cell, held = here, []
+            part = _block(b.slice(lo, hi - lo))
+            if role == 0:
+                held.append(part)
+                continue
+            found = [pair for x in held for pair in block_links(x, part)]
             if found:
                 u, v = zip(*found, strict=True)
                 yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
@@ -215,40 +221,52 @@ def _links(live: DataFrame, sets: DataFrame) -> DataFrame:
     weight = live.groupBy("id").agg(F.count("*").alias("shared"))
     weighed = live.join(weight, "id")
     heads = weighed.groupBy("key").agg(F.min(F.struct(-F.col("shared"), F.col("id"))).alias("best")).select("key", F.col("best.id").alias("h"))
-    members = live.join(heads, "key").where("id <> h").select("h", "id").distinct()
-    full = sets.select("id", "set")
-    pairs = members.join(full.toDF("id", "y"), "id").join(full.toDF("h", "x"), "h").select("h", "id", "x", "y")
-    star = written(pairs.mapInArrow(_star, "h long, id long, d double, linked boolean"), "near-star")
+    members = written(live.join(heads, "key").where("id <> h").select("h", "id").distinct(), "near-members")
+    dealt = members.groupBy("h").agg(F.ceil(F.count("*") / DEAL).alias("parts"))
+    rows = members.join(dealt, "h").select("h", "id", F.pmod(F.xxhash64("id"), "parts").alias("salt"), F.lit(1).alias("role"))
+    rows = rows.unionByName(dealt.select("h", F.col("h").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("role")))
+    rows = rows.join(sets.select("id", "set"), "id").repartition("h", "salt").sortWithinPartitions("h", "salt", "role")
+    star = written(rows.select("h", "id", "role", "set").mapInArrow(_star, "h long, id long, d double, linked boolean"), "near-star")
     groups = star.groupBy("h").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("o")).where("o > 0 AND n > 1")
-    dealt = star.join(groups, "h").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / (2 * BLOCK))))
-    rows = dealt.join(sets, "id").select("h", "id", "d", "linked", "sig", "set", "salt")
-    rows = rows.repartition("h", "salt").sortWithinPartitions("h", "linked").select("h", "id", "d", "linked", "sig", "set")
-    blocks = written(rows.mapInArrow(_pack, "h long, outside boolean, ids binary, ds binary, sizes binary, sigs binary, sets binary"), "near-blocks")
-    cols = ["ids", "ds", "sizes", "sigs", "sets"]
-    a = blocks.where("outside").select("h", *(F.col(c).alias(f"a_{c}") for c in cols))
-    both = a.join(blocks, "h").select(*(f"a_{c}" for c in cols), *cols, "outside")
-    return star.where("linked").select(F.col("h").alias("u"), F.col("id").alias("v")).unionByName(both.mapInArrow(_between, "u long, v long"))
+    groups = groups.select("h", F.ceil(F.col("o") / CELL).alias("ss"), F.ceil(F.col("n") / CELL).alias("ts"))
+    full = star.join(groups, "h").join(sets, "id")
+    cols = ["h", "s", "t", "role", "id", "d", "linked", "sig", "set"]
+    number = lambda salt, of: F.pmod(F.xxhash64("id", F.lit(salt)), of)
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    outsiders = full.where("NOT linked").withColumn("s", number(1, "ss")).withColumn("t", every("ts")).withColumn("role", F.lit(0)).select(*cols)
+    met = full.withColumn("t", number(2, "ts")).withColumn("s", every("ss")).withColumn("role", F.lit(1)).select(*cols)
+    cells = outsiders.unionByName(met).repartition("h", "s", "t").sortWithinPartitions("h", "s", "t", "role")
+    return star.where("linked").select(F.col("h").alias("u"), F.col("id").alias("v")).unionByName(cells.mapInArrow(_cells, "u long, v long"))
 
 
 def near_duplicates(documents: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(small_batches(texts).mapInArrow(_sign(span), "doc_id long, n long, h1 long, h2 long, sig binary"), "near-signed")
-    alive = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = written(alive.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")), "near-classes")
-    emitted = classes.select("id", "sig").mapInArrow(_keys, "key long, id long")
-    shared = emitted.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    signed = written(texts.mapInArrow(_sign(span), "doc_id long, th long, n long, h1 long, h2 long, sig binary"), "near-signed")
+    takes_part = "n > 0 AND doc_id IS NOT NULL"
+    alive = signed.where(takes_part)
+    classes = alive.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "th")).alias("of"), F.min("sig").alias("sig"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("nr"), F.col("of.doc_id").alias("id"), "of.th", "h1", "h2", "n", "sig"), "near-classes")
+    emitted = classes.select("nr", "sig").mapInArrow(_keys, "key long, id long")
+    shared = emitted.groupBy("key").count().where("count > 1").select("key")  # a class has each of its keys once
     live = written(emitted.join(shared, "key", "left_semi").select("key", "id"), "near-live")
-    ids = live.select(F.col("id").alias("doc_id")).distinct()
-    sets = texts.join(ids, "doc_id").mapInArrow(_sets(span), "id long, sig binary, set binary")
-    if not alive.groupBy("doc_id").count().where("count > 1").isEmpty():  # rows of one doc_id with different texts: that of the class
-        sets = sets.join(classes.select("id", "sig"), ["id", "sig"], "left_semi").dropDuplicates(["id"])
-    comp = components(written(_links(live, written(sets, "near-sets")), "near-links")).withColumnRenamed("label", "comp")
-    of = classes.join(comp, "id", "left").select("h1", "h2", F.col("n").alias("_n"), F.coalesce("comp", "id").alias("component_id"))
-    rows = signed.join(of, (signed.h1 == of.h1) & (signed.h2 == of.h2) & (signed.n == of._n) & signed.doc_id.isNotNull(), "left")
-    component = F.coalesce("component_id", "doc_id")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-
+    asked = classes.join(live.select(F.col("id").alias("nr")).distinct(), "nr", "left_semi").select(F.col("id").alias("doc_id"), "th", "nr")
+    sets = texts.join(asked, ["doc_id", "th"]).select("nr", "text").mapInArrow(_sets(span), "id long, sig binary, set binary")
+    several = alive.groupBy("doc_id").agg(F.count("*").alias("c"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("c > 1")
+    repeated, differing = several.agg(F.count("*"), F.count_if(F.col("lo") != F.col("hi"))).first()
+    if repeated:  # rows equal in doc_id and text
+        sets = sets.dropDuplicates(["id"])
+    number = classes.select("nr", "id")
+    links = written(_links(live, written(sets, "near-sets")), "near-links")
+    links = links.join(number.toDF("u", "a"), "u").join(number.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if differing:  # rows of one doc_id with different texts
+        own = alive.join(several.where("lo <> hi").select("doc_id"), "doc_id", "left_semi").join(classes.select("h1", "h2", "n", "id"), ["h1", "h2", "n"])
+        links = links.unionByName(own.select(F.col("doc_id").alias("u"), F.col("id").alias("v")))
+    comp = components(links).withColumnRenamed("label", "comp")
+    of = classes.join(comp, "id", "left").select("h1", "h2", "n", F.coalesce("comp", "id").alias("component_id"))
+    rows = alive.join(of, ["h1", "h2", "n"], "left").select("doc_id", "n", "component_id")
+    rest = signed.where(f"NOT ({takes_part})").select("doc_id", "n", F.col("doc_id").alias("component_id"))  # not joined: an empty set is no key
+    return rows.unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 SQL = """

@@ -5,7 +5,7 @@ total score. An Aho-Corasick automaton over the pieces reads a text once; at eac
 position its output links name every piece that ends there, and each relaxes the
 best score at that position (Viterbi). Of equal scores the longest last piece
 wins. A character that no piece covers costs the lowest score less 10 and becomes
-its UTF-8 bytes' pieces (``<0xNN>``).
+its UTF-8 bytes' pieces (``<0xNN>``); where the model has not all of them, the unknown piece, which decodes to nothing.
 
 As the model's normaliser says, a blank becomes U+2581 and a text gets one in
 front. A U+2581 of the text itself becomes byte pieces, so that decoding gives
@@ -20,8 +20,8 @@ proportion to it; repeated rows get equal ids; other columns are kept.
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from panelforge.llm.common import small_batches
+from panelforge.llm.common import sliced
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -53,6 +53,7 @@ class Coder:
     """Encodes and decodes with one list of pieces."""
 
     def __init__(self, pieces: list[tuple[str, float, bool]], encodes: bool = True):
+        self.unknown_id = next((i for i, (p, _, on) in enumerate(pieces) if p == "<unk>" and not on), 0)
         if encodes:
             import ahocorasick
 
@@ -80,6 +81,8 @@ class Coder:
         self.old: dict[str, bytes] = {}
 
     def _bytes(self, char: str) -> list[int]:
+        if len(self.byte_id) < 256:  # no byte pieces: the unknown piece
+            return [self.unknown_id]
         return [self.byte_id[c] for c in char.encode("utf-8", "surrogatepass")]
 
     def chunk(self, s: str) -> bytes:
@@ -153,12 +156,19 @@ class Coder:
 _CODERS: dict[tuple, Coder] = {}
 
 
+def _sent(model: str) -> tuple[str, list[tuple[str, float, bool]]]:
+    """The whole vocabulary's digest, and the vocabulary."""
+    pieces = read_model(model)
+    return hashlib.sha256(repr(pieces).encode()).hexdigest(), pieces
+
+
 def _coder(sent, encodes: bool = True) -> Coder:
     """One coder a model and Python worker."""
-    key = (zlib.crc32(repr((len(sent.value), sent.value[-50:])).encode()), encodes)
+    digest, pieces = sent.value
+    key = (digest, encodes)
     if key not in _CODERS:
         _CODERS.clear()
-        _CODERS[key] = Coder(sent.value, encodes)
+        _CODERS[key] = Coder(pieces, encodes)
     return _CODERS[key]
 
 
@@ -168,11 +178,11 @@ def _added(df: DataFrame, column: str, kind: T.DataType) -> T.StructType:
 
 def encode(documents: DataFrame, model: str = MODEL, text: str = "text", out: str = "ids") -> DataFrame:
     """documents with the ids of ``text`` in the array column ``out`` (replaced where it exists)."""
-    sent = documents.sparkSession.sparkContext.broadcast(read_model(model))  # one vocabulary
+    sent = documents.sparkSession.sparkContext.broadcast(_sent(model))  # one vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(sent)
-        for b in batches:
+        for b in sliced(batches):
             names = [n for n in b.schema.names if n != out]
             texts = b.column(b.schema.names.index(text))
             ids = [None if x is None else coder.encode(x) for x in (v.as_py() for v in texts)]
@@ -181,19 +191,19 @@ def encode(documents: DataFrame, model: str = MODEL, text: str = "text", out: st
             made = pa.ListArray.from_arrays(starts, pa.array(np.frombuffer(b"".join(x or b"" for x in ids), np.int32)))
             yield pa.record_batch([*(b.column(b.schema.names.index(n)) for n in names), made], [*names, out])
 
-    return small_batches(documents).mapInArrow(run, _added(documents, out, T.ArrayType(T.IntegerType())))
+    return documents.mapInArrow(run, _added(documents, out, T.ArrayType(T.IntegerType())))
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """encoded with the text of ``ids`` in the column ``out`` (replaced where it exists)."""
-    sent = encoded.sparkSession.sparkContext.broadcast(read_model(model))
+    sent = encoded.sparkSession.sparkContext.broadcast(_sent(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(sent, encodes=False)
-        for b in batches:
+        for b in sliced(batches):
             names = [n for n in b.schema.names if n != out]
             rows = b.column(b.schema.names.index(ids))
             texts = [None if not r.is_valid else coder.decode(r.values.to_numpy(zero_copy_only=False).tolist()) for r in rows]
             yield pa.record_batch([*(b.column(b.schema.names.index(n)) for n in names), pa.array(texts, pa.string())], [*names, out])
 
-    return small_batches(encoded).mapInArrow(run, _added(encoded, out, T.StringType()))
+    return encoded.mapInArrow(run, _added(encoded, out, T.StringType()))

@@ -8,7 +8,7 @@ reduced to their kind, so that unseen words share features), each hashed into
 
 Fitting uses at most about ``SAMPLE`` labelled documents (a hash of the id
 chooses). They are dealt over ``SHARDS`` tasks; each runs FTRL over its own and
-returns its non-zero weights, and the mean over shards is the model. L1 keeps it
+returns its non-zero weights, and the mean over the shards that had rows is the model. L1 keeps it
 sparse; at worst it holds ``2 ** BITS`` numbers, whatever the input's size, which
 bounds the broadcast.
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import bounded_sample, mixed, settled_labels, small_batches, word_hashes
+from panelforge.llm.common import bounded_sample, mixed, settled_labels, sliced, word_hashes
 
 BITS = 20
 SAMPLE = 16_000
@@ -99,8 +99,8 @@ def _fit_shard(bits: int, epochs: int):
             x = counts / max(1, counts.sum()) * SCALE
             rows.append((np.append(at, 1 << bits), np.append(x, 1.0)))
         w = ftrl(rows, pdf["label"].to_numpy(float), 1 << bits, epochs)
-        at = np.flatnonzero(w)
-        return pd.DataFrame({"slot": at.astype(np.int64), "w": w[at]})
+        at = np.append(np.flatnonzero(w[:-1]), 1 << bits)
+        return pd.DataFrame({"slot": at.astype(np.int64), "w": w[at], "rows": (at == 1 << bits).astype(np.int32)})
 
     return fit
 
@@ -114,10 +114,10 @@ def fit(documents: DataFrame, labels: DataFrame, column: str = "quality", bits:
         .withColumn("turn", F.xxhash64("doc_id", F.lit(3)))
         .withColumn("shard", F.pmod("turn", F.lit(shards)))
     )
-    models = rows.groupBy("shard").applyInPandas(_fit_shard(bits, epochs), "slot long, w double")
+    models = rows.groupBy("shard").applyInPandas(_fit_shard(bits, epochs), "slot long, w double, rows int")
+    models = models.groupBy("slot").agg(F.sum("w").alias("w"), F.sum("rows").alias("rows")).toPandas()  # a bounded model
     w = np.zeros((1 << bits) + 1)
-    for r in models.groupBy("slot").agg(F.sum("w").alias("w")).toPandas().itertuples():  # a bounded model
-        w[r.slot] = r.w / shards
+    w[models["slot"]] = models["w"] / max(1, int(models["rows"].sum()))  # one row of a shard's counts it
     return w
 
 
@@ -130,7 +130,7 @@ def score(documents: DataFrame, weights: np.ndarray, bits: int = BITS, threshold
         idx, val = model.value
         w = np.zeros((1 << bits) + 1, np.float32)
         w[idx] = val
-        for b in batches:
+        for b in sliced(batches):
             out = np.empty(b.num_rows)
             for i, text in enumerate(b.column(1)):
                 at = slots(text.as_py(), bits)
@@ -139,4 +139,4 @@ def score(documents: DataFrame, weights: np.ndarray, bits: int = BITS, threshold
             yield pa.record_batch([b.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     kind = dict(documents.dtypes)["doc_id"]
-    return small_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")

@@ -20,13 +20,14 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import bounded_sample, small_batches, windows, word_hashes
+from panelforge.llm.common import bounded_sample, sliced, windows, word_hashes
 
 SAMPLE = 400
 MIN_WORDS, MAX_REPEAT_PERCENT, SPAN = 10, 20, 5
@@ -36,18 +37,21 @@ _CONTINUED = bytes(range(0x80, 0xC0))
 
 
 class Text:
-    """A text and what the rules share of it, computed when first asked for."""
+    """A text and what the rules share of it, computed when first asked for and kept."""
 
     def __init__(self, text: str | None):
         self.raw = (text or "").encode("utf-8", "surrogatepass")
         self.words = self.raw.split()
 
+    @cached_property
     def word_chars(self) -> int:
         return len(b"".join(self.words).translate(None, _CONTINUED))
 
+    @cached_property
     def n_symbols(self) -> int:
         return len(self.raw.translate(None, _NOT_SYMBOLS))
 
+    @cached_property
     def n_dup_lines(self) -> int:
         seen, again = set(), 0
         for line in self.raw.split(b"\n"):
@@ -74,7 +78,7 @@ class Text:
 
 def symbols(t: Text) -> bool:
     """More than one symbol in four words."""
-    return 4 * t.n_symbols() > len(t.words)
+    return 4 * t.n_symbols > len(t.words)
 
 
 def shouting(t: Text) -> bool:
@@ -87,12 +91,12 @@ def shouting(t: Text) -> bool:
 def repeated_lines(t: Text) -> bool:
     """More than 30% of the lines with a word (of 5 or more) repeat an earlier one."""
     lines = sum(1 for x in t.raw.split(b"\n") if x.split(None, 1))
-    return lines >= 5 and 10 * t.n_dup_lines() > 3 * lines
+    return lines >= 5 and 10 * t.n_dup_lines > 3 * lines
 
 
 def word_length(t: Text) -> bool:
     """Words of fewer than 2 or more than 14 characters on average."""
-    chars, n = t.word_chars(), len(t.words)
+    chars, n = t.word_chars, len(t.words)
     return chars < 2 * n or chars > 14 * n
 
 
@@ -110,10 +114,12 @@ def plan(documents: DataFrame, rules: tuple = RULES, sample: int = SAMPLE) -> li
     names = [r.__name__ for r in rules]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = [x.as_py() for x in b.column(0)]
             for k, rule in enumerate(rules):
                 fresh = [Text(x) for x in texts]
+                for t in fresh:  # the base statistics are there before the cascade
+                    _ = t.word_chars, t.n_symbols, t.n_dup_lines
                 began = time.perf_counter()
                 out = sum(map(rule, fresh))
                 yield pa.record_batch([pa.array([k]), pa.array([time.perf_counter() - began]), pa.array([out]), pa.array([len(fresh)])], ["k", "s", "out", "n"])
@@ -132,11 +138,11 @@ def apply(documents: DataFrame, order: list[str] | None = None, rules: tuple = R
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             stats, failed, by, ran = [], [], [], []
             for x in b.column(1):
                 t = Text(x.as_py())
-                row = (len(t.words), t.word_chars(), t.n_symbols(), t.n_dup_lines(), t.n_repeat_words())
+                row = (len(t.words), t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words())
                 stats.append(row)
                 failed.append(row[0] < MIN_WORDS or 100 * row[4] > MAX_REPEAT_PERCENT * row[0])
                 who, n = None, 0
@@ -153,7 +159,7 @@ def apply(documents: DataFrame, order: list[str] | None = None, rules: tuple = R
             yield pa.record_batch([b.column(0), *cols, pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_()), pa.array(by, pa.string()), pa.array(ran, pa.int32())], ["doc_id", *counts, "base_failed", "kept", "rejected_by", "rules_run"])
 
     schema = f"doc_id {kind}, {', '.join(f'{c} long' for c in counts)}, base_failed boolean, kept boolean, rejected_by string, rules_run int"
-    return small_batches(documents).select("doc_id", "text").mapInArrow(run, schema)
+    return documents.select("doc_id", "text").mapInArrow(run, schema)
 
 
 SQL = """

@@ -11,7 +11,8 @@ probability p in a Pareto sample: with u uniform from a hash of the id, document
 rank by (u / (1 - u)) / (p / (1 - p)), and each source takes the head of its ranking
 whose words come nearest to what remains of its target.
 
-Nothing gathers a source in one place: ranks are counted in ``BINS`` bins, only the
+Nothing gathers a source in one place: ranks are counted in ``BINS`` bins of about even
+size (a rank times the source's mean odds is u / (1 - u), where documents carry no weights of their own), only the
 bin in which the head ends is ordered, and each source's cut (a row a source) then
 decides every document by itself. DataFrame functions only.
 
@@ -70,14 +71,25 @@ def _drawn(rows: DataFrame, weight: str | None, cap: float) -> DataFrame:
     return rows.withColumn("_rank", F.when(F.col("_p") > 0, u / (1 - u) * ((1 - F.col("_p")) / F.col("_p"))))
 
 
+def _bin() -> Column:
+    """The bin of a rank; it grows with the rank within a source."""
+    odds = F.col("_rank") * F.col("_odds")
+    return F.least(F.lit(BINS - 1), F.floor(odds / (1 + odds) * BINS))
+
+
 def cuts(sizes: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, weight: str | None = None) -> DataFrame:
     """source, source_size, target and _cut, the last (rank, id, size) of the source's sample: a row a source."""
     goal = targets(sizes, weights, cap)
     if weight:
         goal = goal.join(sizes.groupBy("source").agg(F.sum(F.col(weight) * F.col("size")).alias("_weighted")).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+        mean = _drawn(_beside(sizes, goal), weight, cap).groupBy("source").agg(F.avg("_p").alias("_mean")).withColumnRenamed("source", "_s")
+        goal = goal.join(mean, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    else:
+        share = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
+        goal = goal.withColumn("_mean", share - F.floor(share))
+    goal = goal.withColumn("_odds", F.greatest(F.lit(1e-12), F.coalesce("_mean", F.lit(0.0)))).withColumn("_odds", F.col("_odds") / F.greatest(F.lit(1e-12), 1 - F.col("_odds"))).drop("_mean")
     goal = written(goal, "mix-targets")
-    rows = _drawn(_beside(sizes, goal), weight, cap).where("_rank IS NOT NULL")
-    rows = rows.withColumn("_bin", F.least(F.lit(BINS - 1), F.floor(F.col("_rank") / (1 + F.col("_rank")) * BINS)))
+    rows = _drawn(_beside(sizes, goal), weight, cap).where("_rank IS NOT NULL").withColumn("_bin", _bin())
     bins = rows.groupBy("source", "_bin").agg(F.sum("size").alias("_n"), F.sum(F.col("_p") * F.col("size")).alias("_rest"))
     by = Window.partitionBy("source")
     bins = bins.withColumn("_rest", F.sum("_rest").over(by)).withColumn("_end", F.sum("_n").over(by.orderBy("_bin")))
@@ -105,11 +117,10 @@ def _beside(rows: DataFrame, per_source: DataFrame) -> DataFrame:
 def attach(rows: DataFrame, per_source: DataFrame, cap: float = CAP, weight: str | None = None) -> DataFrame:
     """rows (doc_id, source, size, ...) with source_size, target, copies and taken."""
     at = _drawn(_beside(rows, per_source), weight, cap)
-    place = F.least(F.lit(BINS - 1), F.floor(F.col("_rank") / (1 + F.col("_rank")) * BINS))
-    chosen = F.coalesce(place < F.col("_until"), F.lit(False)) | F.coalesce(F.struct("_rank", "doc_id", "size") <= F.col("_cut"), F.lit(False))
+    chosen = F.coalesce(_bin() < F.col("_until"), F.lit(False)) | F.coalesce(F.struct("_rank", "doc_id", "size") <= F.col("_cut"), F.lit(False))
     at = at.withColumn("copies", (F.col("_whole") + F.when(chosen, 1).otherwise(0)).cast("int"))
     at = at.withColumn("taken", F.col("copies") * F.col("size"))
-    return at.drop("_e", "_whole", "_p", "_rank", "_cut", "_until", "_weighted")
+    return at.drop("_e", "_whole", "_p", "_rank", "_cut", "_until", "_weighted", "_odds")
 
 
 def mix(documents: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, weight: str | None = None) -> DataFrame:

@@ -1,22 +1,23 @@
 """Operator 7: toxicity by a factorization machine over hashed terms.
 
 A text is the set of its terms: runs of letters (bytes above 127 count as
-letters), lower-cased, hashed to 32 bits. The score is the logistic of
+letters), lower-cased, and the first ``STEMS`` bytes of each, which inflected and compound
+words share; all hashed to 32 bits. The score is the logistic of
 
     b + sum w_j + 1/2 sum_f ((sum v_jf)^2 - sum v_jf^2),
 
 so pairs such as insult and group mention have weights of their own.
 Fitting uses at most about ``SAMPLE`` labelled documents (a hash of the id
 chooses), dealt over tasks of about ``SHARD_ROWS``. Each task keeps terms found in
-``MIN_DOCS`` of its documents and fits the linear part by FTRL with L1. Factors go to
-terms that keep a linear weight and to those in ``FACTOR_SHARE`` of the documents, whose pairs
-may count where they alone don't; they start from a hash of the term, so that the mean over
-shards is meaningful. The model holds these terms alone: bounded by the sample, not
-by the input.
+``MIN_DOCS`` of its documents; every one of them has a linear weight, fitted by FTRL with L1, and
+factors, fitted by adaptive gradient steps after a first pass for the linear part. A step
+moves a document's own logit by its error at most: long texts, whose terms all move at once,
+would overshoot otherwise. Factors start from a hash of the term, so that the mean over
+shards is meaningful. The model is bounded by the sample, not by the input.
 
 Edge cases: null and empty texts get the score of the bias; without any settled
-training label every score is 0.5; repeated rows get equal scores; documents with
-contradictory labels are not learnt from; other columns are ignored.
+training label every score is 0.5; a shard with one class learns the bias towards it; repeated rows
+get equal scores; documents with contradictory labels are not learnt from; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import bounded_sample, settled_labels, small_batches, word_hashes
+from panelforge.llm.common import bounded_sample, settled_labels, sliced, word_hashes
 
 SAMPLE = 24_000
 SHARD_ROWS = 4_000
@@ -38,34 +39,41 @@ EPOCHS = 8
 FACTORS = 4
 THRESHOLD = 0.3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.5
-V_RATE, V_L2 = 0.05, 0.02
-FACTOR_SHARE = 0.05
+V_RATE, V_L2 = 0.2, 0.002
+STEMS = (4, 5, 6)
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def terms(text: str | None) -> np.ndarray:
     """The 32-bit hashes of a text's terms, each once, in order."""
-    words = list(set((text or "").encode("utf-8", "surrogatepass").translate(_LETTERS).split()))
-    return np.unique((word_hashes(words) >> np.uint64(32)).astype(np.int64))
+    words = set((text or "").encode("utf-8", "surrogatepass").translate(_LETTERS).split())
+    stems = {b"^" + w[:n] for w in words for n in STEMS if len(w) >= n}
+    return np.unique((word_hashes([*words, *stems]) >> np.uint64(32)).astype(np.int64))
 
 
-def _start(ids: np.ndarray, factors: int) -> np.ndarray:
-    """Small factors that depend on the term alone."""
+def _start(ids: np.ndarray, factors: int, width: float) -> np.ndarray:
+    """Factors within +-width that depend on the term alone."""
     with np.errstate(over="ignore"):
         h = (ids.astype(np.uint64)[:, None] + np.arange(1, factors + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B9)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return ((h >> np.uint64(40)).astype(float) / (1 << 24) - 0.5) * 0.02
+    return ((h >> np.uint64(40)).astype(float) / (1 << 24) - 0.5) * 2 * width
 
 
 def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35.0, 35.0)))
 
 
+def logit(at: np.ndarray, w: np.ndarray, v: np.ndarray, bias: float) -> float:
+    """The score before the logistic of a document whose terms are the rows ``at`` of w and v."""
+    total = v[at].sum(0)
+    return float(bias + w[at].sum() + 0.5 * (total @ total - (v[at] ** 2).sum()))
+
+
 def train(rows: list[np.ndarray], y: np.ndarray, size: int, ids: np.ndarray, epochs: int, factors: int) -> tuple[np.ndarray, np.ndarray]:
     """w (the last is the bias) and V. rows hold indexes into ids."""
     z, n = np.zeros(size + 1), np.zeros(size + 1)
-    often = np.bincount(np.concatenate(rows), minlength=size) >= FACTOR_SHARE * len(rows) if rows else np.zeros(size, bool)
-    v, seen = _start(ids, factors), np.full((size, factors), 1e-3)
+    width = 0.5 / np.sqrt(max(1.0, np.mean([len(r) for r in rows]))) if rows else 0.0  # a text's chance pairs add little, whatever its length
+    v, seen = _start(ids, factors, width), np.full((size, factors), 1e-3)
     penalty = np.append(np.full(size, L1), 0.0)
 
     def weights(at):
@@ -75,20 +83,20 @@ def train(rows: list[np.ndarray], y: np.ndarray, size: int, ids: np.ndarray, epo
     for epoch in range(epochs):
         for r, label in zip(rows, y, strict=True):
             at = np.append(r, size)
-            w = weights(at)
-            on = r[(w[:-1] != 0.0) | often[r]] if epoch else r[:0]  # factors: for terms whose own weight holds, and for frequent ones
-            vv = v[on]
+            w, vv = weights(at), v[r]
             total = vv.sum(0)
             g = float(_sigmoid(w.sum() + 0.5 * (total @ total - (vv * vv).sum())) - label)
             root = np.sqrt(n[at])
             n[at] += g * g
             z[at] += g - (np.sqrt(n[at]) - root) / ALPHA * w
-            if len(on):
-                gv = g * (total - vv) + V_L2 * vv
-                seen[on] += gv * gv
-                v[on] = vv - V_RATE * gv / np.sqrt(seen[on])
-    w = weights(np.arange(size + 1))
-    return w, np.where((w[:-1, None] != 0.0) | often[:, None], v, 0.0)
+            if epoch and len(r):
+                gap = total - vv
+                gv = g * gap + V_L2 * vv
+                seen[r] += gv * gv
+                step = gv / np.sqrt(seen[r])
+                reach = abs(float((step * gap).sum()))
+                v[r] = vv - min(V_RATE, abs(g) / max(reach, 1e-12)) * step
+    return weights(np.arange(size + 1)), v
 
 
 def _fit_shard(epochs: int, factors: int, min_docs: int):
@@ -99,8 +107,7 @@ def _fit_shard(epochs: int, factors: int, min_docs: int):
         ids = ids[counts >= min_docs]
         rows = [np.searchsorted(ids, r[np.isin(r, ids, assume_unique=True)]) for r in found]
         w, v = train(rows, pdf["label"].to_numpy(float), len(ids), ids, epochs, factors)
-        at = np.flatnonzero((w[:-1] != 0.0) | (v != 0.0).any(1))
-        return pd.DataFrame({"term": np.append(ids[at], -1), "w": np.append(w[at], w[-1]), "v": [*v[at].tolist(), [0.0] * factors]})
+        return pd.DataFrame({"term": np.append(ids, -1), "w": w, "v": [*v.tolist(), [0.0] * factors]})
 
     return fit
 
@@ -125,15 +132,14 @@ def fit(documents: DataFrame, labels: DataFrame, column: str = "toxic", sample:
     return mean["term"].to_numpy(), mean["w"].to_numpy() / parts_of, mean[[f"v{f}" for f in range(factors)]].to_numpy() / parts_of, bias
 
 
-def _logit(text: str | None, ids: np.ndarray, w: np.ndarray, v: np.ndarray, bias: float) -> float:
-    t = terms(text)
-    if not len(ids) or not len(t):
-        return bias
-    at = np.searchsorted(ids, t)
-    at = at[ids[np.minimum(at, len(ids) - 1)] == t]
-    vv = v[at]
-    total = vv.sum(0)
-    return float(bias + w[at].sum() + 0.5 * (total @ total - (vv * vv).sum()))
+def _logits(texts, model: tuple) -> np.ndarray:
+    ids, w, v, bias = model
+    out = np.full(len(texts), float(bias))
+    for i, text in enumerate(texts if len(ids) else ()):
+        t = terms(text.as_py())
+        at = np.searchsorted(ids, t)
+        out[i] = logit(at[ids[np.minimum(at, len(ids) - 1)] == t], w, v, bias)
+    return out
 
 
 def score(documents: DataFrame, model: tuple, threshold: float = THRESHOLD) -> DataFrame:
@@ -141,12 +147,12 @@ def score(documents: DataFrame, model: tuple, threshold: float = THRESHOLD) -> D
     sent = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = _sigmoid(np.array([_logit(x.as_py(), *sent.value) for x in b.column(1)], float))
+        for b in sliced(batches):
+            p = _sigmoid(_logits(b.column(1), sent.value))
             yield pa.record_batch([b.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     kind = dict(documents.dtypes)["doc_id"]
-    return small_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
 
 
 def keep(documents: DataFrame, model: tuple, threshold: float = THRESHOLD) -> DataFrame:
@@ -155,8 +161,7 @@ def keep(documents: DataFrame, model: tuple, threshold: float = THRESHOLD) -> Da
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = _sigmoid(np.array([_logit(x.as_py(), *sent.value) for x in b.column(at)], float))
-            yield b.filter(pa.array(p < threshold))
+        for b in sliced(batches):
+            yield b.filter(pa.array(_sigmoid(_logits(b.column(at), sent.value)) < threshold))
 
-    return small_batches(documents).mapInArrow(run, documents.schema)
+    return documents.mapInArrow(run, documents.schema)

@@ -1,10 +1,10 @@
 """Operator 3: WARC archives as a PySpark data source, ``format("warc")``.
 
-Writing: each task writes one archive of gzip members, a record each, to a temporary
-name; the driver's commit renames the files of the attempts that succeeded, so lost
+Writing: each task writes archives of gzip members, a record each, to temporary
+names, a new one after ``PART_BYTES``; the driver's commit renames the files of the attempts that succeeded, so lost
 executors leave nothing half-written behind. Each member's gzip header holds the
 sizes of the member (the ``sl`` extra field of the WARC annex on compression), so that a reader can
-go to the next record without inflating this one.
+go to the next record without inflating this one. (A member of 4 GiB or more has no such field, and is inflated.)
 
 Reading: a partition is a run of files of up to ``PART_BYTES`` together. Predicates on
 record type and headers are pushed to the reader: it inflates a record's headers
@@ -17,7 +17,8 @@ A payload is the body of the HTTP response that a ``response`` record holds; a `
 holds the HTTP headers alone and names the record that has the payload.
 
 Edge cases: a null payload is an empty one; a payload may hold any bytes; header values
-lose line breaks; archives of other writers without ``sl`` are read by inflating; a
+lose line breaks; archives of other writers without ``sl`` are read by inflating,
+with or without a ``warcinfo`` record (it has a type, and headers as it gives them); an archive, of whatever size, is one task's; a
 truncated record raises an error; an empty table makes no archive, and an empty folder reads as an empty table.
 """
 
@@ -82,20 +83,21 @@ def record(kind: str, record_id: str, uri: str | None, digest: str, payload: byt
     return b"WARC/1.1\r\n" + b"".join(k + b": " + v + b"\r\n" for k, v in heads) + b"\r\n" + block + b"\r\n\r\n"
 
 
-def member(data: bytes, level: int = LEVEL) -> bytes:
-    """A gzip member with its sizes in the header."""
+def member(data: bytes, level: int = LEVEL, most: int = 0xFFFFFFFF) -> bytes:
+    """A gzip member with its sizes in the header, where they fit."""
     z = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = z.compress(data) + z.flush()
     whole = 10 + 2 + 12 + len(body) + 8
-    extra = b"sl" + (8).to_bytes(2, "little") + (whole & 0xFFFFFFFF).to_bytes(4, "little") + (len(data) & 0xFFFFFFFF).to_bytes(4, "little")
     tail = zlib.crc32(data).to_bytes(4, "little") + (len(data) & 0xFFFFFFFF).to_bytes(4, "little")
+    if max(whole, len(data)) > most:  # the field has 32 bits a size: a reader inflates such a member
+        return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + body + tail
+    extra = b"sl" + (8).to_bytes(2, "little") + whole.to_bytes(4, "little") + len(data).to_bytes(4, "little")
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + len(extra).to_bytes(2, "little") + extra + body + tail
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    temporary: str | None
-    final: str | None
+    files: tuple[tuple[str, str], ...]
 
 
 class WarcWriter(DataSourceArrowWriter):
@@ -104,33 +106,35 @@ class WarcWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = _open(self.path)
-        name = f"part-{uuid.uuid4().hex}.warc.gz"
-        temporary, out = f"{root}/_temporary-{name}", None
+        files, out = [], None
         for b in iterator:
             cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             for i in range(b.num_rows):
                 row = {n: c[i].as_py() for n, c in cols.items()}
+                if out is not None and out.tell() >= PART_BYTES:  # an archive is read by one task
+                    out.close()
+                    out = None
                 if out is None:
+                    name = f"part-{uuid.uuid4().hex}.warc.gz"
+                    files.append((f"{root}/_temporary-{name}", f"{root}/{name}"))
                     fs.create_dir(root, recursive=True)
-                    out = fs.open_output_stream(temporary, compression=None)
+                    out = fs.open_output_stream(files[-1][0], compression=None)
                 out.write(member(record(row["warc_type"], row["record_id"], row["target_uri"], row["payload_digest"], row["payload"] or b"", row["payload_bytes"], row["refers_to"]), self.level))
-        if out is None:
-            return Written(None, None)
-        out.close()
-        return Written(temporary, f"{root}/{name}")
+        if out is not None:
+            out.close()
+        return Written(tuple(files))
 
     def commit(self, messages: list[Written]) -> None:
         fs, root = _open(self.path)
         fs.create_dir(root, recursive=True)
-        for m in messages:
-            if m and m.temporary:
-                fs.move(m.temporary, m.final)
+        for temporary, final in (f for m in messages if m for f in m.files):
+            fs.move(temporary, final)
 
     def abort(self, messages: list[Written]) -> None:
         fs, _ = _open(self.path)
-        for m in messages:
-            if m and m.temporary and fs.get_file_info(m.temporary).type != pafs.FileType.NotFound:
-                fs.delete_file(m.temporary)
+        for temporary, _ in (f for m in messages if m for f in m.files):
+            if fs.get_file_info(temporary).type != pafs.FileType.NotFound:
+                fs.delete_file(temporary)
 
 
 class Member:
@@ -283,7 +287,8 @@ def register(spark: SparkSession) -> None:
 def records(pages: DataFrame, page_id: str = "page_id", uri: str = "url", html: str = "html", least: int = MIN_REVISIT) -> DataFrame:
     """The records of pages: of equal payloads of ``least`` bytes or more the smallest page_id's is response, others revisit it.
 
-    Rows equal in page_id and payload are alike (all response, or all revisit). A null page_id ranks after others.
+    Rows equal in page_id and payload are alike (all response, or all revisit). A null page_id ranks after others: such
+    rows revisit a page with an id, and are all response where none has one.
     The group that shares a payload meets in one partial aggregation; the join back is on the digest, whose hot keys Spark splits.
     """
     raw = F.coalesce(F.encode(F.col(html), "utf-8"), F.lit(b""))
