@@ -49,7 +49,8 @@ def put(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -85,6 +86,20 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield b.slice(at, rows)
 
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Arrow batches of ``size`` for what is written within: executors hold several of each task's. The caller's setting returns after."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     while name in df.columns:
