@@ -11,11 +11,13 @@ leaves without words is dropped by the mix, which has nothing to take from it.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import line_dedup, near_dup, pieces, source_mix, toxicity
-from panelforge.llm.common import fold, put, removed, scratch, table
+from panelforge.llm.common import BATCH_SETTING, fold, put, removed, scratch, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,18 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "source", "ids", F.size("ids").alias("n_pieces"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
 
 
-STAGES = [("toxicity", toxic), ("line_dedup", lines), ("near_dedup", near_copies), ("source_mix", mix), ("pieces", encode)]
+def _bounded(stage):
+    """The stage in a session whose Arrow batches are small: its result is lazy, and a task holds several batches of whole texts."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(BATCH_SETTING, "4m")
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(name, _bounded(f)) for name, f in (("toxicity", toxic), ("line_dedup", lines), ("near_dedup", near_copies), ("source_mix", mix), ("pieces", encode))]
 ORACLE_SQL = None
 
 
