@@ -45,7 +45,7 @@ from panelforge.llm.components import components
 SPAN, PERCENT = 5, 80
 CHUNKS, WIDTH = 12, 6
 DEAL, CELL = 64, 1024
-BATCH = 1 << 20
+BATCH = 1 << 18
 
 _SYMBOLS = CHUNKS * WIDTH
 _ODD = np.random.default_rng(20240229).integers(1, 1 << 63, _SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,8 +107,8 @@ def _sign(span: int):
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """72 keys a class: each chunk less one symbol."""
     for b in batches:
-        for lo in range(0, b.num_rows, 4096):
-            part = b.slice(lo, 4096)
+        for lo in range(0, b.num_rows, 1024):
+            part = b.slice(lo, 1024)
             s = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, CHUNKS, WIDTH).astype(np.uint64)
             keys = []
             for c in range(CHUNKS):
@@ -125,8 +125,8 @@ def _sets(span: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for lo in range(0, b.num_rows, 128):
+                part = b.slice(lo, 128)
                 found = [shingles(x.as_py(), span) for x in part.column(1)]
                 on = [i for i, x in enumerate(found) if len(x)]
                 if on:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from panelforge.llm.common import bounded_sample, settled_labels, sliced, word_hashes
 
 SAMPLE = 24_000
-SHARD_ROWS = 4_000
+SHARD_ROWS = 2_000
 MIN_DOCS = 5
 EPOCHS = 8
 FACTORS = 4
@@ -49,7 +49,7 @@ def terms(text: str | None) -> np.ndarray:
     """The 32-bit hashes of a text's terms, each once, in order."""
     words = set((text or "").encode("utf-8", "surrogatepass").translate(_LETTERS).split())
     stems = {b"^" + w[:n] for w in words for n in STEMS if len(w) >= n}
-    return np.unique((word_hashes([*words, *stems]) >> np.uint64(32)).astype(np.int64))
+    return np.unique((word_hashes([*words, *stems]) >> np.uint64(32)).astype(np.uint32))
 
 
 def _start(ids: np.ndarray, factors: int, width: float) -> np.ndarray:
@@ -99,15 +99,22 @@ def train(rows: list[np.ndarray], y: np.ndarray, size: int, ids: np.ndarray, epo
     return weights(np.arange(size + 1)), v
 
 
+def _places(found: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Where the known ones of a text's terms stand in ids."""
+    at = np.searchsorted(ids, found)
+    return at[ids[np.minimum(at, len(ids) - 1)] == found].astype(np.int32) if len(ids) else np.empty(0, np.int32)
+
+
 def _fit_shard(epochs: int, factors: int, min_docs: int):
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["turn", "doc_id"], kind="stable")
         found = [terms(t) for t in pdf["text"]]
         ids, counts = np.unique(np.concatenate(found), return_counts=True)
         ids = ids[counts >= min_docs]
-        rows = [np.searchsorted(ids, r[np.isin(r, ids, assume_unique=True)]) for r in found]
+        rows = [_places(r, ids) for r in found]
+        del found, counts
         w, v = train(rows, pdf["label"].to_numpy(float), len(ids), ids, epochs, factors)
-        return pd.DataFrame({"term": np.append(ids, -1), "w": w, "v": [*v.tolist(), [0.0] * factors]})
+        return pd.DataFrame({"term": np.append(ids.astype(np.int64), -1), "w": w, "v": [*v.tolist(), [0.0] * factors]})
 
     return fit
 
@@ -126,19 +133,17 @@ def fit(documents: DataFrame, labels: DataFrame, column: str = "toxic", sample:
     parts = [F.sum(F.col("v")[f]).alias(f"v{f}") for f in range(factors)]
     mean = models.groupBy("term").agg(F.sum("w").alias("w"), F.count("*").alias("n"), *parts).toPandas().sort_values("term")  # bounded by the sample
     if mean.empty:
-        return np.empty(0, np.int64), np.empty(0), np.empty((0, factors)), 0.0
+        return np.empty(0, np.uint32), np.empty(0), np.empty((0, factors)), 0.0
     parts_of = float(mean["n"].max())  # every shard gives one bias, so this is the number of shards with rows
     bias, mean = float(mean["w"].iloc[0]) / parts_of, mean.iloc[1:]
-    return mean["term"].to_numpy(), mean["w"].to_numpy() / parts_of, mean[[f"v{f}" for f in range(factors)]].to_numpy() / parts_of, bias
+    return mean["term"].to_numpy(np.uint32), mean["w"].to_numpy() / parts_of, mean[[f"v{f}" for f in range(factors)]].to_numpy() / parts_of, bias
 
 
 def _logits(texts, model: tuple) -> np.ndarray:
     ids, w, v, bias = model
     out = np.full(len(texts), float(bias))
     for i, text in enumerate(texts if len(ids) else ()):
-        t = terms(text.as_py())
-        at = np.searchsorted(ids, t)
-        out[i] = logit(at[ids[np.minimum(at, len(ids) - 1)] == t], w, v, bias)
+        out[i] = logit(_places(terms(text.as_py()), ids), w, v, bias)
     return out
 
 
