@@ -8,7 +8,7 @@ volume, r). Every window is keyed by (book, ticker) or ticker, every sum by (boo
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -164,6 +164,22 @@ def walk_forward(daily: DataFrame, spans: DataFrame, book_of_fold: str | None =
     return with_equity(at.withColumn("_k", first).where("_k = 1").select("book", "fold", "date", "ret", "turnover"))
 
 
+def walk_forward_with(make_weights: Callable[[DataFrame, object], DataFrame], name: str, panel: DataFrame, spans: DataFrame, costs: Costs | None = None) -> DataFrame:
+    """book, fold, date, ret, turnover, equity of a callback ``make_weights(panel, fit_end)`` -> (date, ticker, w), asked once a fold.
+
+    The folds are a short list on the driver; all folds' weights are accounted in one job on the full
+    panel, each as a book of its own, and only out-of-sample rows are kept.
+    """
+    weights = None
+    for f in spans.orderBy("fold").collect():
+        own = make_weights(panel, f.fit_end).select(F.lit(f"{f.fold}").alias("book"), "date", "ticker", "w")
+        weights = own if weights is None else weights.unionByName(own)
+    if weights is None:
+        raise ValueError("no fold fits the calendar")
+    daily = account(weights, panel, costs).select(F.lit(name).alias("book"), F.col("book").cast("int").alias("of_fold"), "date", "ret", "turnover")
+    return walk_forward(daily, spans, "of_fold")
+
+
 def fold_report(stitched: DataFrame, periods: int = 252) -> DataFrame:
     """book, fold, days, sharpe, compound of each fold."""
     sharpe = F.try_divide(F.avg("ret"), F.nullif(F.stddev_samp("ret"), F.lit(0.0))) * math.sqrt(periods)

@@ -46,7 +46,9 @@ def metrics(daily: DataFrame, rf: float = 0.0, periods: int = TRADING_DAYS) -> D
 def rolling_sharpe(daily: DataFrame, window: int = 126, periods: int = TRADING_DAYS, rf: float = 0.0) -> DataFrame:
     r = F.col("ret")
     mean, vol = rolling(F.avg, r - rf / periods, window, "book"), rolling(F.stddev_samp, r, window, "book")
-    return daily.withColumn("rolling_sharpe", F.try_divide(mean, F.nullif(vol, F.lit(0.0))) * math.sqrt(periods))
+    w = back(window, "book")
+    flat = F.max(r).over(w) == F.min(r).over(w)  # a window of equal returns has no Sharpe, whatever rounding leaves of its deviation
+    return daily.withColumn("rolling_sharpe", F.when(~flat, F.try_divide(mean, F.nullif(vol, F.lit(0.0))) * math.sqrt(periods)))
 
 
 def rolling_beta(daily: DataFrame, market: DataFrame, window: int = 126) -> DataFrame:

@@ -10,9 +10,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.operators import allocation
+
 # MacKinnon's response surface for two cointegrated series with a constant.
 _TAU_STAR, _TAU_MIN, _TAU_MAX = -2.62, -18.86, 0.92
 _SMALL_P = (2.9200, 1.5012, 0.039796)
@@ -83,8 +85,6 @@ def cointegration(table: DataFrame, *keys: str, least: int = 252) -> DataFrame:
 
 def rolling_cointegration(table: DataFrame, window: int = 252, every: int = 21) -> DataFrame:
     """a, b, date, p at every ``every``-th row, from the ``window`` rows before it: windows are rows, joined by range."""
-    from pyspark.sql import Window
-
     at = table.withColumn("pos", F.row_number().over(Window.partitionBy("a", "b").orderBy("date")) - 1)
     ends = at.where((F.col("pos") >= window) & ((F.col("pos") - window) % every == 0)).select("a", "b", F.col("pos").alias("end"), F.col("date").alias("at"))
     rows = at.join(ends, ["a", "b"]).where((F.col("pos") < F.col("end")) & (F.col("pos") >= F.col("end") - window))
@@ -93,7 +93,7 @@ def rolling_cointegration(table: DataFrame, window: int = 252, every: int = 21)
 
 
 def garch_forecasts(series: DataFrame, every: int = 21, least: int = 252) -> DataFrame:
-    """series, date, vol: GARCH(1,1) one-step forecasts, refitted every ``every`` rows on what came before and run forward between refits.
+    """series, date, vol: GARCH(1,1) one-step forecasts, refitted every ``every`` rows on what came before; the forecast holds between refits.
 
     The parameters are refitted by Nelder-Mead on the likelihood; a fit that fails keeps the previous one.
     """
@@ -101,20 +101,28 @@ def garch_forecasts(series: DataFrame, every: int = 21, least: int = 252) -> Dat
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         at = pdf.dropna(subset=["r"]).sort_values("date")
         x = at["r"].to_numpy(float) * 100
-        out, fit = np.full(len(x), np.nan), None
-        for pos in range(least, len(x)):
-            if (pos - least) % every == 0:
-                fit = garch_fit(x[:pos], fit) or fit
-                if fit is not None:
-                    v = _garch_path(x[:pos], fit)[-1]
+        out, last = np.full(len(x), np.nan), math.nan
+        for pos in range(least, len(x), every):
+            fit = garch_fit(x[:pos])
             if fit is not None:
-                out[pos] = math.sqrt(max(v, 0.0)) / 100
-                v = fit[1] + fit[2] * (x[pos] - fit[0]) ** 2 + fit[3] * v
+                last = math.sqrt(max(_garch_path(x[:pos], fit)[-1], 0.0)) / 100
+            out[pos : pos + every] = last
         return pd.DataFrame({"series": at["series"].to_numpy(), "date": at["date"].to_numpy(), "vol": out})
 
     return series.select("series", "date", "r").groupBy("series").applyInPandas(run, "series string, date date, vol double").withColumn("vol", F.nanvl("vol", F.lit(None).cast("double")))
 
 
+def garch_vol_target(daily: DataFrame, target: float = 0.10, most: float = 3.0, every: int = 21, least: int = 252, periods: int = 252) -> DataFrame:
+    """daily (book, date, ret) with vol (the GARCH forecast of the row, null before the first fit) and scaled.
+
+    A forecast is known before its row's return, so the scale, at most ``most``, is not lagged again.
+    """
+    vol = garch_forecasts(daily.select(F.col("book").alias("series"), "date", F.col("ret").alias("r")), every, least)
+    at = daily.join(vol.withColumnRenamed("series", "book"), ["book", "date"], "left")
+    scale = F.least(F.lit(most), F.try_divide(F.lit(target), F.nullif(F.col("vol"), F.lit(0.0)) * math.sqrt(periods)))
+    return at.withColumn("scaled", F.when(F.col("vol").isNotNull(), F.col("ret") * scale))
+
+
 def _garch_path(x: np.ndarray, p) -> np.ndarray:
     mu, omega, alpha, beta = p
     v = np.empty(len(x) + 1)
@@ -125,7 +133,7 @@ def _garch_path(x: np.ndarray, p) -> np.ndarray:
     return v
 
 
-def garch_fit(x: np.ndarray, start=None):
+def garch_fit(x: np.ndarray):
     """(mu, omega, alpha, beta) of the largest normal likelihood, or None."""
     var = x.var()
     if not var > 0:
@@ -231,6 +239,28 @@ def kelly(moments: DataFrame, fraction: float = 0.5, most: float = 0.10, *keys:
     return (moments.groupBy(*keys) if keys else moments.withColumn("_all", F.lit(0)).groupBy("_all")).applyInPandas(run, schema)
 
 
+def rolling_allocation(rows: DataFrame, calendar: DataFrame, rule: str = "hrp", lookback: int = 252, every: int = 21) -> DataFrame:
+    """date, name, w: weights by ``rule`` (hrp, inverse_variance, equal) at every ``every``-th date from the ``lookback`` dates before it, held until the next.
+
+    rows are (date, name, r); names not observed throughout a window (but for its first row) are left out of it. Windows are rows, joined by range.
+    """
+    fits = allocation.refit_windows(calendar, lookback, every)
+    spread = rows.join(calendar, "date").join(F.broadcast(fits), F.col("pos").between(F.col("first"), F.col("last")))  # a row a refit
+    whole = spread.groupBy("refit", "name").agg(F.count("r").alias("n"), F.count("*").alias("k")).where("n >= k - 1").select("refit", "name")
+    own = spread.join(whole, ["refit", "name"], "left_semi").select("refit", "date", "name", "r")
+    if rule == "hrp":
+        w = hrp_weights(allocation.correlations(own, "refit"), "refit")
+    elif rule == "inverse_variance":
+        w = allocation.inverse_variance(own, "refit")
+    elif rule == "equal":
+        w = whole.withColumn("w", 1 / F.count("*").over(Window.partitionBy("refit")))
+    else:
+        raise ValueError(f"unknown rule: {rule!r}")
+    of = F.lit(lookback) + F.floor((F.col("pos") - lookback) / every) * every
+    days = calendar.where(F.col("pos") >= lookback).select("date", of.cast("long").alias("refit"))
+    return days.join(w.withColumn("refit", F.col("refit").cast("long")), "refit").select("date", "name", "w")
+
+
 def cluster_order(d: np.ndarray) -> list[int]:
     """The leaves of single linkage, left to right."""
     groups = {i: [i] for i in range(len(d))}
@@ -287,108 +317,3 @@ def hrp_weights(pairs: DataFrame, *keys: str) -> DataFrame:
     kinds = dict(pairs.dtypes)
     schema = "name string, w double" + "".join(f", {k} {kinds[k]}" for k in keys)
     return (pairs.groupBy(*keys) if keys else pairs.withColumn("_all", F.lit(0)).groupBy("_all")).applyInPandas(run, schema)
-
-
-def _svi(p, k):
-    a, b, rho, m, sigma = p
-    return a + b * (rho * (k - m) + np.sqrt((k - m) ** 2 + sigma**2))
-
-
-def _g(p, k):
-    a, b, rho, m, sigma = p
-    c = k - m
-    root = np.sqrt(c * c + sigma * sigma)
-    w = np.maximum(a + b * (rho * c + root), 1e-12)
-    w1, w2 = b * (rho + c / root), b * sigma * sigma / root**3
-    return (1 - k * w1 / (2 * w)) ** 2 - w1 * w1 / 4 * (1 / w + 0.25) + w2 / 2
-
-
-def svi_fit(k: np.ndarray, w: np.ndarray, weight: np.ndarray | None = None, penalty: float = 0.0) -> tuple[np.ndarray, float]:
-    """(a, b, rho, m, sigma) and the root mean square error of a slice, by least squares within bounds; a penalty on g < 0 keeps butterflies out."""
-    weight = np.ones(len(k)) if weight is None else weight / weight.mean()
-    top, span = max(float(w.max()), 1e-6), max(float(k.max() - k.min()), 0.05)
-    grid = np.linspace(min(-1.0, k.min() - 0.5), max(1.0, k.max() + 0.5), 41)
-
-    def params(q):
-        return np.array([top * math.tanh(q[0]), math.exp(min(3.0, q[1])), 0.999 * math.tanh(q[2]), q[3], math.exp(max(-7.0, min(1.0, q[4])))])
-
-    def loss(q):
-        p = params(q)
-        out = float(np.mean(weight * (_svi(p, k) - w) ** 2)) / top**2
-        out += 10 * max(0.0, -(p[0] + p[1] * p[4] * math.sqrt(1 - p[2] ** 2))) / top
-        return out + penalty * float(np.mean(np.minimum(_g(p, grid), 0.0) ** 2)) if penalty else out
-
-    q = np.array([math.atanh(min(0.9, max(0.01, float(w.min()) * 0.5 / top))), math.log(max(1e-3, (w.max() - w.min()) / span)), -0.3, float(k[np.argmin(w)]), math.log(0.1)])
-    for _ in range(2):  # a simplex that has shrunk starts anew from its best point
-        q, _ = nelder_mead(loss, q, 150, 0.2)
-    p = params(q)
-    return p, float(np.sqrt(np.mean((_svi(p, k) - w) ** 2)))
-
-
-def svi_slices(points: DataFrame, penalty: float = 0.0, least: int = 5) -> DataFrame:
-    """underlying, as_of, expiry, a, b, rho, m, sigma, rmse, n of each slice's points, weighed by 1 / spread."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = ["underlying", "as_of", "expiry", "a", "b", "rho", "m", "sigma", "rmse", "n"]
-        if len(pdf) < least:
-            return pd.DataFrame([], columns=cols)
-        at = pdf.sort_values("log_moneyness")
-        p, e = svi_fit(at["log_moneyness"].to_numpy(float), at["total_variance"].to_numpy(float), 1 / np.maximum(at["spread"].to_numpy(float), 1e-4), penalty)
-        return pd.DataFrame([[*at[["underlying", "as_of", "expiry"]].iloc[0], *p, e, len(at)]], columns=cols)
-
-    kinds = dict(points.dtypes)
-    key = ("underlying", "as_of", "expiry")
-    return points.select(*key, "log_moneyness", "total_variance", "spread").groupBy(*key).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + ", a double, b double, rho double, m double, sigma double, rmse double, n long")
-
-
-def _ssvi(k, theta, rho, phi):
-    return theta / 2 * (1 + rho * phi * k + np.sqrt((phi * k + rho) ** 2 + 1 - rho * rho))
-
-
-def ssvi_surfaces(points: DataFrame) -> DataFrame:
-    """underlying, as_of, rho, eta, gamma, slices (tte, theta), rmse: one power-law SSVI surface a key, with theta that does not fall in time."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = ["underlying", "as_of", "rho", "eta", "gamma", "tte", "theta", "rmse"]
-        mats = np.sort(pdf["tte"].unique())
-        k, w, at = pdf["log_moneyness"].to_numpy(float), pdf["total_variance"].to_numpy(float), np.searchsorted(mats, pdf["tte"].to_numpy(float))
-        atm = [max(1e-6, float(w[at == i][np.argmin(np.abs(k[at == i]))])) for i in range(len(mats))]
-        theta0 = np.maximum.accumulate(atm)
-
-        def params(q):
-            return 0.999 * math.tanh(q[0]), math.exp(min(3, q[1])), 0.5 / (1 + math.exp(-q[2]))
-
-        def loss(q):
-            rho, eta, gamma = params(q)
-            phi = eta / theta0**gamma / (1 + theta0) ** (1 - gamma)
-            bad = np.maximum(0.0, theta0 * phi * (1 + abs(rho)) - 4).sum() + np.maximum(0.0, theta0 * phi**2 * (1 + abs(rho)) - 4).sum()
-            return float(np.mean((_ssvi(k, theta0[at], rho, phi[at]) - w) ** 2)) / w.mean() ** 2 + bad
-
-        q, _ = nelder_mead(loss, np.array([-0.3, 0.0, 0.0]), 160, 0.3)
-        rho, eta, gamma = params(q)
-        phi = eta / theta0**gamma / (1 + theta0) ** (1 - gamma)
-        e = math.sqrt(float(np.mean((_ssvi(k, theta0[at], rho, phi[at]) - w) ** 2)))
-        head = pdf[["underlying", "as_of"]].iloc[0]
-        return pd.DataFrame([[*head, rho, eta, gamma, t, th, e] for t, th in zip(mats, theta0, strict=True)], columns=cols)
-
-    kinds = dict(points.dtypes)
-    key = ("underlying", "as_of")
-    return points.select(*key, "tte", "log_moneyness", "total_variance").groupBy(*key).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + ", rho double, eta double, gamma double, tte double, theta double, rmse double")
-
-
-def ssvi_checks(surfaces: DataFrame) -> DataFrame:
-    """surfaces' rows with phi, butterfly_free (sufficient conditions of the slice) and calendar_free (theta does not fall)."""
-    from pyspark.sql import Window
-
-    phi = F.col("eta") / F.pow("theta", "gamma") / F.pow(1 + F.col("theta"), 1 - F.col("gamma"))
-    at = surfaces.withColumn("phi", phi)
-    edge = F.col("theta") * F.col("phi") * (1 + F.abs("rho"))
-    before = F.lag("theta").over(Window.partitionBy("underlying", "as_of").orderBy("tte"))
-    at = at.withColumn("butterfly_free", (edge < 4) & (edge * F.col("phi") <= 4))
-    return at.withColumn("calendar_free", F.coalesce(F.col("theta") >= before, F.lit(True)))
-
-
-def ssvi_to_svi(surfaces: DataFrame) -> DataFrame:
-    """The raw SVI parameters of each slice of a surface (with phi)."""
-    t, r, p = F.col("theta"), F.col("rho"), F.col("phi")
-    return surfaces.withColumns({"a": t / 2 * (1 - r * r), "b": t * p / 2, "m": -r / p, "sigma": F.sqrt(1 - r * r) / p})

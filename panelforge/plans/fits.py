@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelforge.operators import allocation, ml, panel, risk, signals, solvers
+from panelforge.operators import allocation, ml, panel, performance, risk, signals, smiles, solvers
 from panelforge.plans import market, views
 from panelforge.plans.quotes import true_points
 from panelforge.streaming import alerts
@@ -51,49 +51,69 @@ def _training(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     return feats, folds, signals.training_rows(feats, folds, 504)
 
 
+TREES = 20
+
+
 def g14_model_books(spark: SparkSession, d: str) -> DataFrame:
     feats, folds, rows = _training(spark, d)
-    return ml.fold_books(signals.uniqueness_weights(rows, "fold"), feats, folds, weight="u", trees=10)
+    return ml.fold_books(signals.uniqueness_weights(rows, "fold"), feats, folds, weight="u", trees=TREES)
 
 
 def g15_calibrated_books(spark: SparkSession, d: str) -> DataFrame:
     feats, folds, rows = _training(spark, d)
-    return ml.fold_books(rows, feats, folds.where("fold = 0"), calibrate="isotonic", trees=5)
+    return ml.fold_books(rows, feats, folds, calibrate="isotonic", trees=TREES)
 
 
 def _with_id(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("id", F.xxhash64("ticker", "date"))
+    return rows.withColumn("id", F.xxhash64("fold", "ticker", "date"))
 
 
 def g22_meta_model(spark: SparkSession, d: str) -> DataFrame:
+    """Each fold's primary model gives sides; a second one, fitted on what the fold knows, says which of them pay."""
     feats, folds, rows = _training(spark, d)
-    one = rows.where("fold = 0")
-    primary = ml.fit_boosted(one, trees=5)
-    sided = ml.scored(primary, feats.dropna(subset=list(signals.FEATURES))).withColumn("side", signals.primary_side(F.col("p"), 0.01))
-    meta = signals.meta_labels(sided).where("meta IS NOT NULL").withColumnRenamed("meta", "y")
-    names = [*signals.FEATURES, "side"]
-    end = F.lit(market._FOLD_ENDS[0]).cast("date")
-    second = ml.fit_boosted(meta.where(F.col("date") < end), names, trees=5)
-    ahead = sided.where(F.col("date") >= end)
-    if second is None:
-        return signals.neutral_book(ahead).select("date", "ticker", "w")
-    return signals.meta_book(ml.scored(second, ahead, names, "meta_p"), 0.5).select("date", "ticker", "w")
+    names, out = [*signals.FEATURES, "side"], None
+    for f in folds.orderBy("fold").collect():
+        primary = ml.fit_boosted(rows.where(F.col("fold") == f.fold), trees=TREES)
+        if primary is None:
+            continue
+        sided = ml.scored(primary, feats.dropna(subset=list(signals.FEATURES))).withColumn("side", signals.primary_side(F.col("p"), 0.01))
+        meta = signals.meta_labels(sided).where("meta IS NOT NULL").withColumnRenamed("meta", "y")
+        second = ml.fit_boosted(meta.where(F.col("date") < F.lit(f.fit_end)), names, trees=TREES)
+        ahead = sided.where(F.col("date") >= F.lit(f.fit_end))
+        book = signals.neutral_book(ahead) if second is None else signals.meta_book(ml.scored(second, ahead, names, "meta_p"), 0.5)
+        book = book.select(F.lit(f.fold).alias("fold"), "date", "ticker", "w")
+        out = book if out is None else out.unionByName(book)
+    return out
 
 
 def g25_cv_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = signals.labelled(market.feature_rows(spark, d)).dropna(subset=[*signals.FEATURES, "y"])
-    return ml.cv_scores(rows, 3, 5, trees=5)
+    return ml.cv_scores(rows, 3, 5, trees=TREES)
 
 
 def g26_permutation_importance(spark: SparkSession, d: str) -> DataFrame:
     _, _, rows = _training(spark, d)
-    own = _with_id(rows.where("fold = 0")).persist()
-    return ml.permutation_importance(ml.fit_boosted(own, trees=5), own)
+    own = _with_id(rows)
+    return ml.permutation_importance(ml.fit_boosted(own, trees=TREES), own)
 
 
 def g27_feature_significance(spark: SparkSession, d: str) -> DataFrame:
     _, _, rows = _training(spark, d)
-    return ml.feature_significance(_with_id(rows.where("fold = 0")).persist(), trees=5)
+    return ml.feature_significance(_with_id(rows), trees=TREES)
+
+
+def g29_sleeves(spark: SparkSession, d: str) -> DataFrame:
+    """The three standard sleeves: momentum and model books, halved in the hot regime, and causal pairs."""
+    m, hot = views.market(spark, d), market.regime(spark, d)
+    mom = signals.cross_sectional_momentum(m, views.LOOKBACK, views.SKIP, 0.2, views.REBALANCE).withColumn("book", F.lit("momentum"))
+    feats, folds, rows = _training(spark, d)
+    ahead = folds.select(F.col("fold").alias("f"), "fit_end", F.lead("fit_end").over(Window.orderBy("fold")).alias("next"))  # a row a fold
+    model = ml.fold_books(rows, feats, folds, trees=TREES).join(F.broadcast(ahead), F.col("fold") == F.col("f"))
+    model = model.where(F.col("next").isNull() | (F.col("date") < F.col("next"))).withColumn("book", F.lit("ml"))
+    cols = ["book", "date", "ticker", "w"]
+    sized = risk.regime_sized(mom.select(*cols).unionByName(model.select(*cols)), hot)
+    pairs = g11_causal_pairs(spark, d).withColumn("book", F.lit("pairs"))
+    return sized.select(*cols).unionByName(pairs.select(*cols)).withColumnRenamed("book", "sleeve")
 
 
 def r5_garch_vol(spark: SparkSession, d: str) -> DataFrame:
@@ -101,10 +121,14 @@ def r5_garch_vol(spark: SparkSession, d: str) -> DataFrame:
     return solvers.garch_forecasts(series, 52, 104)
 
 
-def r7_garch_regime(spark: SparkSession, d: str) -> DataFrame:
+def r6_garch_regime(spark: SparkSession, d: str) -> DataFrame:
     return risk.median_ratio_regime(r5_garch_vol(spark, d), 52, 1.1)
 
 
+def r7_garch_vol_target(spark: SparkSession, d: str) -> DataFrame:
+    return solvers.garch_vol_target(views.daily(spark, d), 0.10, 3.0, 26, 104, views.PERIODS).select("book", "date", "vol", "scaled")
+
+
 def r10_kelly(spark: SparkSession, d: str) -> DataFrame:
     names = market.named(spark, d)
     mu = names.groupBy(F.col("name").alias("i")).agg(F.avg("r").alias("mu"))
@@ -120,34 +144,41 @@ def a7_hrp(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a8_rolling_hrp(spark: SparkSession, d: str) -> DataFrame:
-    """Weights at each refit from the rows before it; windows are rows, joined by range."""
-    m = views.market(spark, d)
-    cal = panel.calendar(m)
-    fits = allocation.refit_windows(cal, 104, 26)
-    rows = market.named(spark, d).join(cal, "date").join(F.broadcast(fits), F.col("pos").between(F.col("first"), F.col("last")))  # a row a refit
-    whole = rows.groupBy("refit", "name").agg(F.count("r").alias("n"), F.count("*").alias("k")).where("n >= k - 1").select("refit", "name")
-    pairs = allocation.correlations(rows.join(whole, ["refit", "name"], "left_semi").select("refit", "date", "name", "r"), "refit")
-    return solvers.hrp_weights(pairs, "refit").join(fits.select("refit", "fit_date"), "refit")
+    return solvers.rolling_allocation(market.named(spark, d), panel.calendar(views.market(spark, d)), "hrp", 104, 26)
 
 
-def _some_points(spark, d) -> DataFrame:
-    return true_points(spark, d)
+def p23_full_tearsheet(spark: SparkSession, d: str) -> DataFrame:
+    """A row a book: metrics, tails (EVT too), significance, bootstrap intervals, factors."""
+    at = views.daily(spark, d)
+    significant = performance.deflated_sharpe(performance.probabilistic_sharpe(performance.sharpe_moments(at, 0.0, views.PERIODS), 0.0, views.PERIODS), 45, False, views.PERIODS)
+    evt = solvers.evt_tails(at).select("book", "xi", F.col("var").alias("evt_var"), F.col("es").alias("evt_es"))
+    parts = (risk.tail_report(at), evt, significant.select("book", "psr", "sr_star_annual", "dsr"), performance.bootstrap_report(at, 0.95, market.DRAWS, 10, 7, views.PERIODS), performance.factor_decomposition(at, market.factors(spark, d), 0.0, 5, 30, views.PERIODS).drop("n"))
+    out = performance.metrics(at, 0.0, views.PERIODS)
+    for part in parts:
+        out = out.join(part, "book", "left")
+    return out
 
 
 def o16_svi_fits(spark: SparkSession, d: str) -> DataFrame:
-    return solvers.svi_slices(_some_points(spark, d))
+    return smiles.svi_slices(true_points(spark, d))
 
 
 def o17_svi_no_butterfly(spark: SparkSession, d: str) -> DataFrame:
-    return solvers.svi_slices(_some_points(spark, d), penalty=10.0)
+    return smiles.svi_slices(true_points(spark, d), no_butterfly=True)
+
+
+def o19_ssvi_slices(spark: SparkSession, d: str) -> DataFrame:
+    return smiles.ssvi_slices(true_points(spark, d))
 
 
 def o20_ssvi_surfaces(spark: SparkSession, d: str) -> DataFrame:
-    return solvers.ssvi_surfaces(_some_points(spark, d))
+    return smiles.ssvi_surfaces(true_points(spark, d))
 
 
 def o21_ssvi_checks(spark: SparkSession, d: str) -> DataFrame:
-    return solvers.ssvi_to_svi(solvers.ssvi_checks(solvers.ssvi_surfaces(_some_points(spark, d))))
+    """The rules' verdict and the pointwise one on fitted surfaces."""
+    at = smiles.ssvi_surfaces(true_points(spark, d))
+    return smiles.surface_checks(at).withColumnRenamed("calendar_free", "calendar_by_rule").join(smiles.pointwise_calendar(at), ["underlying", "as_of"])
 
 
 def t1_filing_alerts(spark: SparkSession, d: str) -> DataFrame:
@@ -155,19 +186,14 @@ def t1_filing_alerts(spark: SparkSession, d: str) -> DataFrame:
     return alerts.filing_alerts(e, ("purchase", "signup"))
 
 
-def t2_threshold_alerts(spark: SparkSession, d: str) -> DataFrame:
-    e = views.table(spark, d, "events").select("event_id", "value", (F.col("user_id") % 10).cast("double").alias("load"))
-    return alerts.threshold_alerts(e, {"value": 50.0, "load": 9.0})
-
-
 QUERIES = {
     f.__name__: f
     for f in (
-        g5_pair_scan, g6_best_pair, g8_rolling_cointegration, g11_causal_pairs, g14_model_books, g15_calibrated_books, g22_meta_model, g25_cv_scores, g26_permutation_importance, g27_feature_significance,
-        r5_garch_vol, r7_garch_regime, r10_kelly, r16_evt_tail, a7_hrp, a8_rolling_hrp, o16_svi_fits, o17_svi_no_butterfly, o20_ssvi_surfaces, o21_ssvi_checks, t1_filing_alerts, t2_threshold_alerts,
+        g5_pair_scan, g6_best_pair, g8_rolling_cointegration, g11_causal_pairs, g14_model_books, g15_calibrated_books, g22_meta_model, g25_cv_scores,
+        g26_permutation_importance, g27_feature_significance, g29_sleeves, r5_garch_vol, r6_garch_regime, r7_garch_vol_target, r10_kelly, r16_evt_tail,
+        a7_hrp, a8_rolling_hrp, p23_full_tearsheet, o16_svi_fits, o17_svi_no_butterfly, o19_ssvi_slices, o20_ssvi_surfaces, o21_ssvi_checks, t1_filing_alerts,
     )
 }
 SQL = {
     "t1_filing_alerts": "SELECT event_id AS accession, any_value(event_type) AS form, any_value(ts) AS filing_ts FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY 1",
 }
-

@@ -17,14 +17,15 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, columns: str, source: str | None = None, digits: int = 6, **own: str):
+def query(name: str, columns: str, source: str | None = None, digits: int = 6, into: tuple[dict, dict] | None = None, **own: str):
     """Registers a query and its SQL. columns: ``name:kind`` (k as it is, f double, i count)."""
+    queries, sql = into or (QUERIES, SQL)
 
     def add(f):
         kinds = dict(c.split(":") for c in columns.split())
-        QUERIES[name] = lambda spark, sf_dir: views.rounded(f(spark, sf_dir).select(*kinds), digits)
+        queries[name] = lambda spark, sf_dir: views.rounded(f(spark, sf_dir).select(*kinds), digits)
         if source is not None:
-            SQL[name] = with_(rounded(kinds, source, digits), **own)
+            sql[name] = with_(rounded(kinds, source, digits), **own)
         return f
 
     return add
@@ -231,7 +232,7 @@ def b2(spark, d):
 @query("b3_next_open", "book:k date:k ret:f", "SELECT book, date, coalesce(sum(target * (nxt / open - 1)), 0) AS ret FROM (SELECT *, lead(open) OVER (PARTITION BY book, ticker ORDER BY date) AS nxt FROM aimed) GROUP BY 1, 2")
 def b3(spark, d):
     m = views.market(spark, d)
-    return account.account(views.books(m), m, fill="next_open")
+    return account.account(views.weights(spark, d), m, fill="next_open")
 
 
 @query("b4_liquidity", "date:k ticker:k adv:f sigma:f", "SELECT * FROM liq")
@@ -261,7 +262,7 @@ def _recursive(head: str, select: str) -> str:
 
 def capped_positions(spark, d) -> DataFrame:
     m = views.market(spark, d)
-    return account.positions(views.books(m), m, COSTS, max_participation=_CAP)
+    return account.positions(views.weights(spark, d), m, COSTS, max_participation=_CAP)
 
 
 @query("b6_capped_holdings", "book:k ticker:k date:k held:f")
@@ -293,20 +294,20 @@ def b9(spark, d):
 @query("b10_impact", "book:k date:k ticker:k impact:f", f"SELECT book, date, ticker, {COSTS.impact_eta} * coalesce(sigma, 0) * sqrt(greatest(0, abs(trade) * 1e6 / close / nullif(adv, 0))) AS impact FROM traded WHERE abs(trade) > 0")
 def b10(spark, d):
     m = views.market(spark, d)
-    at = account.positions(views.books(m), m, COSTS).where("abs(trade) > 0")
+    at = account.positions(views.weights(spark, d), m, COSTS).where("abs(trade) > 0")
     return at.withColumn("impact", account.square_root_impact(F.try_divide(F.abs("trade") * 1e6 / F.col("close"), F.col("adv")), F.col("sigma"), COSTS.impact_eta))
 
 
 @query("b11_costs", "book:k date:k cost:f", "SELECT * FROM costed", digits=8)
 def b11(spark, d):
     m = views.market(spark, d)
-    return account.account(views.books(m), m, COSTS)
+    return account.account(views.weights(spark, d), m, COSTS)
 
 
 @query("b12_account", "book:k date:k gross:f cost:f ret:f turnover:f equity:f", "SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY book ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS equity FROM (SELECT *, gross - cost AS ret FROM costed)")
 def b12(spark, d):
     m = views.market(spark, d)
-    return account.account(views.books(m), m, COSTS)
+    return account.account(views.weights(spark, d), m, COSTS)
 
 
 IN, OUT = 104, 26
@@ -356,7 +357,7 @@ _SWEEP = f"SELECT book, capital, {_ann('(gross - cost)')} AS net_ann_return, {_s
 
 def sweep(spark, d) -> DataFrame:
     m = views.market(spark, d)
-    return account.capital_sweep(views.books(m), m, COSTS, CAPITALS, PERIODS)
+    return account.capital_sweep(views.weights(spark, d), m, COSTS, CAPITALS, PERIODS)
 
 
 @query("b16_capital_sweep", "book:k capital:f net_ann_return:f net_sharpe:f cost_drag_ann:f ann_cost:f", "SELECT * FROM sweep", swept=_SWEPT, sweep=_SWEEP)
@@ -401,12 +402,12 @@ _HELD_LABELS = "SELECT date, coalesce(last_value(label IGNORE NULLS) OVER (ORDER
 
 @query("r3_regime_sizing", "book:k date:k ticker:k w:f", "SELECT book, w.date, ticker, CASE WHEN label = 1 THEN w * 0.5 ELSE w END AS w FROM weights w JOIN held_labels l ON l.date = w.date", labels=_LABELS, held_labels=_HELD_LABELS)
 def r3(spark, d):
-    return risk.regime_sized(views.books(views.market(spark, d)), regime(spark, d))
+    return risk.regime_sized(views.weights(spark, d), regime(spark, d))
 
 
 @query("r4_switch", "date:k ticker:k w:f", "SELECT w.date, ticker, coalesce(max(CASE WHEN (label = 0 AND book = 'mom') OR (label = 1 AND book = 'rev') THEN w END), 0) AS w FROM weights w LEFT JOIN labels l ON l.date = w.date GROUP BY 1, 2", labels=_LABELS)
 def r4(spark, d):
-    return risk.switched(views.books(views.market(spark, d)), regime(spark, d), {0: "mom", 1: "rev"})
+    return risk.switched(views.weights(spark, d), regime(spark, d), {0: "mom", 1: "rev"})
 
 
 @query("r6_median_regime", "date:k label:i", f"SELECT date, CASE WHEN vol / nullif(CASE WHEN count(vol) OVER {window(52, 'm')} >= 13 THEN quantile_cont(vol, 0.5) OVER {window(52, 'm')} END, 0) > 1.1 THEN 1 WHEN vol IS NOT NULL AND count(vol) OVER {window(52, 'm')} >= 13 AND quantile_cont(vol, 0.5) OVER {window(52, 'm')} <> 0 THEN 0 END AS label FROM (SELECT date, 1 AS m, {rolling('stddev_samp', 'r', 8, 'm', 8)} AS vol FROM (SELECT *, 1 AS m FROM proxy))")
@@ -417,13 +418,13 @@ def r6(spark, d):
 
 @query("r8_fixed_fraction", "book:k date:k ticker:k w:f", "SELECT book, date, ticker, w * 0.25 AS w FROM weights")
 def r8(spark, d):
-    return views.books(views.market(spark, d)).withColumn("w", risk.fixed_fraction(F.col("w"), 0.25))
+    return views.weights(spark, d).withColumn("w", risk.fixed_fraction(F.col("w"), 0.25))
 
 
 @query("r9_vol_target", "book:k date:k ticker:k w:f", f"SELECT w.book, w.date, ticker, w * s AS w FROM weights w JOIN (SELECT book, date, lag(s) OVER (PARTITION BY book ORDER BY date) AS s FROM (SELECT book, date, CASE WHEN v IS NOT NULL THEN CASE WHEN v = 0 THEN 3.0 ELSE least(3.0, 0.1 / v) END END AS s FROM (SELECT book, date, {rolling('stddev_samp', 'x', 52, 'book', 13)} * {math.sqrt(PERIODS)!r} AS v FROM (SELECT w.book, w.date, coalesce(sum(w * r), 0) AS x FROM weights w JOIN rets r ON r.date = w.date AND r.ticker = w.ticker GROUP BY 1, 2)))) t ON t.book = w.book AND t.date = w.date")
 def r9(spark, d):
     m = views.market(spark, d)
-    return risk.vol_target(views.books(m), m, 0.10, 52, 3.0, PERIODS)
+    return risk.vol_target(views.weights(spark, d), m, 0.10, 52, 3.0, PERIODS)
 
 
 _STOP = (0.01, 8)
@@ -452,12 +453,12 @@ SELECT book, date, round(stopped, 6) + 0.0 AS stopped FROM fold"""
 
 @query("r12_capped", "book:k date:k ticker:k w:f", "SELECT book, date, ticker, greatest(-0.05, least(0.05, w)) AS w FROM weights")
 def r12(spark, d):
-    return views.books(views.market(spark, d)).withColumn("w", risk.capped(F.col("w"), 0.05))
+    return views.weights(spark, d).withColumn("w", risk.capped(F.col("w"), 0.05))
 
 
 @query("r13_limits", "book:k worst_name_weight:f worst_gross_exposure:f name_limit_breached:k gross_limit_breached:k", "SELECT book, max(t) AS worst_name_weight, max(g) AS worst_gross_exposure, max(t) > 0.1 + 1e-9 AS name_limit_breached, max(g) > 2.0 + 1e-9 AS gross_limit_breached FROM (SELECT book, date, max(abs(w)) AS t, sum(abs(w)) AS g FROM weights GROUP BY 1, 2) GROUP BY 1")
 def r13(spark, d):
-    return risk.limit_report(views.books(views.market(spark, d)))
+    return risk.limit_report(views.weights(spark, d))
 
 
 _Z = quantile_of_normal(0.05)
@@ -518,7 +519,7 @@ def alloc(spark, d) -> DataFrame:
 
 @query("a1_combine", "date:k ticker:k w:f", "SELECT a.date, w.ticker, sum(w.w * a.a) AS w FROM alloc a JOIN weights w ON w.date = a.date AND w.book = a.sleeve GROUP BY 1, 2", alloc=_ALLOC)
 def a1(spark, d):
-    return allocation.combine(views.books(views.market(spark, d)).withColumnRenamed("book", "sleeve"), alloc(spark, d))
+    return allocation.combine(views.weights(spark, d).withColumnRenamed("book", "sleeve"), alloc(spark, d))
 
 
 @query("a2_inverse_vol", "date:k sleeve:k a:f", "SELECT * FROM alloc", alloc=_ALLOC)
@@ -555,7 +556,7 @@ def a6(spark, d):
 
 @query("a9_concentration", "book:k herfindahl:f effective_n:f", "SELECT book, avg(h) AS herfindahl, avg(1 / h) AS effective_n FROM (SELECT book, date, sum(w * w) AS h FROM weights GROUP BY 1, 2) WHERE h > 0 GROUP BY 1")
 def a9(spark, d):
-    return allocation.concentration(views.books(views.market(spark, d)))
+    return allocation.concentration(views.weights(spark, d))
 
 
 @query("a10_common_window", "book:k sharpe:f days:i", f"SELECT book, {_shp('ret')} AS sharpe, count(*) AS days FROM live WHERE date IN (SELECT date FROM live GROUP BY 1 HAVING count(DISTINCT book) = (SELECT count(DISTINCT book) FROM live)) GROUP BY 1", live="SELECT * FROM daily WHERE ret <> 0")
@@ -585,9 +586,9 @@ for _name, _cols in {
     query(_name, "book:k " + _cols, _METRICS, digits=5)(lambda spark, d: performance.metrics(views.daily(spark, d), 0.0, PERIODS))
 
 
-@query("p10_rolling_sharpe", "book:k date:k rolling_sharpe:f", f"SELECT book, date, {rolling('avg', 'ret', 26, 'book')} / nullif({rolling('stddev_samp', 'ret', 26, 'book')}, 0) * {math.sqrt(PERIODS)!r} AS rolling_sharpe FROM daily WHERE date >= CAST('1996-09-01' AS DATE)", digits=4)
+@query("p10_rolling_sharpe", "book:k date:k rolling_sharpe:f", f"SELECT book, date, CASE WHEN max(ret) OVER {window(26, 'book')} > min(ret) OVER {window(26, 'book')} THEN {rolling('avg', 'ret', 26, 'book')} / nullif({rolling('stddev_samp', 'ret', 26, 'book')}, 0) * {math.sqrt(PERIODS)!r} END AS rolling_sharpe FROM daily", digits=4)
 def p10(spark, d):
-    return performance.rolling_sharpe(views.daily(spark, d).where("date >= DATE'1996-09-01'"), 26, PERIODS)
+    return performance.rolling_sharpe(views.daily(spark, d), 26, PERIODS)
 
 
 @query("p11_rolling_beta", "book:k date:k rolling_beta:f", f"SELECT d.book, d.date, b AS rolling_beta FROM daily d LEFT JOIN (SELECT book, date, CASE WHEN count(*) OVER {window(26, 'book')} >= 26 THEN covar_samp(ret, r) OVER {window(26, 'book')} / nullif(var_samp(r) OVER {window(26, 'book')}, 0) END AS b FROM (SELECT d.book, d.date, d.ret, p.r FROM daily d JOIN proxy p ON p.date = d.date WHERE p.r IS NOT NULL)) x ON x.book = d.book AND x.date = d.date")
@@ -643,15 +644,16 @@ def _draw(kind: str) -> str:
     return f"(CAST(('0x' || substr(md5('7|{kind}|' || b || '|' || t), 1, 8)) AS BIGINT) / 4294967296.0)"
 
 
+DRAWS = 1000
 _BOOT = f"""SELECT book, b, t, ret FROM (
   SELECT g.book, g.b, g.t, CAST((last_value(CASE WHEN again THEN fresh END IGNORE NULLS) OVER w + g.t - last_value(CASE WHEN again THEN g.t END IGNORE NULLS) OVER w) % g.n AS BIGINT) AS i FROM (
-    SELECT book, n, b, t, t = 0 OR {_draw('r')} < 0.1 AS again, floor({_draw('f')} * n) AS fresh FROM (SELECT book, count(*) AS n FROM daily GROUP BY 1) c CROSS JOIN (SELECT unnest(range(0, 20)) AS b) bb JOIN (SELECT book AS book2, row_number() OVER (PARTITION BY book ORDER BY date) - 1 AS t FROM daily) tt ON tt.book2 = c.book) g
+    SELECT book, n, b, t, t = 0 OR {_draw('r')} < 0.1 AS again, floor({_draw('f')} * n) AS fresh FROM (SELECT book, count(*) AS n FROM daily GROUP BY 1) c CROSS JOIN (SELECT unnest(range(0, {DRAWS})) AS b) bb JOIN (SELECT book AS book2, row_number() OVER (PARTITION BY book ORDER BY date) - 1 AS t FROM daily) tt ON tt.book2 = c.book) g
   WINDOW w AS (PARTITION BY g.book, g.b ORDER BY g.t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) x JOIN (SELECT book AS book3, ret, row_number() OVER (PARTITION BY book ORDER BY date) - 1 AS k FROM daily) y ON y.book3 = x.book AND y.k = x.i"""
 
 
 @query("p17_bootstrap_rows", "book:k b:i t:i ret:f", "SELECT * FROM boot", boot=_BOOT)
 def p17(spark, d):
-    return performance.bootstrap_rows(views.daily(spark, d), 20, 10, 7)
+    return performance.bootstrap_rows(views.daily(spark, d), DRAWS, 10, 7)
 
 
 @query(
@@ -660,7 +662,7 @@ def p17(spark, d):
     digits=4, boot=_BOOT,
 )
 def p18(spark, d):
-    return performance.bootstrap_report(views.daily(spark, d), 0.95, 20, 10, 7, PERIODS)
+    return performance.bootstrap_report(views.daily(spark, d), 0.95, DRAWS, 10, 7, PERIODS)
 
 
 ROLES = {"market": "Brand#11", "small": "Brand#23", "value": "Brand#4", "growth": "Brand#15"}

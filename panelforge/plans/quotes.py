@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelforge.functions.mathx import norm_cdf_sql, norm_pdf_sql
 from panelforge.operators import options
 from panelforge.plans import views
+from panelforge.plans.store import stored
 from panelforge.plans.sql import rounded, with_
 from panelforge.plans.views import RATE
 
@@ -29,8 +30,12 @@ def query(name: str, columns: str, source: str | None = None, digits: int = 6, *
 
 def true_points(spark, d) -> DataFrame:
     """Surface points from the known volatility."""
-    otm = options.with_forward(options.clean(views.quotes(spark, d)), RATE)
-    return options.points(otm, RATE, vol="true_vol")
+
+    def build() -> DataFrame:
+        otm = options.with_forward(options.clean(views.quotes(spark, d)), RATE)
+        return options.points(otm, RATE, vol="true_vol")
+
+    return stored(spark, d, "points", build)
 
 
 @query("o1_hygiene", "underlying:k expiry:k strike:f option_type:k reason:k", "SELECT * FROM flagged WHERE reason IS NOT NULL", digits=4)
@@ -70,12 +75,6 @@ def o4(spark, d):
     return options.early_exercise(options.clean(views.quotes(spark, d)), rate=RATE, vol="true_vol")
 
 
-@query("o5_bumped_greeks", "underlying:k expiry:k strike:f option_type:k fd_delta:f fd_gamma:f fd_vega:f fd_theta:f fd_rho:f", digits=3)
-def o5(spark, d):
-    q = options.clean(views.quotes(spark, d)).withColumn("id", F.concat_ws("|", "underlying", "expiry", "strike", "option_type"))
-    return options.bumped_greeks(q, options.closed_form, rate=RATE, vol="true_vol")
-
-
 @query("o6_bounds", "underlying:k expiry:k strike:f option_type:k lower:f upper:f", f"SELECT underlying, expiry, strike, option_type, greatest(0, CASE WHEN {_C} THEN spot - strike * exp(-{RATE} * tte) ELSE strike * exp(-{RATE} * tte) - spot END) AS lower, CASE WHEN {_C} THEN spot ELSE strike * exp(-{RATE} * tte) END AS upper FROM quotes", digits=4)
 def o6(spark, d):
     return options.bounds(views.quotes(spark, d), RATE)

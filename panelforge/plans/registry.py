@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.operators import account, signals
-from panelforge.plans import fits, market, quotes, views
+from panelforge.plans import closed, files, fits, market, quotes, views
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +17,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {**market.QUERIES, **quotes.QUERIES, **fits.QUERIES}
+    return {**market.QUERIES, **quotes.QUERIES, **fits.QUERIES, **files.QUERIES, **closed.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**market.SQL, **quotes.SQL, **fits.SQL}
+    return {**market.SQL, **quotes.SQL, **fits.SQL, **files.SQL, **closed.SQL}

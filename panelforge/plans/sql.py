@@ -131,4 +131,4 @@ def with_(query: str, **own: str) -> str:
     for n in texts:
         if re.search(rf"\b(?:FROM|JOIN)\s+{n}\b", query):
             add(n)
-    return ("WITH " + ",\n".join(f"{n} AS (\n{texts[n]}\n)" for n in order) + "\n" if order else "") + query
+    return ("WITH " + ",\n".join(f"{n} AS MATERIALIZED (\n{texts[n]}\n)" for n in order) + "\n" if order else "") + query

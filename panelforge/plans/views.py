@@ -1,6 +1,7 @@
 """The views that queries share, derived from the given tables, as DataFrames and as SQL of the same meaning.
 
 Bars: brands are tickers, weeks of shipping dates are dates; discount and tax make a bounded price.
+The market, the books, their accounts and the quotes are written once a session and folder (``store``).
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.operators import account, options, panel, risk, signals
+from panelforge.plans.store import stored
 
 PERIODS, LOOKBACK, SKIP, REBALANCE, VOL = 52, 52, 4, 4, 13
 COSTS = account.Costs(half_spread_bps=2.0, impact_eta=0.1, capital=1e6, adv_lookback=13, vol_lookback=13, default_vol=0.015)
@@ -31,11 +33,15 @@ def bars(spark: SparkSession, sf_dir: str, grain: str = "week") -> DataFrame:
 
 def market(spark: SparkSession, sf_dir: str, grain: str = "week") -> DataFrame:
     """date, ticker, close, open, volume, r."""
-    return panel.returns(panel.align(bars(spark, sf_dir, grain)))
+    return stored(spark, sf_dir, f"market-{grain}", lambda: panel.returns(panel.align(bars(spark, sf_dir, grain))))
 
 
-def books(m: DataFrame) -> DataFrame:
+def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book, date, ticker, w of three strategies."""
+    return stored(spark, sf_dir, "weights", lambda: books(market(spark, sf_dir)))
+
+
+def books(m: DataFrame) -> DataFrame:
     made = {
         "mom": signals.cross_sectional_momentum(m, LOOKBACK, SKIP, 0.2, REBALANCE),
         "rev": signals.single_asset_reversion(m, VOL),
@@ -50,8 +56,7 @@ def books(m: DataFrame) -> DataFrame:
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book, date, ret, turnover, ... without costs."""
-    m = market(spark, sf_dir)
-    return account.account(books(m), m)
+    return stored(spark, sf_dir, "daily", lambda: account.account(weights(spark, sf_dir), market(spark, sf_dir)))
 
 
 def proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,11 +83,15 @@ RATE = 0.04
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "quotes", lambda: priced_quotes(spark, sf_dir))
+
+
+def priced_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Option quotes on parts: prices from a known volatility (``true_vol``), with defects by part key."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("underlying"), F.col("p_retailprice").cast("double").alias("spot"))
     days = F.explode(F.array(*(F.lit(d) for d in DAYS))).alias("days")
     money = F.posexplode(F.array(*(F.lit(m) for m in MONEYNESS))).alias("mi", "m")
-    at = parts.select("*", days).select("*", money)
+    at = parts.select("*", days).select("*", money).repartition("underlying")  # few rows of parts become many to price
     at = at.withColumn("defect", F.col("underlying") % 10).where("NOT (defect = 5 AND days = 365 AND mi > 2)")
     at = at.withColumn("as_of", F.to_date(F.lit("1998-01-02"))).withColumn("expiry", F.date_add("as_of", F.col("days")))
     at = at.withColumn("tte", F.when((F.col("defect") == 4) & (F.col("days") == 30), F.lit(-5.0)).otherwise(F.col("days").cast("double")) / 365)

