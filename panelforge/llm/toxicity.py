@@ -16,7 +16,7 @@ would overshoot otherwise. Factors start from a hash of the term, so that the me
 shards is meaningful. The model is bounded by the sample, not by the input.
 
 Edge cases: null and empty texts get the score of the bias; without any settled
-training label every score is 0.5; a shard with one class learns the bias towards it; repeated rows
+training label every score is 0.5, and ``keep`` rejects nothing; a shard with one class learns the bias towards it; repeated rows
 get equal scores; documents with contradictory labels are not learnt from; other columns are ignored.
 """
 
@@ -161,7 +161,9 @@ def score(documents: DataFrame, model: tuple, threshold: float = THRESHOLD) -> D
 
 
 def keep(documents: DataFrame, model: tuple, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of documents, unchanged, that score below the threshold: no join."""
+    """The rows of documents, unchanged, that score below the threshold: no join. A model that has learnt nothing rejects nothing."""
+    if not len(model[0]) and model[3] == 0.0:
+        return documents
     sent = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index("text")
 

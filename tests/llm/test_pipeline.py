@@ -55,3 +55,32 @@ def test_registered():
     names = list(entry.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null, empty, long and repeated texts, clashing names, no n_chars, an empty table: at every stage."""
+    rng = random.Random(5)
+    long = "\n".join(words(rng, 30) for _ in range(400))
+    texts = [(1, None), (2, ""), (3, " \n "), (4, long), (4, long), (None, "no id, but some words in a line"), (5, "short\nshort"), (6, "x" * 30_000)]
+    kinds = "doc_id long, text string, lang string, source string, n_lines int, n_removed string, kept string, size string, taken string, copies int, ids string, th string, component_id string"
+    rows = [(i, t, "en", "s", 7, "r", "k", "z", "t", 9, "i", "h", "c") for i, t in texts]
+    labels = "doc_id long, quality int, toxic int"
+    spark.createDataFrame([(9, 1, 0)], labels).write.parquet(str(tmp_path / "labels.parquet"))
+    for some in (rows, []):
+        docs = spark.createDataFrame(some, kinds)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            found = out.collect()
+            if name == "pieces":
+                assert out.columns == ["doc_id", "source", "ids", "n_pieces", "round_trip"] and all(r.round_trip for r in found)
+                continue
+            assert out.columns == docs.columns, name
+            want = {"toxicity": 8, "line_dedup": 8, "near_dedup": 8}.get(name)
+            if some and want:
+                assert len(found) == want, name
+                assert all((r.n_lines, r.n_removed, r.kept, r["size"], r.th) == (7, "r", "k", "z", "h") for r in found), name
+            if not some:
+                assert not found, name
+            if some and name == "line_dedup":
+                by = {(r.doc_id, (r.text or "")[:5]) for r in found}
+                assert (5, "short") in by and {r.text for r in found if r.doc_id == 5} == {"short"} and {r.text for r in found if r.doc_id == 4} == {long}
