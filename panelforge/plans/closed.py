@@ -123,7 +123,6 @@ def r16(spark, d):
 
 # --- planted smiles: a fit must give back what a part's key planted ----------------------------
 
-_U = F.col("p_partkey")
 _SSVI = "SELECT p_partkey AS underlying, 0.02 + 0.01 * (p_partkey % 6) AS theta, -0.5 + 0.1 * (p_partkey % 5) AS rho, 0.6 + 0.2 * (p_partkey % 5) AS psi FROM part"
 _SURFACES = """SELECT underlying, rho, eta, gamma, tte, theta, eta * pow(theta, -gamma) AS psi FROM (SELECT p_partkey AS underlying, -0.5 + 0.1 * (p_partkey % 5) AS rho, 0.5 + 0.1 * (p_partkey % 4) AS eta, 0.3 + 0.05 * (p_partkey % 3) AS gamma, t.tte, (0.01 + 0.002 * (p_partkey % 7)) * t.f * CASE WHEN p_partkey % 11 = 0 AND t.tte = 1.0 THEN {0} ELSE 1 END AS theta
   FROM part CROSS JOIN (SELECT unnest([CAST(0.25 AS DOUBLE), 0.5, 1.0]) AS tte, unnest([1, 2, 3]) AS f) t)"""
@@ -143,12 +142,14 @@ def _ssvi(k):
 
 
 def ssvi_rows(spark, d) -> DataFrame:
-    return views.table(spark, d, "part").select(_U.alias("underlying"), (0.02 + 0.01 * (_U % 6)).alias("theta"), (-0.5 + 0.1 * (_U % 5)).alias("rho"), (0.6 + 0.2 * (_U % 5)).alias("psi"))
+    u = F.col("p_partkey")
+    return views.table(spark, d, "part").select(u.alias("underlying"), (0.02 + 0.01 * (u % 6)).alias("theta"), (-0.5 + 0.1 * (u % 5)).alias("rho"), (0.6 + 0.2 * (u % 5)).alias("psi"))
 
 
 def surface_rows(spark, d, falls: float = 1.0) -> DataFrame:
     """Surfaces of three maturities; of every eleventh part the last theta is ``falls`` times what it would be."""
-    at = views.table(spark, d, "part").select(_U.alias("underlying"), (-0.5 + 0.1 * (_U % 5)).alias("rho"), (0.5 + 0.1 * (_U % 4)).alias("eta"), (0.3 + 0.05 * (_U % 3)).alias("gamma"), (0.01 + 0.002 * (_U % 7)).alias("base"))
+    u = F.col("p_partkey")
+    at = views.table(spark, d, "part").select(u.alias("underlying"), (-0.5 + 0.1 * (u % 5)).alias("rho"), (0.5 + 0.1 * (u % 4)).alias("eta"), (0.3 + 0.05 * (u % 3)).alias("gamma"), (0.01 + 0.002 * (u % 7)).alias("base"))
     at = at.select("*", F.explode(F.array(*(F.struct(F.lit(t).alias("tte"), F.lit(f).alias("f")) for t, f in ((0.25, 1), (0.5, 2), (1.0, 3))))).alias("x")).select("*", "x.*")
     at = at.withColumn("theta", F.col("base") * F.col("f") * F.when((F.col("underlying") % 11 == 0) & (F.col("tte") == 1.0), falls).otherwise(1.0))
     return at.withColumn("psi", F.col("eta") * F.pow("theta", -F.col("gamma"))).withColumn("as_of", F.lit("1998-01-02").cast("date"))
