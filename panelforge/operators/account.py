@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.operators.panel import expanding, filled, over, rolling
+from panelforge.operators.panel import expanding, filled, folded, over, rolling
 
 
 @dataclass(frozen=True)
@@ -63,20 +63,15 @@ def participation_cap(close: Column, adv: Column, capital: float, most: float) -
 def chased(at: DataFrame, cap: str = "cap") -> DataFrame:
     """at (book, ticker, date, target, cap) with ``held``: the target approached by at most the cap a row, the rest carried.
 
-    The history of one (book, ticker), a row a date, is folded by a higher-order function.
+    A null cap is no cap; a null target trades nothing.
     """
-    rows = at.groupBy("book", "ticker").agg(F.array_sort(F.collect_list(F.struct("date", "target", F.col(cap).alias("cap")))).alias("h"))
-    zero = F.struct(F.lit(0.0).alias("now"), F.array().cast("array<double>").alias("all"))
-
-    def step(acc, x):
-        gap = x["target"] - acc["now"]
-        trade = F.when(x["cap"].isNull(), gap).otherwise(F.greatest(-x["cap"], F.least(x["cap"], gap)))
-        now = acc["now"] + trade
-        return F.struct(now.alias("now"), F.concat(acc["all"], F.array(now)).alias("all"))
-
-    folded = rows.select("book", "ticker", "h", F.aggregate("h", zero, step)["all"].alias("a"))
-    out = folded.select("book", "ticker", F.explode(F.arrays_zip(F.col("h.date").alias("date"), F.col("a").alias("held"))).alias("x")).select("book", "ticker", "x.date", "x.held")
-    return at.join(out, ["book", "ticker", "date"])
+
+    def step(now: float, target: float | None, most: float | None) -> tuple[float, float]:
+        gap = 0.0 if target is None else target - now
+        now += gap if most is None else max(-most, min(most, gap))
+        return now, now
+
+    return folded(at, ("book", "ticker"), ("target", cap), step, 0.0, "held")
 
 
 def half_spread(turnover: Column, bps: float) -> Column:

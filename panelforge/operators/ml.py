@@ -34,6 +34,8 @@ def scored(model, rows: DataFrame, features=FEATURES, out: str = "p") -> DataFra
 
 def calibrated(rows: DataFrame, features=FEATURES, method: str = "isotonic", folds: int = 3, **fit):
     """A function that calibrates scores, learnt on scores of held-out thirds of the dates."""
+    if method not in ("isotonic", "sigmoid"):
+        raise ValueError(f"unknown calibration: {method!r}")
     k = F.ntile(folds).over(Window.orderBy("date")) - 1
     days = rows.select("date").distinct().withColumn("_k", k)  # a row a date
     at, parts = rows.join(days, "date"), None
@@ -48,11 +50,9 @@ def calibrated(rows: DataFrame, features=FEATURES, method: str = "isotonic", fol
     if method == "isotonic":
         iso = IsotonicRegression(featuresCol="p", labelCol="y", predictionCol="_c").fit(parts)
         return lambda df: iso.transform(df).withColumn("p", F.col("_c")).drop("_c")
-    if method == "sigmoid":
-        one = VectorAssembler(inputCols=["p"], outputCol="_v")
-        lr = LogisticRegression(featuresCol="_v", labelCol="y").fit(one.transform(parts))
-        return lambda df: lr.transform(one.transform(df)).withColumn("p", vector_to_array("probability")[1]).drop("_v", "rawPrediction", "probability", "prediction")
-    raise ValueError(f"unknown calibration: {method!r}")
+    one = VectorAssembler(inputCols=["p"], outputCol="_v")
+    lr = LogisticRegression(featuresCol="_v", labelCol="y").fit(one.transform(parts))
+    return lambda df: lr.transform(one.transform(df)).withColumn("p", vector_to_array("probability")[1]).drop("_v", "rawPrediction", "probability", "prediction")
 
 
 def fold_books(training: DataFrame, feats: DataFrame, folds: DataFrame, deadband: float = 0.05, max_weight: float = 0.10, weight: str | None = None, calibrate: str | None = None, **fit) -> DataFrame:

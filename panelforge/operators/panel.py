@@ -6,10 +6,13 @@ ticker's own: a panel is made dense first. Windows carry a key, so they run in p
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -51,6 +54,30 @@ def filled(x: Column, *keys: str, limit: int | None = None, order: str = "date")
     return F.last(x, ignorenulls=True).over(over(*keys, order=order).rowsBetween(start, 0))
 
 
+def folded(df: DataFrame, keys: Sequence[str], columns: Sequence[str], step: Callable, start, out: str, kind: T.DataType | None = None, order: str = "date") -> DataFrame:
+    """df with the column ``out``: ``step(state, *columns)`` gives the next state and the row's value, over each group's rows in order.
+
+    For rules that no window expresses. Rows are dealt by group, sorted and streamed: a task holds a batch and one
+    state, however long a history is. ``kind`` is double if not given. A group's state starts from ``start``; null keys are a group, null dates come first.
+    """
+    schema = T.StructType([f for f in df.schema.fields if f.name != out]).add(out, kind or T.DoubleType())
+    made_of = to_arrow_type(schema[out].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, start
+        for b in batches:
+            values = []
+            for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in (*keys, *columns)), strict=True):
+                if row[: len(keys)] != key:
+                    key, state = row[: len(keys)], start
+                state, value = step(state, *row[len(keys) :])
+                values.append(value)
+            names = [n for n in b.schema.names if n != out]
+            yield pa.record_batch([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(values, made_of)], [*names, out])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+
+
 def calendar(df: DataFrame) -> DataFrame:
     """(date, pos): the dates in order from 0. A row a date: a table of days, however many rows there are."""
     return df.select("date").distinct().withColumn("pos", F.row_number().over(Window.orderBy("date")) - 1)

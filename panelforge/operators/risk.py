@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.mathx import TRADING_DAYS, quantile_of_normal
-from panelforge.operators.panel import filled, over, rolling
+from panelforge.operators.panel import filled, folded, over, rolling
 from panelforge.operators.signals import clip
 
 
@@ -73,22 +73,18 @@ def stream_vol_target(daily: DataFrame, target: float = 0.10, lookback: int = 25
 
 
 def drawdown_stop(daily: DataFrame, limit: float = 0.20, cooldown: int = 21, r: str = "ret") -> DataFrame:
-    """daily (book, date, ret) with stopped: flat for ``cooldown`` rows after a breach, then a fresh peak.
-
-    The history of one book, a row a date, is folded by a higher-order function.
-    """
-    rows = daily.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("date", F.coalesce(F.col(r), F.lit(0.0)).alias("r")))).alias("h"))
-    start = F.struct(F.lit(1.0).alias("equity"), F.lit(1.0).alias("peak"), F.lit(0).alias("left"), F.array().cast("array<double>").alias("all"))
-
-    def step(a, x):
-        on = a["left"] == 0
-        equity = F.when(on, a["equity"] * (1 + x["r"])).otherwise(a["equity"])
-        peak = F.when(on, F.greatest(a["peak"], equity)).when(a["left"] == 1, equity).otherwise(a["peak"])
-        left = F.when(on, F.when(equity / peak - 1 <= -limit, F.lit(cooldown)).otherwise(0)).otherwise(a["left"] - 1)
-        return F.struct(equity.alias("equity"), peak.alias("peak"), left.cast("int").alias("left"), F.concat(a["all"], F.array(F.when(on, x["r"]).otherwise(0.0))).alias("all"))
-
-    out = rows.select("book", F.explode(F.arrays_zip(F.col("h.date").alias("date"), F.aggregate("h", start, step)["all"].alias("stopped"))).alias("x"))
-    return daily.join(out.select("book", "x.date", "x.stopped"), ["book", "date"])
+    """daily (book, date, ret) with stopped: flat for ``cooldown`` rows after a breach, then a fresh peak. A null return is 0."""
+
+    def step(state: tuple[float, float, int], x: float | None) -> tuple[tuple[float, float, int], float]:
+        equity, peak, left = state
+        if left:
+            return (equity, equity if left == 1 else peak, left - 1), 0.0
+        x = x or 0.0
+        equity *= 1 + x
+        peak = max(peak, equity)
+        return (equity, peak, cooldown if equity / peak - 1 <= -limit else 0), x
+
+    return folded(daily, ("book",), (r,), step, (1.0, 1.0, 0), "stopped")
 
 
 def capped(w: Column, most: float = 0.10) -> Column:

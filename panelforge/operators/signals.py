@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelforge.functions.mathx import weekday_offset
-from panelforge.operators.panel import back, filled, over, rolling
+from panelforge.operators.panel import back, filled, folded, over, rolling
 
 FEATURES = ("mom_5", "mom_10", "mom_21", "zscore_21", "vol_21", "volume_ratio", "rsi_14", "dist_52w_high")
 
@@ -83,25 +84,19 @@ def pair_spread(table: DataFrame, window: int = 252, zscore: int = 60) -> DataFr
 
 
 def pair_positions(spreads: DataFrame, entry: float = 2.0, exit_: float = 0.0, p_max: float = 0.10) -> DataFrame:
-    """spreads (a, b, date, z, beta, p) with position: the ordered fold of entry, exit and break rules.
-
-    The history of one pair, a row a date, is folded by a higher-order function.
-    """
-    day = F.struct("date", "z", "beta", "p")
-    rows = spreads.groupBy("a", "b").agg(F.array_sort(F.collect_list(day)).alias("h"))
-
-    start = F.array().cast("array<struct<date:date,position:int>>")
-
-    def step(acc, x):
-        before = F.coalesce(F.try_element_at(acc, F.lit(-1))["position"], F.lit(0))
-        broken = x["p"].isNull() | (x["p"] > p_max) | x["beta"].isNull() | (x["beta"] <= 0) | x["z"].isNull()
-        opened = F.when(x["z"] > entry, -1).when(x["z"] < -entry, 1).otherwise(0)
-        held = F.when((before == 1) & (x["z"] >= -exit_), 0).when((before == -1) & (x["z"] <= exit_), 0).otherwise(before)
-        position = F.when(broken, 0).when(before == 0, opened).otherwise(held).cast("int")
-        return F.concat(acc, F.array(F.struct(x["date"].alias("date"), position.alias("position"))))
-
-    out = rows.select("a", "b", F.explode(F.aggregate("h", start, step)).alias("x")).select("a", "b", "x.date", "x.position")
-    return spreads.join(out, ["a", "b", "date"])
+    """spreads (a, b, date, z, beta, p) with position: the ordered fold of entry, exit and break rules."""
+
+    def step(before: int, z: float | None, beta: float | None, p: float | None) -> tuple[int, int]:
+        sound = None not in (z, beta, p) and z == z and p <= p_max and beta > 0
+        if not sound:
+            now = 0
+        elif before == 0:
+            now = -1 if z > entry else 1 if z < -entry else 0
+        else:
+            now = 0 if (z >= -exit_ if before == 1 else z <= exit_) else before
+        return now, now
+
+    return folded(spreads, ("a", "b"), ("z", "beta", "p"), step, 0, "position", T.IntegerType())
 
 
 def pair_weights(positions: DataFrame) -> DataFrame:

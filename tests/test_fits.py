@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import account, allocation, ml, options, panel, performance, smiles, solvers
+from panelforge.operators import account, allocation, ml, options, panel, performance, signals, smiles, solvers
 
 DAY0 = dt.date(2020, 1, 1)
 
@@ -178,3 +178,33 @@ def test_boosted_model_orders_scores(spark):
     got = ml.scored(model, rows, ("good", "noise")).collect()
     assert min(r.p for r in got if r.good > 0.2) > max(r.p for r in got if r.good < -0.2)
     assert ml.fit_boosted(rows.where("y = 1"), ("good", "noise")) is None
+
+
+@pytest.mark.parametrize("method", ["isotonic", "sigmoid"])
+def test_calibration_keeps_the_order_and_meets_the_rate(spark, method):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 2))
+    up = (rng.random(300) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(float)
+    rows = spark.createDataFrame([(d, float(a), float(b), float(y)) for d, (a, b), y in zip(dates(300), x, up, strict=True)], "date date, good double, noise double, y double")
+    names = ("good", "noise")
+    raw = ml.scored(ml.fit_boosted(rows, names, trees=1), rows, names)
+    got = ml.calibrated(rows, names, method, trees=1)(raw.withColumn("raw", F.col("p"))).orderBy("raw").collect()
+    p = [r.p for r in got]
+    assert all(u <= v + 1e-12 for u, v in zip(p, p[1:], strict=False)) and 0 <= p[0] < p[-1] <= 1
+    assert np.mean(p) == pytest.approx(up.mean(), abs=0.1)
+    one = ml.calibrated(rows.where("y = 1"), names, method, trees=1)(raw)  # nothing to learn: as they are
+    assert sorted(r.p for r in one.collect()) == sorted(r.p for r in raw.collect())
+
+
+def test_unknown_calibration(spark):
+    rows = spark.createDataFrame([(d, float(k % 2), float(k % 2)) for k, d in enumerate(dates(30))], "date date, good double, y double")
+    with pytest.raises(ValueError, match="unknown calibration"):
+        ml.calibrated(rows, ("good",), "other", trees=1)
+
+
+def test_meta_labels_and_book(spark):
+    rows = spark.createDataFrame(
+        [("A", DAY0 + dt.timedelta(days=i), s, r) for i, (s, r) in enumerate([(1, 0.0), (-1, 0.02), (0, -0.01), (1, 0.03), (1, None)])], "ticker string, date date, side int, r double"
+    )
+    got = signals.meta_labels(rows).orderBy("date").collect()
+    assert [x.meta for x in got] == [1.0, 1.0, None, None, None]  # what the next row pays; null without a side or a return

@@ -47,6 +47,43 @@ def test_capped_chase(spark):
     assert series(account.chased(rows), "held") == pytest.approx([0, 0.25, 0.5, 0.75, 1, 1])
 
 
+def test_fold_runs_in_order_within_groups_and_across_batches(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, DAY0 + dt.timedelta(days=i), None if rng.random() < 0.1 else float(rng.normal()), "old") for k in ("a", "b", None) for i in range(50)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "key string, date date, x double, out string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = panel.folded(df, ("key",), ("x",), lambda s, x: (s + (x or 0.0), s + (x or 0.0)), 0.0, "out").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want, total = {}, {}
+    for k, d, x, _ in rows:
+        total[k] = want[k, d] = total.get(k, 0.0) + (x or 0.0)
+    assert len(got) == len(rows) and {(r.key, r.date): r.out for r in got} == pytest.approx(want)
+    empty = panel.folded(df.where("false"), ("key",), ("x",), lambda s, x: (s, s), 0.0, "out")
+    assert empty.count() == 0 and empty.dtypes == [("key", "string"), ("date", "date"), ("x", "double"), ("out", "double")]
+
+
+def test_pair_positions_follow_the_rules_day_by_day(spark):
+    z = [0.5, 2.5, 1.0, -0.1, -2.5, None, -2.5, -1.0, 0.2, 3.0, 3.0, 3.0, 2.2]
+    beta = [1.0] * 9 + [1.0, -0.5, 1.0, 1.0]
+    p = [0.01] * 11 + [0.2, None]
+    rows = [("x", "y", DAY0 + dt.timedelta(days=i), *v) for i, v in enumerate(zip(z, beta, p, strict=True))]
+    df = spark.createDataFrame(rows, "a string, b string, date date, z double, beta double, p double")
+    # opened above 2, closed at 0; opened below -2, broken by a null z; opened again, closed; broken by beta and by p
+    assert series(signals.pair_positions(df), "position") == [0, -1, -1, 0, 1, 0, 1, 1, 0, -1, 0, 0, 0]
+    both = df.unionByName(df.withColumn("a", F.lit("w")).withColumn("z", -F.col("z")))
+    got = signals.pair_positions(both)
+    assert series(got.where("a = 'w'"), "position") == [-x for x in series(got.where("a = 'x'"), "position")]
+
+
+def test_chase_without_cap_or_target(spark):
+    rows = [("b", "X", DAY0 + dt.timedelta(days=i), t, c) for i, (t, c) in enumerate([(1.0, 0.5), (None, 0.5), (1.0, None), (-1.0, 0.25)])]
+    df = spark.createDataFrame(rows, "book string, ticker string, date date, target double, cap double")
+    assert series(account.chased(df), "held") == [0.5, 0.5, 1.0, 0.75]
+
+
 def test_gaps_fill_forward_three_rows_at_most(spark):
     got = panel.align(bars(spark, {"A": [1, None, None, None, None, 6], "B": [1, 2, 3, 4, 5, 6], "C": [None] * 6}))
     assert series(got.where("ticker = 'A'"), "close") == [1, 1, 1, 1, None, 6]
