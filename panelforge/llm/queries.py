@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import language_id, line_dedup, near_dup, pieces, quality_classifier, quality_rules, source_mix, top_k, toxicity, warc
+from panelforge.llm import hard_negatives, language_id, line_dedup, near_dup, pieces, quality_classifier, quality_rules, source_mix, top_k, toxicity, warc
 from panelforge.llm.common import fold, table
 
 
@@ -63,11 +63,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return hard_negatives.mine(rows, top_k.every(step=hard_negatives.EVERY), label=hard_negatives.shifted())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_quality, op3_warc, op4_language, op5_line_dedup, op6_source_mix, op7_toxicity, op8_near_dup, op9_pieces, op10_quality_rules, pipeline)}
-SQL = {"op1_top_k": top_k.SQL, "op3_warc": warc.SQL, "op6_source_mix": source_mix.SQL, "op8_near_dup": near_dup.SQL, "op10_quality_rules": quality_rules.SQL}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_quality, op3_warc, op4_language, op5_line_dedup, op6_source_mix, op7_toxicity, op8_near_dup, op9_pieces, op10_quality_rules, op13_hard_negatives, pipeline)}
+SQL = {"op1_top_k": top_k.SQL, "op3_warc": warc.SQL, "op6_source_mix": source_mix.SQL, "op8_near_dup": near_dup.SQL, "op10_quality_rules": quality_rules.SQL, "op13_hard_negatives": hard_negatives.SQL}
