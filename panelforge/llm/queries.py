@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import hard_negatives, language_id, line_dedup, near_dup, pieces, quality_classifier, quality_rules, source_mix, suffix_dedup, top_k, toxicity, warc
+from panelforge.llm import hard_negatives, language_id, line_dedup, near_dup, periodic_runs, pieces, quality_classifier, quality_rules, source_mix, suffix_dedup, top_k, toxicity, warc
 from panelforge.llm.common import fold, table
 
 
@@ -63,6 +63,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find(table(spark, sf_dir, "documents"), periodic_runs.planted))
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["length"])
@@ -80,5 +84,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_quality, op3_warc, op4_language, op5_line_dedup, op6_source_mix, op7_toxicity, op8_near_dup, op9_pieces, op10_quality_rules, op12_suffix_dedup, op13_hard_negatives, pipeline)}
-SQL = {"op1_top_k": top_k.SQL, "op3_warc": warc.SQL, "op6_source_mix": source_mix.SQL, "op8_near_dup": near_dup.SQL, "op10_quality_rules": quality_rules.SQL, "op12_suffix_dedup": suffix_dedup.SQL, "op13_hard_negatives": hard_negatives.SQL}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_quality, op3_warc, op4_language, op5_line_dedup, op6_source_mix, op7_toxicity, op8_near_dup, op9_pieces, op10_quality_rules, op11_periodic_runs, op12_suffix_dedup, op13_hard_negatives, pipeline)}
+SQL = {"op1_top_k": top_k.SQL, "op3_warc": warc.SQL, "op6_source_mix": source_mix.SQL, "op8_near_dup": near_dup.SQL, "op10_quality_rules": quality_rules.SQL, "op11_periodic_runs": periodic_runs.SQL, "op12_suffix_dedup": suffix_dedup.SQL, "op13_hard_negatives": hard_negatives.SQL}
