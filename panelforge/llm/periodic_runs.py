@@ -12,9 +12,9 @@ contains it after that run's first q words.
    two words is the boundary of one node of the derivation.
 3. Of each distinct symbol, the runs that cross its boundary are computed once, within its expansion. Periods to
    try are the distances from the grams at the boundary to the same grams before them; a period is tried in ascending order, and
-   one that is a multiple of a found run's is not tried again.
-4. A symbol's runs are moved to all places where it is derived. Every run crosses the boundary of the least node that holds it, so the
-   longest interval of each period is the run; of equal intervals the least period counts.
+   a multiple of a found run's that stays within this run is not tried.
+4. A symbol's runs are moved to all places where it is derived. Every run crosses the boundary of the least node that holds it, so
+   intervals that a neighbouring word extends are pieces and go; of equal intervals the least period counts.
 
 Runs of all documents of a batch are found side by side in numpy; a batch holds about ``BATCH`` words, or one longer document.
 
@@ -239,7 +239,7 @@ def crossing(w: np.ndarray, grams: np.ndarray, lo: np.ndarray, mid: np.ndarray,
         done.append(best)
         n, q = n[~now], q[~now]
         if len(n) and len(best[0]):
-            # of each node's found runs, multiples of a period within its run need no trial
+            # a multiple of a found run's period that reaches from the boundary no further than this run, on both sides, gives this run
             fn, fs, fe, fp = best
             o = np.argsort(fn, kind="stable")
             fn, fs, fe, fp = fn[o], fs[o], fe[o], fp[o]
@@ -247,7 +247,7 @@ def crossing(w: np.ndarray, grams: np.ndarray, lo: np.ndarray, mid: np.ndarray,
             drop = np.zeros(len(n), bool)
             for k in range(int((hi_ - lo_).max(initial=0))):
                 at = np.minimum(lo_ + k, len(fn) - 1)
-                drop |= (lo_ + k < hi_) & (q % fp[at] == 0) & (2 * q <= fe[at] - fs[at])
+                drop |= (lo_ + k < hi_) & (q % fp[at] == 0) & (mid[n] - q >= fs[at]) & (mid[n] + q <= fe[at])
             n, q = n[~drop], q[~drop]
         turn = min(64, turn * 2)
     return tuple(np.concatenate(x) for x in zip(*done, strict=True))
@@ -285,13 +285,9 @@ def runs(w: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     start, end, period = np.concatenate([start, again_[0]]), np.concatenate([end, again_[1]]), np.concatenate([period, np.repeat(period, times)])
     if not len(start):
         return none
-    # the longest interval of each period: one within another is a part of it
-    order = np.lexsort((-end, start, period, doc[start]))
-    start, end, period = start[order], end[order], period[order]
-    new = np.append(True, (period[1:] != period[:-1]) | (doc[start[1:]] != doc[start[:-1]]))
-    group = np.cumsum(new)
-    top = np.maximum.accumulate(end + group * (len(w) + 1)) - group * (len(w) + 1)
-    whole = new | (end > np.append(0, top[:-1]))
+    # pieces of longer runs go: those that a neighbouring word extends; of equal intervals the least period stays
+    extends = lambda p, q: (np.minimum(p, q) >= 0) & (np.maximum(p, q) < len(w)) & (w[np.clip(p, 0, len(w) - 1)] == w[np.clip(q, 0, len(w) - 1)])  # noqa: E731  no two documents share an id
+    whole = ~extends(start - 1, start - 1 + period) & ~extends(end, end - period)
     start, end, period = start[whole], end[whole], period[whole]
     order = np.lexsort((period, end, start))
     start, end, period = start[order], end[order], period[order]
