@@ -8,16 +8,16 @@ words share; all hashed to 32 bits. The score is the logistic of
 
 so pairs such as insult and group mention have weights of their own.
 Fitting uses at most about ``SAMPLE`` labelled documents (a hash of the id
-chooses), dealt over tasks of about ``SHARD_ROWS``. Each task keeps terms found in
-``MIN_DOCS`` of its documents; every one of them has a linear weight, fitted by FTRL with L1, and
+chooses). Their terms are hashed where the texts are, and one task fits the model on the term sets of the sample, which
+bound it: document frequencies count over the whole sample, and how rows are dealt changes nothing. A term found in
+``MIN_DOCS`` documents has a linear weight, fitted by FTRL with L1, and
 factors, fitted by adaptive gradient steps after a first pass for the linear part. A step
 moves a document's own logit by its error at most: long texts, whose terms all move at once,
-would overshoot otherwise. Factors start from a hash of the term, so that the mean over
-shards is meaningful. The model is bounded by the sample, not by the input.
+would overshoot otherwise. Factors start from a hash of the term.
 
 Edge cases: null and empty texts get the score of the bias; without any settled
-training label every score is 0.5, and ``keep`` rejects nothing; a shard with one class learns the bias towards it; repeated rows
-get equal scores; documents with contradictory labels are not learnt from; other columns are ignored.
+training label every score is 0.5, and ``keep`` rejects nothing; labels of one class teach a bias towards it; repeated rows
+get equal scores; very long texts count as the set of their terms; documents with contradictory labels are not learnt from; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,15 +32,14 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import bounded_sample, settled_labels, sliced, word_hashes
 
-SAMPLE = 24_000
-SHARD_ROWS = 2_000
+SAMPLE = 12_000
 MIN_DOCS = 5
 EPOCHS = 8
 FACTORS = 4
 THRESHOLD = 0.3
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.5
 V_RATE, V_L2 = 0.2, 0.002
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -105,38 +104,41 @@ def _places(found: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return at[ids[np.minimum(at, len(ids) - 1)] == found].astype(np.int32) if len(ids) else np.empty(0, np.int32)
 
 
-def _fit_shard(epochs: int, factors: int, min_docs: int):
+def _term_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a batch: the documents' turns, labels, numbers of terms and terms."""
+    for b in sliced(batches):
+        found = [terms(x.as_py()) for x in b.column(1)]
+        if found:
+            turn, label = (b.column(k).to_numpy().astype(np.int64).tobytes() for k in (0, 2))
+            parts = (turn, label, np.array([len(f) for f in found], np.int64).tobytes(), np.concatenate(found).tobytes())
+            yield pa.record_batch([pa.array([0])] + [pa.array([x], pa.binary()) for x in parts], ["one", "turn", "label", "size", "terms"])
+
+
+def _fit_all(epochs: int, factors: int, min_docs: int):
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["turn", "doc_id"], kind="stable")
-        found = [terms(t) for t in pdf["text"]]
+        turn, label, size = (np.concatenate([np.frombuffer(x, np.int64) for x in pdf[c]]) for c in ("turn", "label", "size"))
+        found = np.split(np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["terms"]]), np.cumsum(size)[:-1])
+        order = np.argsort(turn, kind="stable")
         ids, counts = np.unique(np.concatenate(found), return_counts=True)
         ids = ids[counts >= min_docs]
-        rows = [_places(r, ids) for r in found]
-        del found, counts
-        w, v = train(rows, pdf["label"].to_numpy(float), len(ids), ids, epochs, factors)
+        w, v = train([_places(found[k], ids) for k in order], label[order].astype(float), len(ids), ids, epochs, factors)
         return pd.DataFrame({"term": np.append(ids.astype(np.int64), -1), "w": w, "v": [*v.tolist(), [0.0] * factors]})
 
     return fit
 
 
-def fit(documents: DataFrame, labels: DataFrame, column: str = "toxic", sample: int = SAMPLE, shard_rows: int = SHARD_ROWS, epochs: int = EPOCHS, factors: int = FACTORS, min_docs: int = MIN_DOCS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def fit(documents: DataFrame, labels: DataFrame, column: str = "toxic", sample: int = SAMPLE, epochs: int = EPOCHS, factors: int = FACTORS, min_docs: int = MIN_DOCS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Terms in order, their weights and factors, the bias. ``labels`` holds training rows only."""
-    chosen = bounded_sample(settled_labels(labels, column), sample).persist()
-    shards = max(1, round(chosen.count() / shard_rows))
-    rows = (
-        documents.select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")  # at most about ``sample`` rows of 12 bytes
-        .withColumn("turn", F.xxhash64("doc_id", F.lit(5)))
-        .withColumn("shard", F.pmod("turn", F.lit(shards)))
-    )
-    models = rows.groupBy("shard").applyInPandas(_fit_shard(epochs, factors, min_docs), "term long, w double, v array<double>")
-    parts = [F.sum(F.col("v")[f]).alias(f"v{f}") for f in range(factors)]
-    mean = models.groupBy("term").agg(F.sum("w").alias("w"), F.count("*").alias("n"), *parts).toPandas().sort_values("term")  # bounded by the sample
-    if mean.empty:
+    chosen = bounded_sample(settled_labels(labels, column), sample)
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most about ``sample`` rows of 12 bytes
+    rows = rows.select(F.xxhash64("doc_id", F.lit(5)).alias("turn"), "text", "label")
+    sets = rows.mapInArrow(_term_sets, "one long, turn binary, label binary, size binary, terms binary")
+    model = sets.groupBy("one").applyInPandas(_fit_all(epochs, factors, min_docs), "term long, w double, v array<double>").toPandas()  # bounded by the sample
+    if model.empty:
         return np.empty(0, np.uint32), np.empty(0), np.empty((0, factors)), 0.0
-    parts_of = float(mean["n"].max())  # every shard gives one bias, so this is the number of shards with rows
-    bias, mean = float(mean["w"].iloc[0]) / parts_of, mean.iloc[1:]
-    return mean["term"].to_numpy(np.uint32), mean["w"].to_numpy() / parts_of, mean[[f"v{f}" for f in range(factors)]].to_numpy() / parts_of, bias
+    model = model.sort_values("term")
+    bias, model = float(model["w"].iloc[0]), model.iloc[1:]
+    return model["term"].to_numpy(np.uint32), model["w"].to_numpy(), np.array(model["v"].tolist()).reshape(-1, factors), bias
 
 
 def _logits(texts, model: tuple) -> np.ndarray:
