@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,15 +37,95 @@ def blend(sleeves: DataFrame, alloc: DataFrame) -> DataFrame:
     return at.groupBy("date").agg(F.sum(F.coalesce(F.col("ret"), F.lit(0.0)) * F.coalesce(F.col("a"), F.lit(0.0))).alias("ret"))
 
 
-def correlations(rows: DataFrame, *keys: str) -> DataFrame:
-    """keys, i, j, corr, cov, distance of every pair of names (i, j) of rows (keys, date, name, r); pairs i < j are computed and mirrored."""
-    x = rows.where("r IS NOT NULL")
-    a = x.select(*keys, "date", F.col("name").alias("i"), F.col("r").alias("x"))
-    b = x.select(*keys, "date", F.col("name").alias("j"), F.col("r").alias("y"))
-    half = a.join(b, [*keys, "date"]).where("i <= j").groupBy(*keys, "i", "j").agg(F.corr("x", "y").alias("corr"), F.covar_samp("x", "y").alias("cov"))
-    both = half.unionByName(half.where("i < j").select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "corr", "cov"))
-    distance = F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), 0.5 * (1 - F.col("corr")))))
-    return both.withColumn("distance", distance)
+#: Names and days of a block of returns.
+NAMES, DAYS = 64, 512
+
+
+def tiles(rows: DataFrame, *keys: str, names: int = NAMES, days: int = DAYS) -> DataFrame:
+    """keys, b, n, days and the packed returns of each (block of names, block of days) of rows (keys, date, name, r), NaN where there is none.
+
+    Names are numbered in order within the keys (a row a name); ``labels`` holds a block's names.
+    """
+    x = rows.where("r IS NOT NULL").select(*keys, "date", "name", F.col("r").cast("double").alias("r"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("name")) - 1
+    numbered = x.select(*keys, "name").distinct().withColumn("_i", number)
+    day = F.datediff("date", F.lit("1970-01-01").cast("date"))
+    at = x.join(numbered, [*keys, "name"]).select(*keys, F.floor(F.col("_i") / names).alias("b"), F.floor(day / days).alias("t"), "name", (F.col("_i") % names).alias("i"), F.pmod(day, F.lit(days)).alias("d"), "r")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        tile, labels = np.full((names, days), np.nan), [None] * names
+        i = pdf["i"].to_numpy()
+        tile[i, pdf["d"].to_numpy()] = pdf["r"].to_numpy()
+        for k, n in zip(i, pdf["name"], strict=True):
+            labels[k] = n
+        used = np.flatnonzero(~np.isnan(tile).all(0))  # weekly dates leave most days empty
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in (*keys, "b", "t")), labels, used.tolist(), tile[:, used].tobytes()]], columns=[*keys, "b", "t", "labels", "used", "r"])
+
+    kinds = dict(x.dtypes)
+    own = "".join(f"{k} {kinds[k]}, " for k in keys)
+    return at.groupBy(*keys, "b", "t").applyInPandas(pack, f"{own}b long, t long, labels array<{kinds['name']}>, used array<int>, r binary")
+
+
+def _block(pdf: pd.DataFrame, b: int, grid: dict, names: int) -> tuple[np.ndarray, list]:
+    """The returns of a block of names over all days of the grid, and the names."""
+    out, labels = np.full((names, len(grid)), np.nan), [None] * names
+    for t, own, used, r in zip(*(pdf.loc[pdf["b"] == b, c] for c in ("t", "labels", "used", "r")), strict=True):
+        out[:, [grid[t, d] for d in used]] = np.frombuffer(r).reshape(names, len(used))
+        labels = [x if y is None else y for x, y in zip(labels, own, strict=True)]
+    return out, labels
+
+
+def _moments(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n, cov and corr of each row of x with each row of y over the days on which both are known: products of values and of masks."""
+
+    def shifted(v):
+        on = ~np.isnan(v)
+        mean = np.divide(np.where(on, v, 0).sum(1), on.sum(1), out=np.zeros(len(v)), where=on.any(1))
+        return np.where(on, v - mean[:, None], 0.0), on.astype(float)
+
+    (u, m), (v, k) = shifted(x), shifted(y)
+    n = m @ k.T
+    su, sv, uu, vv, uv = u @ k.T, m @ v.T, (u * u) @ k.T, m @ (v * v).T, u @ v.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cuv, cu, cv = uv - su * sv / n, uu - su * su / n, vv - sv * sv / n
+        flat = (cu <= 1e-14 * uu) | (cv <= 1e-14 * vv) | (n < 2)
+        return n, np.where(n > 1, cuv / (n - 1), np.nan), np.where(flat, np.nan, np.clip(cuv / np.sqrt(cu * cv), -1, 1))
+
+
+def correlations(rows: DataFrame, *keys: str, names: int = NAMES, days: int = DAYS) -> DataFrame:
+    """keys, i, j, corr, cov, distance of every pair of names (i, j) with common dates of rows (keys, date, name, r).
+
+    Returns are packed into (block of names, block of days) tiles, and each pair of name blocks is a group whose moments are
+    numpy products: what is shuffled is each tile once for each block of names, not a row a pair and date.
+    """
+    packed = tiles(rows, *keys, names=names, days=days)
+    blocks = packed.groupBy(*keys).agg((F.max("b") + 1).alias("_blocks"))
+    both = packed.join(blocks, list(keys)) if keys else packed.join(blocks, F.lit(True))  # a row a key
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    both = both.withColumn("_o", other).withColumn("lo", F.least("b", "_o")).withColumn("hi", F.greatest("b", "_o")).drop("_o", "_blocks")
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+        grid = {td: c for c, td in enumerate(sorted({(t, d) for t, used in zip(pdf["t"], pdf["used"], strict=True) for d in used}))}
+        x, a = _block(pdf, lo, grid, names)
+        y, b = (x, a) if lo == hi else _block(pdf, hi, grid, names)
+        n, cov, corr = _moments(x, y)
+        i, j = np.nonzero(n)
+        left, right = np.array(a, object)[i], np.array(b, object)[j]
+        out = pd.DataFrame({"i": left, "j": right, "corr": corr[i, j], "cov": cov[i, j]})
+        if lo != hi:
+            out = pd.concat([out, out.rename(columns={"i": "j", "j": "i"})], ignore_index=True)
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out
+
+    kinds = dict(rows.dtypes)
+    own = "".join(f", {k} {kinds[k]}" for k in keys)
+    out = both.groupBy(*keys, "lo", "hi").applyInPandas(products, f"i {kinds['name']}, j {kinds['name']}, corr double, cov double{own}")
+    known = lambda c: F.when(~F.isnan(c), F.col(c))
+    out = out.select(*keys, "i", "j", known("corr").alias("corr"), known("cov").alias("cov"))
+    distance = F.when(F.col("i") == F.col("j"), 0.0).when(F.col("corr").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), 0.5 * (1 - F.col("corr")))))
+    return out.withColumn("distance", distance)
 
 
 def inverse_variance(rows: DataFrame, *keys: str) -> DataFrame:
