@@ -144,17 +144,19 @@ def uniqueness_weights(rows: DataFrame, *keys: str) -> DataFrame:
     """rows with u: 1 / rows that share the label date, of mean 1 within the keys."""
     own = 1 / F.count("*").over(Window.partitionBy(*keys, "date"))
     at = rows.withColumn("_u", own)
-    return at.withColumn("u", F.col("_u") / F.avg("_u").over(Window.partitionBy(*keys) if keys else Window.partitionBy())).drop("_u")
+    mean = at.groupBy(*keys).agg(F.avg("_u").alias("_mean"))  # a row a key
+    at = at.join(mean, list(keys)) if keys else at.join(mean, F.lit(True))
+    return at.withColumn("u", F.col("_u") / F.col("_mean")).drop("_u", "_mean")
 
 
-def neutral_book(proba: DataFrame, deadband: float = 0.05, max_weight: float = 0.10, p: str = "p") -> DataFrame:
-    """proba with w: a market-neutral book of gross 1 from P(up), each date scaled to the cap."""
+def neutral_book(proba: DataFrame, deadband: float = 0.05, max_weight: float = 0.10, p: str = "p", keys: tuple = ()) -> DataFrame:
+    """proba with w: a market-neutral book of gross 1 from P(up), each date (of each key) scaled to the cap."""
     s = F.col(p) - 0.5
-    return _neutral(proba.withColumn("w", F.when(s.isNotNull(), F.when(F.abs(s) >= deadband, s).otherwise(0.0))), max_weight)
+    return _neutral(proba.withColumn("w", F.when(s.isNotNull(), F.when(F.abs(s) >= deadband, s).otherwise(0.0))), max_weight, keys)
 
 
-def _neutral(at: DataFrame, max_weight: float) -> DataFrame:
-    day = Window.partitionBy("date")
+def _neutral(at: DataFrame, max_weight: float, keys: tuple = ()) -> DataFrame:
+    day = Window.partitionBy(*keys, "date")
     at = at.withColumn("w", F.col("w") - F.avg("w").over(day))
     at = at.withColumn("w", F.try_divide(F.col("w"), F.sum(F.abs("w")).over(day)))
     scale = F.least(F.lit(1.0), F.try_divide(F.lit(max_weight), F.max(F.abs("w")).over(day)))
@@ -167,12 +169,12 @@ def primary_side(p: Column, deadband: float = 0.05) -> Column:
     return F.when(s.isNotNull(), F.when(F.abs(s) >= deadband, F.signum(s)).otherwise(0.0))
 
 
-def meta_labels(rows: DataFrame, side: str = "side") -> DataFrame:
+def meta_labels(rows: DataFrame, side: str = "side", keys: tuple = ("ticker",)) -> DataFrame:
     """rows with meta: whether a side pays on the next row (null without a side or a return)."""
-    ahead = F.lead("r").over(over("ticker"))
+    ahead = F.lead("r").over(over(*keys))
     return rows.withColumn("meta", F.when((F.col(side) != 0) & ahead.isNotNull(), (F.col(side) * ahead > 0).cast("double")))
 
 
-def meta_book(rows: DataFrame, least: float = 0.5, max_weight: float = 0.10) -> DataFrame:
+def meta_book(rows: DataFrame, least: float = 0.5, max_weight: float = 0.10, keys: tuple = ()) -> DataFrame:
     """rows (date, ticker, side, meta_p) with w: sides sized by the meta probability above ``least``."""
-    return _neutral(rows.withColumn("w", F.col("side") * F.greatest(F.col("meta_p") - least, F.lit(0.0))), max_weight)
+    return _neutral(rows.withColumn("w", F.col("side") * F.greatest(F.col("meta_p") - least, F.lit(0.0))), max_weight, keys)

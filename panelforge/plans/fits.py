@@ -1,13 +1,14 @@
-"""Queries without SQL: fits, trees and models over the same views, and alert tables."""
+"""Fits, trees and models over the same views, and alert tables: most of them without SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelforge.operators import allocation, ml, panel, performance, risk, signals, smiles, solvers
+from panelforge.operators import allocation, boost, ml, panel, performance, risk, signals, smiles, solvers
 from panelforge.plans import market, views
 from panelforge.plans.quotes import true_points
+from panelforge.plans.sql import rounded, with_
 from panelforge.streaming import alerts
 
 
@@ -51,17 +52,14 @@ def _training(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     return feats, folds, signals.training_rows(feats, folds, 504)
 
 
-TREES = 20
-
-
 def g14_model_books(spark: SparkSession, d: str) -> DataFrame:
     feats, folds, rows = _training(spark, d)
-    return ml.fold_books(signals.uniqueness_weights(rows, "fold"), feats, folds, weight="u", trees=TREES)
+    return ml.fold_books(signals.uniqueness_weights(rows, "fold"), feats, folds, weight="u")
 
 
 def g15_calibrated_books(spark: SparkSession, d: str) -> DataFrame:
     feats, folds, rows = _training(spark, d)
-    return ml.fold_books(rows, feats, folds, calibrate="isotonic", trees=TREES)
+    return ml.fold_books(rows, feats, folds, calibrate="isotonic")
 
 
 def _with_id(rows: DataFrame) -> DataFrame:
@@ -71,35 +69,41 @@ def _with_id(rows: DataFrame) -> DataFrame:
 def g22_meta_model(spark: SparkSession, d: str) -> DataFrame:
     """Each fold's primary model gives sides; a second one, fitted on what the fold knows, says which of them pay."""
     feats, folds, rows = _training(spark, d)
-    names, out = [*signals.FEATURES, "side"], None
-    for f in folds.orderBy("fold").collect():
-        primary = ml.fit_boosted(rows.where(F.col("fold") == f.fold), trees=TREES)
-        if primary is None:
-            continue
-        sided = ml.scored(primary, feats.dropna(subset=list(signals.FEATURES))).withColumn("side", signals.primary_side(F.col("p"), 0.01))
-        meta = signals.meta_labels(sided).where("meta IS NOT NULL").withColumnRenamed("meta", "y")
-        second = ml.fit_boosted(meta.where(F.col("date") < F.lit(f.fit_end)), names, trees=TREES)
-        ahead = sided.where(F.col("date") >= F.lit(f.fit_end))
-        book = signals.neutral_book(ahead) if second is None else signals.meta_book(ml.scored(second, ahead, names, "meta_p"), 0.5)
-        book = book.select(F.lit(f.fold).alias("fold"), "date", "ticker", "w")
-        out = book if out is None else out.unionByName(book)
-    return out
+    return ml.meta_books(rows, feats, folds)
 
 
 def g25_cv_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = signals.labelled(market.feature_rows(spark, d)).dropna(subset=[*signals.FEATURES, "y"])
-    return ml.cv_scores(rows, 3, 5, trees=TREES)
+    return ml.cv_scores(rows, 3, 5)
+
+
+def g17_first_split(spark: SparkSession, d: str) -> DataFrame:
+    """The first tree's one split of each fold, on two features in few steps, with its leaves."""
+    _, _, rows = _training(spark, d)
+    names = ("rsi", "mom")
+    at = rows.select("fold", "y", F.floor(F.col("rsi_14") / 10).cast("double").alias("rsi"), F.floor(F.col("mom_5") * 100).cast("double").alias("mom"))
+    models = boost.fit_all(at, ("fold",), names, trees=1, depth=1, rate=1.0)
+    found = [(k[0], names[m.feature[0, 0]], float(m.threshold[0, 0]), float(m.base), *map(float, m.leaf[0])) for k, m in models.items()]  # a row a fold
+    return views.rounded(spark.createDataFrame(found, "fold long, feature string, threshold double, base double, low double, high double"))
+
+
+def g28_losses(spark: SparkSession, d: str) -> DataFrame:
+    """What AUC loses when a feature or the labels are dealt anew, with a fixed function of the features as the model."""
+    _, _, rows = _training(spark, d)
+    own = rows.where("fold = 0").withColumn("id", F.concat_ws("|", "ticker", F.col("date").cast("string")))
+    score = lambda df: df.withColumn("p", F.round(1 / (1 + F.exp(-(0.5 * F.col("zscore_21") + 4 * F.col("mom_5") - F.col("rsi_14") / 100))), 9))
+    return views.rounded(ml.permutation_losses(score, own.select("id", "y", *signals.FEATURES), ("zscore_21", "mom_5", "vol_21"), 4))
 
 
 def g26_permutation_importance(spark: SparkSession, d: str) -> DataFrame:
     _, _, rows = _training(spark, d)
-    own = _with_id(rows)
-    return ml.permutation_importance(ml.fit_boosted(own, trees=TREES), own)
+    learn, rest = ml.held_out(_with_id(rows))
+    return ml.permutation_importance(ml.fit_boosted(learn), rest)
 
 
 def g27_feature_significance(spark: SparkSession, d: str) -> DataFrame:
     _, _, rows = _training(spark, d)
-    return ml.feature_significance(_with_id(rows), trees=TREES)
+    return ml.feature_significance(_with_id(rows))
 
 
 def g29_sleeves(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +112,7 @@ def g29_sleeves(spark: SparkSession, d: str) -> DataFrame:
     mom = signals.cross_sectional_momentum(m, views.LOOKBACK, views.SKIP, 0.2, views.REBALANCE).withColumn("book", F.lit("momentum"))
     feats, folds, rows = _training(spark, d)
     ahead = folds.select(F.col("fold").alias("f"), "fit_end", F.lead("fit_end").over(Window.orderBy("fold")).alias("next"))  # a row a fold
-    model = ml.fold_books(rows, feats, folds, trees=TREES).join(F.broadcast(ahead), F.col("fold") == F.col("f"))
+    model = ml.fold_books(rows, feats, folds).join(F.broadcast(ahead), F.col("fold") == F.col("f"))
     model = model.where(F.col("next").isNull() | (F.col("date") < F.col("next"))).withColumn("book", F.lit("ml"))
     cols = ["book", "date", "ticker", "w"]
     sized = risk.regime_sized(mom.select(*cols).unionByName(model.select(*cols)), hot)
@@ -189,11 +193,41 @@ def t1_filing_alerts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        g5_pair_scan, g6_best_pair, g8_rolling_cointegration, g11_causal_pairs, g14_model_books, g15_calibrated_books, g22_meta_model, g25_cv_scores,
-        g26_permutation_importance, g27_feature_significance, g29_sleeves, r5_garch_vol, r6_garch_regime, r7_garch_vol_target, r10_kelly, r16_evt_tail,
+        g5_pair_scan, g6_best_pair, g8_rolling_cointegration, g11_causal_pairs, g14_model_books, g15_calibrated_books, g17_first_split, g22_meta_model, g25_cv_scores,
+        g26_permutation_importance, g27_feature_significance, g28_losses, g29_sleeves, r5_garch_vol, r6_garch_regime, r7_garch_vol_target, r10_kelly, r16_evt_tail,
         a7_hrp, a8_rolling_hrp, p23_full_tearsheet, o16_svi_fits, o17_svi_no_butterfly, o19_ssvi_slices, o20_ssvi_surfaces, o21_ssvi_checks, t1_filing_alerts,
     )
 }
+_STEPS = "SELECT fold, y, floor(rsi_14 / 10) AS rsi, floor(mom_5 * 100) AS mom FROM training"
+_SPLIT = f"""SELECT fold, feature, threshold, ln(mean / (1 - mean)) AS base, -gl / (hl + 1) AS low, -(g - gl) / (h - hl + 1) AS high FROM (
+  SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1), 9) DESC, place, threshold) AS k FROM (
+    SELECT s.fold, s.place, s.feature, (s.x + lead(s.x) OVER w) / 2 AS threshold, t.mean, t.n, t.g, t.h,
+      sum(s.n * t.mean - s.up) OVER (w ROWS UNBOUNDED PRECEDING) AS gl, sum(s.n * t.mean * (1 - t.mean)) OVER (w ROWS UNBOUNDED PRECEDING) AS hl, sum(s.n) OVER (w ROWS UNBOUNDED PRECEDING) AS nl
+    FROM (SELECT fold, 0 AS place, 'rsi' AS feature, rsi AS x, count(*) AS n, sum(y) AS up FROM steps GROUP BY 1, 2, 3, 4 UNION ALL SELECT fold, 1, 'mom', mom, count(*), sum(y) FROM steps GROUP BY 1, 2, 3, 4) s
+    JOIN (SELECT fold, avg(y) AS mean, count(*) AS n, sum(avg(y)) OVER (PARTITION BY fold) * 0 AS g, count(*) * avg(y) * (1 - avg(y)) AS h FROM steps GROUP BY fold) t ON t.fold = s.fold
+    WINDOW w AS (PARTITION BY s.fold, s.feature ORDER BY s.x)) WHERE threshold IS NOT NULL AND nl >= 20 AND n - nl >= 20) WHERE k = 1"""
+_NAMES = ("zscore_21", "mom_5", "vol_21")
+_TURN = "CAST(('0x' || substr(md5({} || '|' || feature || '|' || repeat || '|' || id), 1, 13)) AS BIGINT)"
+_DEAL = "SELECT a.feature, a.repeat, a.id, b.id AS source FROM (SELECT *, row_number() OVER (PARTITION BY feature, repeat ORDER BY {}, id) AS k FROM {}) a JOIN (SELECT *, row_number() OVER (PARTITION BY feature, repeat ORDER BY {}, id) AS k FROM {}) b ON b.feature = a.feature AND b.repeat = a.repeat AND b.k = a.k"
+_AUC = "SELECT feature, repeat, kind, (sum(k * y) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * (count(*) - sum(y)), 0) AS auc FROM (SELECT *, rank() OVER (PARTITION BY feature, repeat, kind ORDER BY p) + (count(*) OVER (PARTITION BY feature, repeat, kind, p) - 1) / 2.0 AS k FROM ({})) GROUP BY 1, 2, 3"
+_LOSSES = {
+    "own": f"SELECT ticker || '|' || CAST(date AS VARCHAR) AS id, y, {', '.join(_NAMES)}, rsi_14 FROM training WHERE fold = 0",
+    "span": "SELECT id, f.feature, r.repeat FROM own CROSS JOIN (SELECT unnest(['" + "', '".join(_NAMES) + "']) AS feature) f CROSS JOIN (SELECT unnest(range(4)) AS repeat) r",
+    "label_span": "SELECT id, 'y' AS feature, r.repeat FROM own CROSS JOIN (SELECT unnest(range(4)) AS repeat) r",
+    "deal": _DEAL.format(_TURN.format("7"), "span", _TURN.format("8"), "span"),
+    "label_deal": _DEAL.format(_TURN.format("9"), "label_span", _TURN.format("10"), "label_span"),
+    "null_labels": "SELECT d.repeat, d.id, o.y FROM label_deal d JOIN own o ON o.id = d.source",
+    "dealt": "SELECT d.feature, d.repeat, d.id, o.y, round(1 / (1 + exp(-(0.5 * CASE WHEN d.feature = 'zscore_21' THEN v.zscore_21 ELSE o.zscore_21 END + 4 * CASE WHEN d.feature = 'mom_5' THEN v.mom_5 ELSE o.mom_5 END - o.rsi_14 / 100))), 9) AS p FROM deal d JOIN own o ON o.id = d.id JOIN own v ON v.id = d.source",
+    "base": "SELECT id, y, round(1 / (1 + exp(-(0.5 * zscore_21 + 4 * mom_5 - rsi_14 / 100))), 9) AS p FROM own",
+    "areas": _AUC.format("SELECT feature, repeat, 'own' AS kind, p, y FROM dealt UNION ALL SELECT d.feature, d.repeat, 'null', d.p, n.y FROM dealt d JOIN null_labels n ON n.repeat = d.repeat AND n.id = d.id UNION ALL SELECT 'all', n.repeat, 'null', b.p, n.y FROM base b JOIN null_labels n ON n.id = b.id UNION ALL SELECT 'all', 0, 'own', p, y FROM base"),
+}
+_LOST = "SELECT a.feature, a.repeat, (SELECT auc FROM areas WHERE feature = 'all' AND kind = 'own') - a.auc AS loss, z.auc - n.auc AS null_loss FROM areas a JOIN areas n ON n.feature = a.feature AND n.repeat = a.repeat AND n.kind = 'null' JOIN areas z ON z.feature = 'all' AND z.repeat = a.repeat AND z.kind = 'null' WHERE a.kind = 'own' AND a.feature <> 'all'"
+_ALL_TRAINING = market._TRAINING.replace("l.mom_5", ", ".join(f"l.{c}" for c in signals.FEATURES))
+_ROWS = {"feats": market._FEATURES, "labelled": market._LABELLED, "training": _ALL_TRAINING}
+
+
 SQL = {
+    "g17_first_split": with_(rounded({"fold": "i", "feature": "k", "threshold": "f", "base": "f", "low": "f", "high": "f"}, _SPLIT), **_ROWS, steps=_STEPS),
+    "g28_losses": with_(rounded({"feature": "k", "repeat": "i", "loss": "f", "null_loss": "f"}, _LOST), **_ROWS, **_LOSSES),
     "t1_filing_alerts": "SELECT event_id AS accession, any_value(event_type) AS form, any_value(ts) AS filing_ts FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY 1",
 }
