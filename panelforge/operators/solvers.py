@@ -84,12 +84,10 @@ def cointegration(table: DataFrame, *keys: str, least: int = 252) -> DataFrame:
 
 
 def rolling_cointegration(table: DataFrame, window: int = 252, every: int = 21) -> DataFrame:
-    """a, b, date, p at every ``every``-th row, from the ``window`` rows before it: windows are rows, joined by range."""
-    at = table.withColumn("pos", F.row_number().over(Window.partitionBy("a", "b").orderBy("date")) - 1)
-    ends = at.where((F.col("pos") >= window) & ((F.col("pos") - window) % every == 0)).select("a", "b", F.col("pos").alias("end"), F.col("date").alias("at"))
-    rows = at.join(ends, ["a", "b"]).where((F.col("pos") < F.col("end")) & (F.col("pos") >= F.col("end") - window))
-    out = cointegration(rows.select("a", "b", "at", "date", "la", "lb"), "a", "b", "at", least=window)
-    return out.select("a", "b", F.col("at").alias("date"), "p")
+    """a, b, date, p at every ``every``-th row, from the ``window`` rows before it."""
+    from panelforge.operators import cointegration as windows
+
+    return windows.rolling(table, window, every).select("a", "b", "date", "p")
 
 
 def garch_forecasts(series: DataFrame, every: int = 21, least: int = 252) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelforge.operators import allocation, boost, ml, panel, performance, risk, signals, smiles, solvers
+from panelforge.operators import allocation, boost, cointegration, ml, panel, performance, risk, signals, smiles, solvers
 from panelforge.plans import market, views
 from panelforge.plans.quotes import true_points
 from panelforge.plans.sql import rounded, with_
@@ -22,28 +22,28 @@ def g5_pair_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g6_best_pair(spark: SparkSession, d: str) -> DataFrame:
-    from panelforge.operators.performance import fdr
-
-    found = g5_pair_scan(spark, d)
-    at = fdr(found.select(F.lit("pairs").alias("family"), F.concat_ws("|", "a", "b").alias("name"), "p"), 0.5)
-    return at.orderBy("p", "name").limit(1).withColumn("traded", F.col("keep") & (F.col("p") <= 0.10))
+    """The pair of the least p, if it survives false-discovery control over the scan at 0.10."""
+    return cointegration.best_pairs(g5_pair_scan(spark, d), 0.10)
 
 
 def g8_rolling_cointegration(spark: SparkSession, d: str) -> DataFrame:
     return solvers.rolling_cointegration(_pairs(spark, d), 104, 26)
 
 
+def g8_fixed_lag(spark: SparkSession, d: str) -> DataFrame:
+    """The statistic of each window with one lag, which SQL can follow."""
+    return views.rounded(cointegration.rolling(_pairs(spark, d), 104, 26, lags=1).select("a", "b", "date", "n", "tau"))
+
+
 def g11_causal_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Each fold's best pair by what was known at its end, and its weights after."""
     folds = market.fold_table(spark, d).select("fold", "fit_end", "oos_start", "oos_end")
     table = _pairs(spark, d)
-    known = table.join(F.broadcast(folds), F.col("date") <= F.col("fit_end"))
-    found = solvers.cointegration(known.select("fold", "a", "b", "date", "la", "lb"), "fold", "a", "b", least=104)
-    best = found.groupBy("fold").agg(F.min_by(F.struct("a", "b", "p"), F.struct("p", "a")).alias("x")).select("fold", "x.*").where("p <= 0.5")
+    best = cointegration.best_pairs(cointegration.by_fold(table, folds, 104), 0.10, "fold")
     rolled = solvers.rolling_cointegration(table, 104, 26)
     spreads = signals.pair_spread(table, 52, 13).join(rolled, ["a", "b", "date"], "left").withColumn("p", panel.filled(F.col("p"), "a", "b"))
-    w = signals.pair_weights(signals.pair_positions(spreads, 1.0, 0.0, 0.9))
-    return w.join(best.drop("p"), ["a", "b"]).join(folds, "fold").where(F.col("date").between(F.col("oos_start"), F.col("oos_end"))).select("fold", "date", "ticker", "w")
+    w = signals.pair_weights(signals.pair_positions(spreads, 1.0, 0.0, 0.10))
+    return w.join(best.drop("p", "q"), ["a", "b"]).join(folds, "fold").where(F.col("date").between(F.col("oos_start"), F.col("oos_end"))).select("fold", "date", "ticker", "w")
 
 
 def _training(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -193,7 +193,7 @@ def t1_filing_alerts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        g5_pair_scan, g6_best_pair, g8_rolling_cointegration, g11_causal_pairs, g14_model_books, g15_calibrated_books, g17_first_split, g22_meta_model, g25_cv_scores,
+        g5_pair_scan, g6_best_pair, g8_rolling_cointegration, g8_fixed_lag, g11_causal_pairs, g14_model_books, g15_calibrated_books, g17_first_split, g22_meta_model, g25_cv_scores,
         g26_permutation_importance, g27_feature_significance, g28_losses, g29_sleeves, r5_garch_vol, r6_garch_regime, r7_garch_vol_target, r10_kelly, r16_evt_tail,
         a7_hrp, a8_rolling_hrp, p23_full_tearsheet, o16_svi_fits, o17_svi_no_butterfly, o19_ssvi_slices, o20_ssvi_surfaces, o21_ssvi_checks, t1_filing_alerts,
     )
@@ -226,7 +226,17 @@ _ALL_TRAINING = market._TRAINING.replace("l.mom_5", ", ".join(f"l.{c}" for c in
 _ROWS = {"feats": market._FEATURES, "labelled": market._LABELLED, "training": _ALL_TRAINING}
 
 
+_TAU = f"""SELECT a, b, date, 104 AS n, (s22 * s1y - s12 * s2y) / d / sqrt((syy - (s22 * s1y - s12 * s2y) / d * s1y - (s11 * s2y - s12 * s1y) / d * s2y) / (m - 2) * s22 / d) AS tau FROM (
+  SELECT a, b, date, count(*) AS m, sum(x1 * x1) AS s11, sum(x1 * x2) AS s12, sum(x2 * x2) AS s22, sum(x1 * y) AS s1y, sum(x2 * y) AS s2y, sum(y * y) AS syy, sum(x1 * x1) * sum(x2 * x2) - sum(x1 * x2) * sum(x1 * x2) AS d FROM (
+    SELECT *, lag(y) OVER (PARTITION BY a, b, date ORDER BY pos) AS x2 FROM (SELECT *, lag(e) OVER (PARTITION BY a, b, date ORDER BY pos) AS x1, e - lag(e) OVER (PARTITION BY a, b, date ORDER BY pos) AS y FROM residuals)) WHERE x2 IS NOT NULL GROUP BY 1, 2, 3)"""
+_WINDOWS = {
+    "placed": "SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY date) - 1 AS pos FROM paired",
+    "windows": "SELECT e.a, e.b, e.date, r.pos, r.la, r.lb FROM placed e JOIN placed r ON r.a = e.a AND r.b = e.b AND r.pos BETWEEN e.pos - 104 AND e.pos - 1 WHERE e.pos >= 104 AND (e.pos - 104) % 26 = 0 AND r.la + r.lb IS NOT NULL",
+    "hedges": "SELECT a, b, date, covar_pop(la, lb) / var_pop(lb) AS beta, avg(la) AS ma, avg(lb) AS mb FROM windows GROUP BY 1, 2, 3 HAVING count(*) = 104",
+    "residuals": "SELECT w.a, w.b, w.date, w.pos, w.la - h.ma - h.beta * (w.lb - h.mb) AS e FROM windows w JOIN hedges h ON h.a = w.a AND h.b = w.b AND h.date = w.date",
+}
 SQL = {
+    "g8_fixed_lag": with_(rounded({"a": "k", "b": "k", "date": "k", "n": "i", "tau": "f"}, _TAU), paired=market._PAIRED, **_WINDOWS),
     "g17_first_split": with_(rounded({"fold": "i", "feature": "k", "threshold": "f", "base": "f", "low": "f", "high": "f"}, _SPLIT), **_ROWS, steps=_STEPS),
     "g28_losses": with_(rounded({"feature": "k", "repeat": "i", "loss": "f", "null_loss": "f"}, _LOST), **_ROWS, **_LOSSES),
     "t1_filing_alerts": "SELECT event_id AS accession, any_value(event_type) AS form, any_value(ts) AS filing_ts FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY 1",

@@ -684,7 +684,7 @@ def p20(spark, d):
 
 
 _TRIALS = f"SELECT 'books' AS family, ticker AS name, 2 * {norm_cdf_sql('(-abs(x))')} AS p FROM (SELECT ticker, avg(r) / (stddev_samp(r) / sqrt(count(r))) AS x FROM rets GROUP BY 1)"
-_FDR = "SELECT family, name, p, least(1.0, min(p * m / k) OVER (PARTITION BY family ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q, coalesce(k <= (max(CASE WHEN p <= 0.5 * k / m THEN k END) OVER (PARTITION BY family)), false) AS keep FROM (SELECT *, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (PARTITION BY family ORDER BY p, name) AS k FROM trials)"
+_FDR = "SELECT family, name, p, least(1.0, min(p * m / k) OVER (PARTITION BY family ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q, coalesce(k <= (max(CASE WHEN p <= 0.10 * k / m THEN k END) OVER (PARTITION BY family)), false) AS keep FROM (SELECT *, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (PARTITION BY family ORDER BY p, name) AS k FROM trials)"
 
 
 def trials(spark, d) -> DataFrame:
@@ -696,12 +696,12 @@ def trials(spark, d) -> DataFrame:
 
 @query("p21_fdr", "family:k name:k p:f q:f keep:k", _FDR, trials=_TRIALS)
 def p21(spark, d):
-    return performance.fdr(trials(spark, d), 0.5)
+    return performance.fdr(trials(spark, d), 0.10)
 
 
 @query("p22_fdr_report", "family:k tested:i kept:i best_q:f", "SELECT family, count(*) AS tested, sum(CASE WHEN keep THEN 1 ELSE 0 END) AS kept, min(q) AS best_q FROM fdr GROUP BY 1", trials=_TRIALS, fdr=_FDR)
 def p22(spark, d):
-    return performance.fdr(trials(spark, d), 0.5).groupBy("family").agg(F.count("*").alias("tested"), F.count_if("keep").alias("kept"), F.min("q").alias("best_q"))
+    return performance.fdr(trials(spark, d), 0.10).groupBy("family").agg(F.count("*").alias("tested"), F.count_if("keep").alias("kept"), F.min("q").alias("best_q"))
 
 
 @query("p23_tearsheet", "book:k n_periods:i sharpe:f max_drawdown:f var:f cvar:f cornish_fisher_var:f psr:f", f"SELECT m.*, t.var, t.cvar, t.cornish_fisher_var, p.psr FROM metrics m JOIN tail t ON t.book = m.book JOIN (SELECT book, {norm_cdf_sql('x')} AS psr FROM (SELECT book, sr / sqrt({_VAR}) AS x FROM moments)) p ON p.book = m.book", digits=5, metrics=_METRICS, tail=_TAIL)
