@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.operators import allocation
+from panelforge.operators.panel import folded
 
 # MacKinnon's response surface for two cointegrated series with a constant.
 _TAU_STAR, _TAU_MIN, _TAU_MAX = -2.62, -18.86, 0.92
@@ -90,24 +91,121 @@ def rolling_cointegration(table: DataFrame, window: int = 252, every: int = 21)
     return windows.rolling(table, window, every).select("a", "b", "date", "p")
 
 
-def garch_forecasts(series: DataFrame, every: int = 21, least: int = 252) -> DataFrame:
+#: Refits of one series that a task makes side by side.
+REFITS = 64
+
+
+def garch_forecasts(series: DataFrame, every: int = 21, least: int = 252, refits: int = REFITS) -> DataFrame:
     """series, date, vol: GARCH(1,1) one-step forecasts, refitted every ``every`` rows on what came before; the forecast holds between refits.
 
-    The parameters are refitted by Nelder-Mead on the likelihood; a fit that fails keeps the previous one.
+    A group is ``refits`` refits of one series and the rows up to its last: they walk the history side by side. A fit that fails keeps the previous one.
     """
+    at = series.where("r IS NOT NULL").select("series", "date", F.col("r").cast("double").alias("r"))
+    w = Window.partitionBy("series").orderBy("date")  # one series' history
+    at = at.withColumn("pos", F.row_number().over(w) - 1)
+    n = at.groupBy("series").agg(F.count("*").alias("n"))
+    chunks = n.where(F.col("n") > least).select("series", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - least - 1) / (every * refits)))).alias("chunk"))
+    last = F.lit(least) + (F.col("chunk") + 1) * refits * every - every  # the last refit's position: it knows the rows before
+    known = at.join(chunks, "series").where(F.col("pos") <= last)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf.dropna(subset=["r"]).sort_values("date")
-        x = at["r"].to_numpy(float) * 100
-        out, last = np.full(len(x), np.nan), math.nan
-        for pos in range(least, len(x), every):
-            fit = garch_fit(x[:pos])
-            if fit is not None:
-                last = math.sqrt(max(_garch_path(x[:pos], fit)[-1], 0.0)) / 100
-            out[pos : pos + every] = last
-        return pd.DataFrame({"series": at["series"].to_numpy(), "date": at["date"].to_numpy(), "vol": out})
-
-    return series.select("series", "date", "r").groupBy("series").applyInPandas(run, "series string, date date, vol double").withColumn("vol", F.nanvl("vol", F.lit(None).cast("double")))
+        pdf = pdf.sort_values("pos")
+        x, chunk = pdf["r"].to_numpy(float) * 100, int(pdf["chunk"].iloc[0])
+        first = least + chunk * refits * every
+        ends = np.arange(first, min(first + refits * every, len(x)), every)
+        params, ahead = garch_fits(x, ends)
+        vol = np.where(np.isfinite(params).all(1), np.sqrt(np.maximum(ahead, 0.0)) / 100, np.nan)
+        return pd.DataFrame({"series": pdf["series"].iloc[0], "pos": ends, "fitted": vol})
+
+    fits = known.groupBy("series", "chunk").applyInPandas(run, "series string, pos long, fitted double").withColumn("fitted", F.nanvl("fitted", F.lit(None).cast("double")))
+    return at.join(fits, ["series", "pos"], "left").select("series", "date", F.last("fitted", ignorenulls=True).over(w).alias("vol"))
+
+
+def garch_losses(x: np.ndarray, ends: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Negative log-likelihoods of x[:end] under each row (mu, omega, alpha, beta) of p, and the variances after them. ends descend."""
+    mu, omega, alpha, beta = p.T
+    v, loss = np.array([x[:e].var() or 1e-8 for e in ends]), np.zeros(len(ends))
+    live = np.searchsorted(-ends, -np.arange(len(x)), "left")  # of each time, how many series are longer
+    for t, k in enumerate(live.tolist()):
+        if not k:
+            break
+        e2 = (x[t] - mu[:k]) ** 2
+        safe = np.maximum(v[:k], 1e-12)
+        loss[:k] += np.log(safe) + e2 / safe
+        v[:k] = omega[:k] + alpha[:k] * e2 + beta[:k] * v[:k]
+    return 0.5 * loss, v
+
+
+def _garch_params(q: np.ndarray) -> np.ndarray:
+    """(mu, omega, alpha, beta) from unbounded numbers: omega > 0, alpha < 0.5, alpha + beta < 1."""
+    with np.errstate(over="ignore"):
+        a, b = 0.5 / (1 + np.exp(-q[:, 2])), 1 / (1 + np.exp(-q[:, 3]))
+    return np.stack([q[:, 0], np.exp(np.minimum(20, q[:, 1])), a, b * (1 - a) * 0.999], 1)
+
+
+def garch_fits(x: np.ndarray, ends: np.ndarray, steps: int = 120) -> tuple[np.ndarray, np.ndarray]:
+    """Of each end, the parameters of the largest normal likelihood of x[:end] (NaN where there is none) and the variance ahead; all side by side."""
+    order = np.argsort(-ends, kind="stable")
+    e = ends[order]
+    var = np.array([x[:k].var() for k in e])
+    fit = var > 0
+    start = np.stack([[x[:k].mean() for k in e], np.log(np.where(fit, var, 1.0) * 0.1), np.full(len(e), -1.5), np.full(len(e), 1.5)], 1)
+
+    def f(q: np.ndarray, on: np.ndarray) -> np.ndarray:
+        loss = garch_losses(x, e[on], _garch_params(q))[0]
+        return np.where(np.isfinite(loss), loss, 1e300)
+
+    q = downhill(f, start, steps)
+    params = _garch_params(q)
+    params[~fit] = np.nan
+    ahead = garch_losses(x, e, np.nan_to_num(params))[1]
+    out, after = np.empty_like(params), np.empty(len(e))
+    out[order], after[order] = params, ahead
+    return out, after
+
+
+def downhill(f, start: np.ndarray, steps: int = 400, scale: float = 0.1, tolerance: float = 1e-10) -> np.ndarray:
+    """Points of small f by the downhill simplex, one for each row of start. f(points, rows) gives the values of some rows, in ascending order."""
+    m, n = start.shape
+    every = np.arange(m)
+    s = np.repeat(start[:, None, :], n + 1, 1)
+    for i in range(n):
+        s[:, i + 1, i] += scale * np.maximum(1.0, np.abs(start[:, i]))
+    y = np.stack([f(s[:, i], every) for i in range(n + 1)], 1)
+    for _ in range(steps):
+        o = np.argsort(y, 1, kind="stable")
+        s, y = np.take_along_axis(s, o[:, :, None], 1), np.take_along_axis(y, o, 1)
+        on = np.flatnonzero(~((y[:, -1] - y[:, 0] < tolerance * (1 + np.abs(y[:, 0]))) & (np.abs(s - s[:, :1]).max((1, 2)) < 1e-9)))
+        if not len(on):
+            break
+        worst, best, second = s[on, -1], y[on, 0], y[on, -2]
+        c = s[on, :-1].mean(1)
+        r = 2 * c - worst
+        fr = f(r, on)
+        far, near = fr < best, fr >= second
+        inside = c + 0.5 * (np.where((fr < y[on, -1])[:, None], r, worst) - c)
+        other = np.where(far[:, None], c + 2 * (c - worst), inside)
+        fo = np.where(far | near, f(other, on), np.inf)
+        take = np.where(far, fo < fr, near & (fo < np.minimum(fr, y[on, -1])))
+        shrink = near & ~take
+        new, value = np.where(take[:, None], other, r), np.where(take, fo, fr)
+        moved = on[~shrink]
+        s[moved, -1], y[moved, -1] = new[~shrink], value[~shrink]
+        small = on[shrink]
+        if len(small):
+            s[small, 1:] = s[small, :1] + 0.5 * (s[small, 1:] - s[small, :1])
+            for i in range(1, n + 1):
+                y[small, i] = f(s[small, i], small)
+    return s[every, np.argmin(y, 1)]
+
+
+def garch_path(series: DataFrame, mu: float, omega: float, alpha: float, beta: float, start: float) -> DataFrame:
+    """series (series, date, r) with v, the variance ahead of each row, for given parameters: an ordered fold, streamed by series."""
+
+    def step(v: float, r: float | None) -> tuple[float, float]:
+        return (v, v) if r is None else (omega + alpha * (r - mu) ** 2 + beta * v, v)
+
+    return folded(series, ("series",), ("r",), step, start, "v")
 
 
 def garch_vol_target(daily: DataFrame, target: float = 0.10, most: float = 3.0, every: int = 21, least: int = 252, periods: int = 252) -> DataFrame:
@@ -121,34 +219,6 @@ def garch_vol_target(daily: DataFrame, target: float = 0.10, most: float = 3.0,
     return at.withColumn("scaled", F.when(F.col("vol").isNotNull(), F.col("ret") * scale))
 
 
-def _garch_path(x: np.ndarray, p) -> np.ndarray:
-    mu, omega, alpha, beta = p
-    v = np.empty(len(x) + 1)
-    v[0] = x.var() or 1e-8
-    e2 = (x - mu) ** 2
-    for t in range(len(x)):
-        v[t + 1] = omega + alpha * e2[t] + beta * v[t]
-    return v
-
-
-def garch_fit(x: np.ndarray):
-    """(mu, omega, alpha, beta) of the largest normal likelihood, or None."""
-    var = x.var()
-    if not var > 0:
-        return None
-
-    def loss(q):
-        mu, lo, a, b = q[0], math.exp(min(20, q[1])), 1 / (1 + math.exp(-q[2])), 1 / (1 + math.exp(-q[3]))
-        p = (mu, lo, a * 0.5, b * (1 - a * 0.5) * 0.999)
-        v = np.maximum(_garch_path(x, p)[:-1], 1e-12)
-        return float(0.5 * np.sum(np.log(v) + (x - mu) ** 2 / v))
-
-    q, _ = nelder_mead(loss, np.array([x.mean(), math.log(var * 0.1), -1.5, 1.5]), 120)
-    a = 0.5 / (1 + math.exp(-q[2]))
-    out = (q[0], math.exp(min(20, q[1])), a, (1 - a) * 0.999 / (1 + math.exp(-q[3])))
-    return out if all(map(math.isfinite, out)) else None
-
-
 def nelder_mead(f, x0: np.ndarray, steps: int = 400, scale: float = 0.1, tolerance: float = 1e-10) -> tuple[np.ndarray, float]:
     """A point of small f by the downhill simplex."""
     n = len(x0)

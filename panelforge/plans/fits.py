@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -133,6 +135,14 @@ def r7_garch_vol_target(spark: SparkSession, d: str) -> DataFrame:
     return solvers.garch_vol_target(views.daily(spark, d), 0.10, 3.0, 26, 104, views.PERIODS).select("book", "date", "vol", "scaled")
 
 
+def r7_garch_path(spark: SparkSession, d: str) -> DataFrame:
+    """The variance path and the scaled stream of each book under given parameters."""
+    at = views.daily(spark, d).select(F.col("book").alias("series"), "date", F.col("ret").alias("r"))
+    path = solvers.garch_path(at, 0.0, 2e-6, 0.1, 0.85, 1e-4)
+    scale = F.least(F.lit(3.0), 0.10 / (F.sqrt("v") * math.sqrt(views.PERIODS)))
+    return views.rounded(path.select(F.col("series").alias("book"), "date", (F.col("v") * 1e4).alias("v"), (F.col("r") * scale).alias("scaled")))
+
+
 def r10_kelly(spark: SparkSession, d: str) -> DataFrame:
     names = market.named(spark, d)
     mu = names.groupBy(F.col("name").alias("i")).agg(F.avg("r").alias("mu"))
@@ -194,7 +204,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         g5_pair_scan, g6_best_pair, g8_rolling_cointegration, g8_fixed_lag, g11_causal_pairs, g14_model_books, g15_calibrated_books, g17_first_split, g22_meta_model, g25_cv_scores,
-        g26_permutation_importance, g27_feature_significance, g28_losses, g29_sleeves, r5_garch_vol, r6_garch_regime, r7_garch_vol_target, r10_kelly, r16_evt_tail,
+        g26_permutation_importance, g27_feature_significance, g28_losses, g29_sleeves, r5_garch_vol, r6_garch_regime, r7_garch_vol_target, r7_garch_path, r10_kelly, r16_evt_tail,
         a7_hrp, a8_rolling_hrp, p23_full_tearsheet, o16_svi_fits, o17_svi_no_butterfly, o19_ssvi_slices, o20_ssvi_surfaces, o21_ssvi_checks, t1_filing_alerts,
     )
 }
@@ -235,7 +245,13 @@ _WINDOWS = {
     "hedges": "SELECT a, b, date, covar_pop(la, lb) / var_pop(lb) AS beta, avg(la) AS ma, avg(lb) AS mb FROM windows GROUP BY 1, 2, 3 HAVING count(*) = 104",
     "residuals": "SELECT w.a, w.b, w.date, w.pos, w.la - h.ma - h.beta * (w.lb - h.mb) AS e FROM windows w JOIN hedges h ON h.a = w.a AND h.b = w.b AND h.date = w.date",
 }
+_PATH = """WITH RECURSIVE {views}, numbered AS MATERIALIZED (SELECT book, date, ret, row_number() OVER (PARTITION BY book ORDER BY date) AS k FROM daily), walked AS (
+  SELECT book, date, ret, k, CAST(1e-4 AS DOUBLE) AS v FROM numbered WHERE k = 1
+  UNION ALL SELECT n.book, n.date, n.ret, n.k, CASE WHEN w.ret IS NULL THEN w.v ELSE 2e-6 + 0.1 * w.ret * w.ret + 0.85 * w.v END FROM walked w JOIN numbered n ON n.book = w.book AND n.k = w.k + 1
+) {select}"""
+_WALKED = rounded({"book": "k", "date": "k", "v": "f", "scaled": "f"}, f"SELECT book, date, v * 1e4 AS v, ret * least(3.0, 0.10 / (sqrt(v) * sqrt({views.PERIODS}))) AS scaled FROM walked")
 SQL = {
+    "r7_garch_path": _PATH.format(views=with_("SELECT * FROM daily").removeprefix("WITH ").rsplit("\n", 1)[0], select=_WALKED),
     "g8_fixed_lag": with_(rounded({"a": "k", "b": "k", "date": "k", "n": "i", "tau": "f"}, _TAU), paired=market._PAIRED, **_WINDOWS),
     "g17_first_split": with_(rounded({"fold": "i", "feature": "k", "threshold": "f", "base": "f", "low": "f", "high": "f"}, _SPLIT), **_ROWS, steps=_STEPS),
     "g28_losses": with_(rounded({"feature": "k", "repeat": "i", "loss": "f", "null_loss": "f"}, _LOST), **_ROWS, **_LOSSES),
