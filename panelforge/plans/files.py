@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.plans import views
-from panelforge.plans.market import _STOP, query
+from panelforge.plans.market import _STOP, capped_targets, query
 from panelforge.plans.market import SQL as MARKET_SQL
 from panelforge.plans.store import fresh, stored
 from panelforge.sources import files
@@ -86,16 +84,19 @@ _FORMS = ("S-3", "8-K", "424B5", "10-Q")
 _FILED = "SELECT lpad(CAST(user_id AS VARCHAR), 10, '0') AS cik, ['S-3', '8-K', '424B5', '10-Q'][1 + event_id % 4] AS form, CASE WHEN event_id % 11 <> 0 THEN CAST(ts AS DATE) END AS filing_date, '0000-' || event_id AS accession, event_id || '.htm' AS document FROM events"
 
 
-def filed(spark: SparkSession, d: str) -> DataFrame:
-    """Filings of parallel arrays, a JSON document a company, from the events."""
-    e = views.table(spark, d, "events")
+def documents(e: DataFrame, *keys: str) -> DataFrame:
+    """JSON documents of companies' recent filings in parallel arrays, from events: one a company (and key)."""
     k = F.col("event_id")
     date = F.when(k % 11 != 0, F.date_format("ts", "yyyy-MM-dd")).otherwise("no date")
     one = F.struct(k.alias("k"), F.element_at(F.array(*map(F.lit, _FORMS)), (1 + k % 4).cast("int")).alias("form"), date.alias("date"), F.concat(F.lit("0000-"), k).alias("accession"), F.concat(k, F.lit(".htm")).alias("document"))
-    at = e.groupBy("user_id").agg(F.array_sort(F.collect_list(one)).alias("x"))  # a company's recent filings
+    at = e.groupBy(*keys, "user_id").agg(F.array_sort(F.collect_list(one)).alias("x"))  # a company's recent filings
     recent = F.struct(F.col("x.form").alias("form"), F.col("x.date").alias("filingDate"), F.col("x.accession").alias("accessionNumber"), F.col("x.document").alias("primaryDocument"))
     doc = F.struct(F.lpad(F.col("user_id").cast("string"), 10, "0").alias("cik"), recent.alias("recent"))
-    return files.filings(at.select(F.to_json(doc).alias("json")))
+    return at.select(*keys, F.to_json(doc).alias("json"))
+
+
+def filed(spark: SparkSession, d: str) -> DataFrame:
+    return files.filings(documents(views.table(spark, d, "events")))
 
 
 @registered("s12_filings", "cik:k form:k filing_date:k accession:k url:k", f"SELECT *, 'https://example.org/filings/' || ltrim(cik, '0') || '/' || replace(accession, '-', '') || '/' || document AS url FROM ({_FILED})")
@@ -112,6 +113,25 @@ def s13(spark, d):
 # --- streams ---------------------------------------------------------------------------------
 
 
+#: Days of January 2024 at whose ends filings are polled; of every 13th filing the poll after next is the first to hold it, and every fifth is polled twice.
+_POLLS = (6, 12, 18, 24, 30)
+_POLLED = f"""SELECT event_id, p.poll, ['S-3', '8-K', '424B5', '10-Q'][1 + event_id % 4] AS form, CASE WHEN event_id % 11 <> 0 THEN CAST(ts AS DATE) END AS filing_date FROM (
+  SELECT *, least(4, (day(ts) - 1) // 6) + CASE WHEN event_id % 13 = 0 THEN 2 ELSE 0 END AS first FROM events) e JOIN (SELECT unnest(range(5)) AS poll) p ON p.poll = least(4, e.first) OR (event_id % 5 = 0 AND p.poll = least(4, e.first + 1))"""
+_ALERTS = "SELECT * FROM polls WHERE form IN ('S-3', '424B5') AND filing_date IS NOT NULL"
+_IN_TIME = "SELECT DISTINCT '0000-' || a.event_id AS accession, a.form, a.filing_date FROM wanted a LEFT JOIN (SELECT p.poll, max(w.filing_date) AS seen FROM (SELECT DISTINCT poll FROM wanted) p JOIN wanted w ON w.poll < p.poll GROUP BY 1) m ON m.poll = a.poll WHERE m.seen IS NULL OR a.filing_date > m.seen - 7"
+
+
+@registered("t1_filing_stream", "accession:k form:k filing_date:k", "SELECT * FROM in_time", polls=_POLLED, wanted=_ALERTS, in_time=_IN_TIME)
+def t1_stream(spark, d):
+    """Alerts of a stream of JSON documents, five polls of a company's recent filings: repeated, malformed and late ones among them."""
+    first = F.least(F.lit(4), F.floor((F.dayofmonth("ts") - 1) / 6)) + F.when(F.col("event_id") % 13 == 0, 2).otherwise(0)
+    again = F.when(F.col("event_id") % 5 == 0, F.array(first, first + 1)).otherwise(F.array(first))
+    e = views.table(spark, d, "events").withColumn("poll", F.explode(F.array_distinct(F.transform(again, lambda p: F.least(F.lit(4), p)))))
+    polls = documents(e, "poll")
+    feeds = [polls.where(F.col("poll") == k).select("json") for k in range(len(_POLLS))]
+    return _fed(spark, feeds, lambda s: alerts.filing_stream(s, ("S-3", "424B5"), "7 days"), "filings")
+
+
 @registered("t2_threshold_alerts", "event_id:k value:f load:f reasons_text:k", "SELECT event_id, value, CAST(user_id % 10 AS DOUBLE) AS load, concat_ws(',', CASE WHEN value >= 50 THEN 'value' END, CASE WHEN user_id % 10 >= 9 THEN 'load' END) AS reasons_text FROM events WHERE value >= 50 OR user_id % 10 >= 9")
 def t2(spark, d):
     e = views.table(spark, d, "events").select("event_id", "value", (F.col("user_id") % 10).cast("double").alias("load"))
@@ -121,24 +141,42 @@ def t2(spark, d):
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-@registered("t3_stream_stop", "book:k date:k stopped:f", "SELECT 1", digits=6)
-def t3(spark, d):
-    """The drawdown stop of daily returns that arrive in three files: its state crosses the micro-batches."""
-    rows, out = fresh(spark, "returns"), fresh(spark, "stopped")
-    daily = views.daily(spark, d).select("book", "date", "ret")
-    low, high = "1994-07-01", "1997-01-01"
-    for part in (f"date < DATE'{low}'", f"date >= DATE'{low}' AND date < DATE'{high}'", f"date >= DATE'{high}'"):
-        daily.where(part).coalesce(1).write.mode("append").parquet(rows)
-        time.sleep(1.1)  # a stream takes files by their time
+def _fed(spark: SparkSession, feeds: list[DataFrame], stream, name: str) -> DataFrame:
+    """What a stream gives of tables that arrive one after the other: each is written and taken by a run of the query on the same checkpoint, so state crosses the runs."""
+    rows, out, state = fresh(spark, f"{name}-in"), fresh(spark, f"{name}-out"), fresh(spark, f"{name}-state")
     before = spark.conf.get(_PROVIDER)
     spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        stream = alerts.stopped_stream(spark.readStream.schema(daily.schema).option("maxFilesPerTrigger", 1).parquet(rows), *_STOP)
-        sink = stream.writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(out)).option("checkpointLocation", fresh(spark, "state"))
-        sink.trigger(availableNow=True).start().awaitTermination()
+        for feed in feeds:
+            feed.write.mode("append").parquet(rows)
+            sink = stream(spark.readStream.schema(feed.schema).parquet(rows)).writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+            sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(_PROVIDER, before)
     return spark.read.parquet(out)
 
 
+@registered("t3_stream_stop", "book:k date:k stopped:f", "SELECT 1", digits=6)
+def t3(spark, d):
+    """The drawdown stop of daily returns that arrive in three parts: its state crosses the micro-batches."""
+    daily = views.daily(spark, d).select("book", "date", "ret")
+    low, high = "1994-07-01", "1997-01-01"
+    parts = [daily.where(p) for p in (f"date < DATE'{low}'", f"date >= DATE'{low}' AND date < DATE'{high}'", f"date >= DATE'{high}'")]
+    return _fed(spark, parts, lambda s: alerts.stopped_stream(s, *_STOP), "stopped")
+
+
+@registered("t3_stream_chase", "book:k ticker:k date:k held:f", "SELECT 1", digits=6)
+def t3_chase(spark, d):
+    """Capped holdings of rows that arrive out of order: every third week counts as five weeks later when weeks are dealt over the parts, so parts
+    bring weeks older than those before; a closing mark moves the watermark past the last row."""
+    rows = capped_targets(spark, d).select("book", "ticker", "date", "target", "cap")
+    week = F.floor(F.datediff("date", F.lit("1990-01-01").cast("date")) / 7)
+    at = rows.withColumn("_part", F.floor((week + F.when(week % 3 == 1, 5).otherwise(0)) / 120))
+    low, high, end = at.agg(F.min("_part"), F.max("_part"), F.date_add(F.max("date"), 400)).first()
+    parts = [at.where(F.col("_part") == k).drop("_part") for k in range(low, high + 1)] if low is not None else []
+    mark = spark.createDataFrame([("~", "~", end, 0.0, None)], rows.schema)
+    return _fed(spark, [*parts, mark], alerts.ordered_chase, "chased")
+
+
+SQL["t3_stream_chase"] = MARKET_SQL["b6_capped_holdings"]
 SQL["t3_stream_stop"] = MARKET_SQL["r11_drawdown_stop"]

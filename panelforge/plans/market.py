@@ -265,6 +265,12 @@ def capped_positions(spark, d) -> DataFrame:
     return account.positions(views.weights(spark, d), m, COSTS, max_participation=_CAP)
 
 
+def capped_targets(spark, d) -> DataFrame:
+    """book, ticker, date, target, cap: what capped execution is given."""
+    at = account.held(views.weights(spark, d), account.with_liquidity(views.market(spark, d), COSTS))
+    return at.withColumn("cap", account.participation_cap(F.col("close"), F.col("adv"), COSTS.capital, _CAP))
+
+
 @query("b6_capped_holdings", "book:k ticker:k date:k held:f")
 def b6(spark, d):
     return capped_positions(spark, d)

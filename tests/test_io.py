@@ -76,3 +76,41 @@ def test_drawdown_stop_crosses_micro_batches(spark, tmp_path):
     q = alerts.stopped_stream(rows, 0.2, 2).writeStream.foreachBatch(lambda df, k: df.write.mode("append").parquet(str(out))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [r.stopped for r in spark.read.parquet(str(out)).orderBy("date").collect()] == [-0.3, 0.0, 0.0, 0.1]
+
+
+def test_recent_filings_look_back(spark):
+    rows = [("a", "s-3", "2020-01-03", "2020-01-10"), ("b", "S-3", "2020-01-02", "2020-01-10"), ("c", "10-K", "2020-01-09", "2020-01-10"), ("d", "S-3", None, "2020-01-10")]
+    df = spark.createDataFrame(rows, "accession string, form string, d string, p string").selectExpr("accession", "form", "CAST(d AS date) AS filing_date", "CAST(p AS date) AS polled")
+    assert [r.accession for r in alerts.recent_filings(df).collect()] == ["a"]
+
+
+def test_late_and_repeated_filings_go(spark, tmp_path):
+    """Each run takes what has arrived; the watermark is a week before the latest filing of the runs before."""
+    src, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c")
+
+    def poll(*found):
+        doc = {"cik": "0000000001", "recent": {"form": [f for _, f, _ in found], "filingDate": [d for _, _, d in found], "accessionNumber": [a for a, _, _ in found], "primaryDocument": ["x.htm"] * len(found)}}
+        spark.createDataFrame([(json.dumps(doc),)], "json string").write.mode("append").parquet(src)
+        stream = alerts.filing_stream(spark.readStream.schema("json string").parquet(src))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination(120)
+
+    poll(("a", "S-3", "2020-01-20"), ("b", "8-K", "2020-01-20"), ("c", "s-3", "soon"))
+    poll(("a", "S-3", "2020-01-20"), ("d", "424b5", "2020-01-14"), ("e", "S-3", "2020-01-13"), ("f", "S-3", "2020-01-02"))
+    assert sorted((r.accession, r.form) for r in spark.read.parquet(out).collect()) == [("a", "S-3"), ("d", "424B5")]
+
+
+def test_ordered_chase_waits_for_the_watermark(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    src, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c")
+    kinds = "book string, ticker string, d string, target double, cap double"
+
+    def feed(*rows):
+        spark.createDataFrame(rows, kinds).selectExpr("book", "ticker", "CAST(d AS date) AS date", "target", "cap").write.mode("append").parquet(src)
+        stream = alerts.ordered_chase(spark.readStream.schema("book string, ticker string, date date, target double, cap double").parquet(src), "10 days")
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination(120)
+
+    feed(("b", "x", "2020-01-04", 1.0, 0.25), ("b", "x", "2020-01-02", -1.0, 0.25), ("b", "x", "2020-01-05", None, 0.25))
+    feed(("b", "x", "2020-01-03", 1.0, 0.5), ("b", "x", "2020-01-06", 1.0, None))
+    feed(("~", "~", "2021-01-01", 0.0, None))
+    got = [(str(r.date), r.held) for r in spark.read.parquet(out).where("book = 'b'").orderBy("date").collect()]
+    assert got == [("2020-01-02", -0.25), ("2020-01-03", 0.25), ("2020-01-04", 0.5), ("2020-01-05", 0.5), ("2020-01-06", 1.0)]
