@@ -427,7 +427,15 @@ def r8(spark, d):
     return views.weights(spark, d).withColumn("w", risk.fixed_fraction(F.col("w"), 0.25))
 
 
-@query("r9_vol_target", "book:k date:k ticker:k w:f", f"SELECT w.book, w.date, ticker, w * s AS w FROM weights w JOIN (SELECT book, date, lag(s) OVER (PARTITION BY book ORDER BY date) AS s FROM (SELECT book, date, CASE WHEN v IS NOT NULL THEN CASE WHEN v = 0 THEN 3.0 ELSE least(3.0, 0.1 / v) END END AS s FROM (SELECT book, date, {rolling('stddev_samp', 'x', 52, 'book', 13)} * {math.sqrt(PERIODS)!r} AS v FROM (SELECT w.book, w.date, coalesce(sum(w * r), 0) AS x FROM weights w JOIN rets r ON r.date = w.date AND r.ticker = w.ticker GROUP BY 1, 2)))) t ON t.book = w.book AND t.date = w.date")
+_SCALED = {
+    "gains": "SELECT w.book, w.date, coalesce(sum(w.w * r.r), 0) AS x FROM weights w JOIN rets r ON r.date = w.date AND r.ticker = w.ticker GROUP BY 1, 2",
+    "vols": f"SELECT book, date, {rolling('stddev_samp', 'x', 52, 'book', 13)} * {math.sqrt(PERIODS)!r} AS v FROM gains",
+    "scales": "SELECT book, date, CASE WHEN v = 0 THEN 3.0 WHEN v IS NOT NULL THEN least(3.0, 0.1 / v) END AS s FROM vols",
+    "known_scales": "SELECT book, date, lag(s) OVER (PARTITION BY book ORDER BY date) AS s FROM scales",
+}
+
+
+@query("r9_vol_target", "book:k date:k ticker:k w:f", "SELECT w.book, w.date, w.ticker, w.w * k.s AS w FROM weights w JOIN known_scales k ON k.book = w.book AND k.date = w.date", **_SCALED)
 def r9(spark, d):
     m = views.market(spark, d)
     return risk.vol_target(views.weights(spark, d), m, 0.10, 52, 3.0, PERIODS)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_PATHS: dict[tuple[str, str, str], str] = {}
+_PATHS: dict[tuple[str, str, str], tuple[str, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,16 +29,43 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _there(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _signature(spark: SparkSession, sf_dir: str) -> str:
+    """The folder's tables with their sizes and times: a rewritten table gives another one."""
+    fs, at = _files(spark, sf_dir)
+    return " ".join(sorted(f"{s.getPath().getName()}:{s.getLen()}:{s.getModificationTime()}" for s in fs.listStatus(at)))
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    fs, at = _files(spark, path)
+    fs.delete(at, True)
+
+
+def _clear(spark: SparkSession) -> None:
+    """Deletes the views at the program's end, where the session is still there."""
+    with contextlib.suppress(Exception):
+        for path in _PATHS.values():
+            _removed(spark, path[1])
+    _PATHS.clear()
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The view ``name`` of a folder's tables: built and written by the first query that asks, read by the others."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _PATHS or not _there(spark, _PATHS[key]):
-        path = fresh(spark, f"view-{name}")
-        build().write.parquet(path)
-        _PATHS[key] = path
-    return spark.read.parquet(_PATHS[key])
+    """The view ``name`` of a folder's tables: built and written by the first query that asks, read by the others; anew where a table has changed since."""
+    key, signature = (spark.sparkContext.applicationId, sf_dir, name), _signature(spark, sf_dir)
+    seen, path = _PATHS.get(key, (None, None))
+    if seen == signature:
+        fs, at = _files(spark, f"{path}/_SUCCESS")
+        if fs.exists(at):
+            return spark.read.parquet(path)
+    if not _PATHS:
+        atexit.register(_clear, spark)
+    made = fresh(spark, f"view-{name}")
+    build().write.parquet(made)
+    _PATHS[key] = (signature, made)
+    if path:
+        _removed(spark, path)
+    return spark.read.parquet(made)
