@@ -75,6 +75,22 @@ def o4(spark, d):
     return options.early_exercise(options.clean(views.quotes(spark, d)), rate=RATE, vol="true_vol")
 
 
+@query("o5_american_greeks", "underlying:k expiry:k strike:f option_type:k price:f fd_delta:f fd_gamma:f fd_theta:f fd_vega:f fd_rho:f", digits=4)
+def o5_american(spark, d):
+    return options.american_greeks(options.clean(views.quotes(spark, d)), RATE, vol="true_vol")
+
+
+@query("o5_american_calls", "underlying:k expiry:k strike:f price:k delta:k gamma:k vega:k rho:k", "SELECT underlying, expiry, strike, true AS price, true AS delta, true AS gamma, true AS vega, true AS rho FROM flagged WHERE reason IS NULL AND option_type = 'call'", digits=4)
+def o5_calls(spark, d):
+    """Calls without dividends, which early exercise gains nothing: whether the tree's figures are the closed form's, to the tree's own error."""
+    calls = options.clean(views.quotes(spark, d)).where("option_type = 'call'")
+    at = options.with_greeks(options.american_greeks(calls, RATE, vol="true_vol").withColumnRenamed("price", "tree"), RATE, vol="true_vol")
+    at = options.with_price(at, *(F.col(c) for c in ("spot", "strike", "tte", "true_vol")), F.lit(True), RATE, out="fair")
+    near = lambda a, b, e: F.abs(F.col(a) - F.col(b)) <= e
+    spot = F.col("spot")
+    return at.select("underlying", "expiry", "strike", near("tree", "fair", 5e-4 * spot).alias("price"), near("fd_delta", "delta", F.lit(0.01)).alias("delta"), (F.abs(F.col("fd_gamma") - F.col("gamma")) * spot <= 0.5).alias("gamma"), near("fd_vega", "vega", 0.02 * spot).alias("vega"), near("fd_rho", "rho", 0.02 * spot).alias("rho"))
+
+
 @query("o6_bounds", "underlying:k expiry:k strike:f option_type:k lower:f upper:f", f"SELECT underlying, expiry, strike, option_type, greatest(0, CASE WHEN {_C} THEN spot - strike * exp(-{RATE} * tte) ELSE strike * exp(-{RATE} * tte) - spot END) AS lower, CASE WHEN {_C} THEN spot ELSE strike * exp(-{RATE} * tte) END AS upper FROM quotes", digits=4)
 def o6(spark, d):
     return options.bounds(views.quotes(spark, d), RATE)
