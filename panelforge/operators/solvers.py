@@ -251,28 +251,43 @@ def nelder_mead(f, x0: np.ndarray, steps: int = 400, scale: float = 0.1, toleran
 
 
 def evt_tails(daily: DataFrame, level: float = 0.99, threshold: float = 0.90, least: int = 10) -> DataFrame:
-    """book, threshold, n_exceedances, xi, var, es: a generalised Pareto tail beyond a high quantile of losses.
-
-    Spark finds the threshold and the exceedances; two parameters a book are fitted on those alone.
-    """
+    """book, threshold, n_exceedances, xi, var, es: a generalised Pareto tail beyond a high quantile of losses; xi, var and es are null with fewer than ``least`` exceedances."""
     if level <= threshold:
         raise ValueError("level must exceed the threshold's quantile")
     x = daily.where("ret IS NOT NULL").select("book", (-F.col("ret")).alias("loss"))
-    cut = x.groupBy("book").agg(F.percentile("loss", F.lit(threshold)).alias("u"), F.count("*").alias("n"))
-    over_ = x.join(cut, "book").where("loss > u").select("book", "u", "n", (F.col("loss") - F.col("u")).alias("x"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        e, u, n = pdf["x"].to_numpy(float), float(pdf["u"].iloc[0]), int(pdf["n"].iloc[0])
-        row = [pdf["book"].iloc[0], u, len(e), math.nan, math.nan, math.nan]
-        if len(e) >= least:
-            xi, beta = gpd_fit(e)
-            ratio = n / len(e) * (1 - level)
-            var = u - beta * math.log(ratio) if abs(xi) < 1e-8 else u + beta / xi * (ratio**-xi - 1)
-            es = (var + beta - xi * u) / (1 - xi) if xi < 1 else math.nan
-            row[3:] = [xi, var, es]
-        return pd.DataFrame([row], columns=["book", "threshold", "n_exceedances", "xi", "var", "es"])
-
-    return over_.groupBy("book").applyInPandas(run, "book string, threshold double, n_exceedances long, xi double, var double, es double")
+    cut = x.groupBy("book").agg(F.percentile("loss", F.lit(threshold)).alias("threshold"), F.count("*").alias("n"))
+    over_ = x.join(cut, "book").where("loss > threshold").select("book", (F.col("loss") - F.col("threshold")).alias("x"))
+    counts = over_.groupBy("book").agg(F.count("*").alias("n_exceedances"))
+    at = cut.join(counts, "book").join(tail_fits(over_, least), "book", "left")
+    xi, beta, ratio = F.col("xi"), F.col("beta"), F.col("n") / F.col("n_exceedances") * (1 - level)
+    at = at.withColumn("var", F.when(F.abs(xi) < 1e-8, F.col("threshold") - beta * F.ln(ratio)).otherwise(F.col("threshold") + beta / xi * (F.pow(ratio, -xi) - 1)))
+    es = F.when(xi < 1, F.try_divide(F.col("var") + beta - xi * F.col("threshold"), 1 - xi))
+    return at.select("book", "threshold", "n_exceedances", "xi", "var", es.alias("es"))
+
+
+def tail_fits(over_: DataFrame, least: int = 10, rounds: int = 5, points: int = 32) -> DataFrame:
+    """book, xi, beta of exceedances (book, x): the largest likelihood of a generalised Pareto tail.
+
+    With t = xi / beta the likelihood has one unknown: xi is the mean of ln(1 + t x), and what is left is a function of t. It is summed over a grid of t
+    for all books at once, and again over a finer grid around each book's best: no book's exceedances are gathered. Shapes stay above -0.5: beyond, the
+    likelihood has no regular maximum and grows without bound as the end of the tail nears the largest exceedance.
+    """
+    stats = over_.groupBy("book").agg(F.count("*").alias("k"), F.max("x").alias("top"), F.avg("x").alias("mean")).where((F.col("k") >= least) & (F.col("top") > 0))
+    low = F.transform(F.sequence(F.lit(1), F.lit(points)), lambda i: (i - points - 1) / (points + 1.0) / F.col("top"))
+    high = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.exp(math.log(1e-3) + i * (math.log(30 / 1e-3) / (points - 1))) / F.col("mean"))
+    grid = stats.select("book", "mean", F.concat(low, high).alias("grid"))
+    for last in (*[False] * (rounds - 1), True):
+        sums = over_.join(grid, "book").select("book", "x", F.posexplode("grid").alias("i", "t")).groupBy("book", "i", "t").agg(F.avg(F.log1p(F.col("t") * F.col("x"))).alias("xi"))
+        sums = sums.where("xi > -0.5").withColumn("like", -(F.ln(F.col("xi") / F.col("t")) + F.col("xi") + 1))
+        best = sums.groupBy("book").agg(F.max_by(F.struct("i", "t", "xi"), "like").alias("b"))
+        if last:
+            return best.select("book", F.col("b.xi").alias("xi"), (F.col("b.xi") / F.col("b.t")).alias("beta"))
+        at = grid.join(best, "book")
+        size, i = F.size("grid"), F.col("b.i")
+        a, b = F.get("grid", F.greatest(F.lit(0), i - 1)), F.get("grid", F.least(size - 1, i + 1))
+        tiny = 1e-9 / F.col("mean")
+        finer = F.transform(F.sequence(F.lit(0), F.lit(points)), lambda j: a + (b - a) * (j / float(points)))  # noqa: B023
+        grid = at.select("book", "mean", F.transform(finer, lambda t: F.when(F.abs(t) < tiny, tiny).otherwise(t)).alias("grid"))  # noqa: B023
 
 
 def gpd_fit(e: np.ndarray) -> tuple[float, float]:

@@ -153,6 +153,17 @@ def r16_evt_tail(spark: SparkSession, d: str) -> DataFrame:
     return solvers.evt_tails(views.daily(spark, d))
 
 
+def r16_planted_tails(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the tail fit gives back the shape and the scale of exceedances planted at even quantiles, as many a brand as it has parts."""
+    w = Window.partitionBy("p_brand")
+    parts = views.table(spark, d, "part").select(F.col("p_brand").alias("book"), F.row_number().over(w.orderBy("p_partkey")).alias("k"), F.count("*").over(w).alias("n"))
+    at = parts.withColumn("shape", 0.1 + 0.05 * F.right("book", F.lit(1)).cast("int")).withColumn("scale", 0.5 + 0.1 * F.length("book"))
+    at = at.withColumn("x", F.col("scale") / F.col("shape") * (F.pow(1 - (F.col("k") - 0.5) / F.col("n"), -F.col("shape")) - 1))
+    known = at.groupBy("book").agg(F.first("shape").alias("shape"), F.first("scale").alias("scale"))
+    got = solvers.tail_fits(at.select("book", "x"), 40).join(known, "book")
+    return got.select("book", (F.abs(F.col("xi") - F.col("shape")) <= 0.1).alias("shape_back"), (F.abs(F.col("beta") / F.col("scale") - 1) <= 0.1).alias("scale_back"))
+
+
 def a7_hrp(spark: SparkSession, d: str) -> DataFrame:
     return solvers.hrp_weights(allocation.correlations(market.named(spark, d)))
 
@@ -177,6 +188,21 @@ def o16_svi_fits(spark: SparkSession, d: str) -> DataFrame:
     return smiles.svi_slices(true_points(spark, d))
 
 
+def o17_butterfly_free(spark: SparkSession, d: str) -> DataFrame:
+    """Of every fitted slice, whether the density that its smile implies stays above -0.001 of the normal one over a grid of log-moneyness."""
+    at = o17_svi_no_butterfly(spark, d)
+
+    def g(k):
+        x = k - F.col("m")
+        root = F.sqrt(x * x + F.col("sigma") * F.col("sigma"))
+        w = F.col("a") + F.col("b") * (F.col("rho") * x + root)
+        first, second = F.col("b") * (F.col("rho") + x / root), F.col("b") * F.col("sigma") * F.col("sigma") / (root * root * root)
+        return F.pow(1 - k * first / (2 * w), F.lit(2.0)) - first * first / 4 * (1 / w + 0.25) + second / 2
+
+    grid = F.transform(F.sequence(F.lit(-36), F.lit(36)), lambda i: i / 40.0)
+    return at.select("underlying", "as_of", "expiry", F.forall(grid, lambda k: g(k) >= -1e-3).alias("free"))
+
+
 def o17_svi_no_butterfly(spark: SparkSession, d: str) -> DataFrame:
     return smiles.svi_slices(true_points(spark, d), no_butterfly=True)
 
@@ -204,8 +230,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         g5_pair_scan, g6_best_pair, g8_rolling_cointegration, g8_fixed_lag, g11_causal_pairs, g14_model_books, g15_calibrated_books, g17_first_split, g22_meta_model, g25_cv_scores,
-        g26_permutation_importance, g27_feature_significance, g28_losses, g29_sleeves, r5_garch_vol, r6_garch_regime, r7_garch_vol_target, r7_garch_path, r10_kelly, r16_evt_tail,
-        a7_hrp, a8_rolling_hrp, p23_full_tearsheet, o16_svi_fits, o17_svi_no_butterfly, o19_ssvi_slices, o20_ssvi_surfaces, o21_ssvi_checks, t1_filing_alerts,
+        g26_permutation_importance, g27_feature_significance, g28_losses, g29_sleeves, r5_garch_vol, r6_garch_regime, r7_garch_vol_target, r7_garch_path, r10_kelly, r16_evt_tail, r16_planted_tails,
+        a7_hrp, a8_rolling_hrp, p23_full_tearsheet, o16_svi_fits, o17_svi_no_butterfly, o17_butterfly_free, o19_ssvi_slices, o20_ssvi_surfaces, o21_ssvi_checks, t1_filing_alerts,
     )
 }
 _STEPS = "SELECT fold, y, floor(rsi_14 / 10) AS rsi, floor(mom_5 * 100) AS mom FROM training"
@@ -251,6 +277,8 @@ _PATH = """WITH RECURSIVE {views}, numbered AS MATERIALIZED (SELECT book, date,
 ) {select}"""
 _WALKED = rounded({"book": "k", "date": "k", "v": "f", "scaled": "f"}, f"SELECT book, date, v * 1e4 AS v, ret * least(3.0, 0.10 / (sqrt(v) * sqrt({views.PERIODS}))) AS scaled FROM walked")
 SQL = {
+    "o17_butterfly_free": with_(f"SELECT underlying, as_of, expiry, true AS free FROM points GROUP BY 1, 2, 3 HAVING count(*) >= {smiles.LEAST}"),
+    "r16_planted_tails": "SELECT p_brand AS book, true AS shape_back, true AS scale_back FROM part GROUP BY 1 HAVING count(*) >= 40",
     "r7_garch_path": _PATH.format(views=with_("SELECT * FROM daily").removeprefix("WITH ").rsplit("\n", 1)[0], select=_WALKED),
     "g8_fixed_lag": with_(rounded({"a": "k", "b": "k", "date": "k", "n": "i", "tau": "f"}, _TAU), paired=market._PAIRED, **_WINDOWS),
     "g17_first_split": with_(rounded({"fold": "i", "feature": "k", "threshold": "f", "base": "f", "low": "f", "high": "f"}, _SPLIT), **_ROWS, steps=_STEPS),
