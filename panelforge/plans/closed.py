@@ -10,6 +10,7 @@ from panelforge.operators import account, allocation, cv, options, panel, perfor
 from panelforge.plans import views
 from panelforge.plans.market import _CORR, _FACTORS, _FEATURES, _FOLDS, _LABELLED, _PROBA, IN, OUT, factors, feature_rows, fold_table, named, query
 from panelforge.plans.quotes import _SVI, svi_slices
+from panelforge.plans.sql import rounded, with_
 from panelforge.plans.views import PERIODS, RATE
 
 QUERIES: dict = {}
@@ -116,6 +117,24 @@ def p20(spark, d):
     return performance.factor_decomposition(views.daily(spark, d), factors(spark, d), 0.0, 5, 30, PERIODS)
 
 
+# Rows of (X'X)^-1 X' by residuals of each factor on the other two; the constant's row follows from the means. Five lags, weights 1 - h / 6.
+_SLOPES = """SELECT *, (b * h - c * f) / (e * h - f * f) AS p1, (c * e - b * f) / (e * h - f * f) AS p2, (b * h - f * c) / (a * h - c * c) AS q1, (f * a - b * c) / (a * h - c * c) AS q2, (c * e - f * b) / (a * e - b * b) AS r1, (f * a - c * b) / (a * e - b * b) AS r2 FROM solved"""
+_ROWS_OF = """SELECT *, 1.0 / n - m1 * z1 - m2 * z2 - m3 * z3 AS z0 FROM (
+  SELECT d.book, d.date, s.n, s.m1, s.m2, s.m3, d.ret - s.my - s.b1 * (x.mkt - s.m1) - s.b2 * (x.smb - s.m2) - s.b3 * (x.hml - s.m3) AS e,
+    ((x.mkt - s.m1) - s.p1 * (x.smb - s.m2) - s.p2 * (x.hml - s.m3)) / (s.n * (s.a - s.p1 * s.b - s.p2 * s.c)) AS z1,
+    ((x.smb - s.m2) - s.q1 * (x.mkt - s.m1) - s.q2 * (x.hml - s.m3)) / (s.n * (s.e - s.q1 * s.b - s.q2 * s.f)) AS z2,
+    ((x.hml - s.m3) - s.r1 * (x.mkt - s.m1) - s.r2 * (x.smb - s.m2)) / (s.n * (s.h - s.r1 * s.c - s.r2 * s.f)) AS z3
+  FROM daily d JOIN factors x ON x.date = d.date JOIN slopes s ON s.book = d.book WHERE x.mkt IS NOT NULL AND x.smb IS NOT NULL AND x.hml IS NOT NULL AND d.ret IS NOT NULL)"""
+_LONG = " UNION ALL ".join(f"SELECT book, date, {k} AS k, e * z{k} AS u FROM rows_of" for k in range(4))
+_HAC = "SELECT book, k, sqrt(greatest(0, sum(u * u) + 2 * (" + " + ".join(f"{1 - h / 6!r} * coalesce(sum(u * u{h}), 0)" for h in range(1, 6)) + "))) AS se FROM (SELECT *, " + ", ".join(f"lag(u, {h}) OVER (PARTITION BY book, k ORDER BY date) AS u{h}" for h in range(1, 6)) + " FROM long_rows) GROUP BY 1, 2"
+_SE = "SELECT book, " + ", ".join(f"max(CASE WHEN k = {k} THEN se END) AS se{k}" for k in range(4)) + " FROM hac GROUP BY 1"
+_DECOMPOSED = f"""SELECT *, 2 * (1 - {norm_cdf_sql('abs(alpha_t)')}) AS alpha_p FROM (
+  SELECT s.book, (my - b1 * m1 - b2 * m2 - b3 * m3) * {PERIODS} AS alpha_annual, (my - b1 * m1 - b2 * m2 - b3 * m3) / se0 AS alpha_t, b1 AS beta_mkt, b2 AS beta_smb, b3 AS beta_hml, b1 / se1 AS t_mkt, b2 / se2 AS t_smb, b3 / se3 AS t_hml, (b1 * y1 + b2 * y2 + b3 * y3) / yy AS r_squared, n
+  FROM solved s JOIN errors z ON z.book = s.book)"""
+_KINDS = {c: "k" if c == "book" else "i" if c == "n" else "f" for c in ("book", "alpha_annual", "alpha_t", "alpha_p", "beta_mkt", "beta_smb", "beta_hml", "t_mkt", "t_smb", "t_hml", "r_squared", "n")}
+SQL["p20_factor_decomposition"] = with_(rounded(_KINDS, _DECOMPOSED), factors=_FACTORS, sums=_SUMS, solved=_CRAMER, slopes=_SLOPES, rows_of=_ROWS_OF, long_rows=_LONG, hac=_HAC, errors=_SE)
+
+
 @closed("r16_exceedances", "book:k threshold:f n_exceedances:i", "SELECT u.book, any_value(u.u) AS threshold, sum(CASE WHEN -d.ret > u.u THEN 1 ELSE 0 END) AS n_exceedances FROM daily d JOIN (SELECT book, quantile_cont(-ret, 0.9) AS u FROM daily GROUP BY 1) u ON u.book = d.book GROUP BY 1")
 def r16(spark, d):
     return solvers.evt_tails(views.daily(spark, d))
