@@ -14,7 +14,8 @@ bounds the broadcast.
 
 Edge cases: null and empty texts have no features and get the score of the bias
 alone; without any settled training label every score is 0.5; repeated rows get
-equal scores; documents with contradictory labels are not learnt from; other
+equal scores; documents with contradictory labels are not learnt from; a very long text
+counts whole (its n-grams' relative frequencies), in memory in proportion to it; other
 columns are ignored.
 """
 

@@ -16,7 +16,7 @@ Paths go through pyarrow's file systems (local, HDFS, S3, GCS by URI).
 A payload is the body of the HTTP response that a ``response`` record holds; a ``revisit``
 holds the HTTP headers alone and names the record that has the payload.
 
-Edge cases: a null payload is an empty one; a payload may hold any bytes; header values
+Edge cases: a null payload is an empty one; a payload may hold any bytes and is held whole, however long; header values
 lose line breaks; archives of other writers without ``sl`` are read by inflating,
 with or without a ``warcinfo`` record (it has a type, and headers as it gives them); an archive, of whatever size, is one task's; a
 truncated record raises an error; an empty table makes no archive, and an empty folder reads as an empty table.

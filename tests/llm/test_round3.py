@@ -1,11 +1,12 @@
-"""Source targets with long texts, and a toxicity model that doesn't hang on how rows are dealt."""
+"""Source targets with long texts, a toxicity model that doesn't hang on how rows are dealt, scores of quality, pushed WARC predicates."""
 
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from panelforge.llm import source_mix, toxicity
+from panelforge.llm import quality_classifier, source_mix, toxicity, warc
 from tests.llm.test_operators import documents, words
 
 
@@ -46,3 +47,34 @@ def test_toxicity_model_is_the_same_however_rows_are_dealt(spark):
     held = toxicity.score(docs, models[0]).where("doc_id % 4 = 0").join(marks, "doc_id").collect()
     toxic, clean = [r for r in held if r.toxic], [r for r in held if not r.toxic]
     assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic) and sum(r.predicted for r in clean) <= 0.05 * len(clean)
+
+
+def test_quality_scores_equal_a_plain_sum(spark):
+    rng = random.Random(6)
+    rows = [(i, words(rng, rng.randint(0, 40)), "en", "s") for i in range(30)] + [(40, None, "en", "s"), (41, "", "en", "s"), (42, "Long text. " * 5000, "en", "s")]
+    weights = np.zeros((1 << 12) + 1)
+    at = np.random.default_rng(0).integers(0, 1 << 12, 900)
+    weights[at] = np.random.default_rng(1).normal(size=900)
+    weights[-1] = -0.3
+    got = {r.doc_id: (r.score, r.predicted) for r in quality_classifier.score(documents(spark, rows), weights, bits=12).collect()}
+    for i, text, _, _ in rows:
+        total, found = 0.0, quality_classifier.slots(text, 12).tolist()
+        for slot in found:
+            total += float(weights[slot]) / len(found) * quality_classifier.SCALE
+        want = 1 / (1 + np.exp(-(total + weights[-1])))
+        assert abs(got[i][0] - want) < 1e-5 and got[i][1] == int(got[i][0] >= quality_classifier.THRESHOLD)
+
+
+def test_warc_predicates_keep_payloads_deflated(spark, tmp_path):
+    """A record whose payload is damaged is read past when a pushed predicate rules it out, and raises when it is wanted."""
+    body = [bytes(random.Random(i).choices(b"0123456789abcdef", k=600_000)) for i in range(3)]
+    members = [warc.member(warc.record("response", f"<urn:page:{i}>", f"u{i}", "d", b, len(b))) for i, b in enumerate(body)]
+    broken = bytearray(members[1])
+    broken[200_000:200_400] = b"\xff" * 400
+    (tmp_path / "a.warc.gz").write_bytes(members[0] + bytes(broken) + members[2])
+    warc.register(spark)
+    rows = warc.read(spark, f"file://{tmp_path}")
+    assert {bytes(r.payload) for r in rows.where("target_uri = 'u2' AND warc_type = 'response'").collect()} == {body[2]}
+    assert {r.target_uri for r in warc.read(spark, f"file://{tmp_path}", payload=False).collect()} == {"u0", "u1", "u2"}
+    with pytest.raises(Exception, match=r"(?i)error"):
+        rows.where("target_uri = 'u1'").collect()
