@@ -226,6 +226,6 @@ _P = lambda b: f"max(CASE WHEN bump = '{b}' THEN price END)"
     digits=4, bumps=_BUMPS, bumped=_BUMPED, repriced=_REPRICED,
 )
 def o5(spark, d):
-    q = options.clean(views.quotes(spark, d)).withColumn("id", F.concat_ws("|", "underlying", "expiry", "strike", "option_type"))
-    at = options.bumped_greeks(q, options.closed_form, rate=RATE, vol="true_vol")
+    bumped = lambda terms: options.bumped_greeks(terms.withColumn("id", F.struct(*views.TERMS)), options.closed_form, rate=RATE, vol="true_vol").drop("id")
+    at = views.once(spark, d, "bumped", options.clean(views.quotes(spark, d)), bumped)
     return at.withColumns({c: F.round(c, 3) for c in _FD})

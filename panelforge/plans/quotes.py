@@ -72,19 +72,24 @@ def o3(spark, d):
 
 @query("o4_american", "underlying:k expiry:k strike:f option_type:k american:f european:f premium:f", digits=4)
 def o4(spark, d):
-    return options.early_exercise(options.clean(views.quotes(spark, d)), rate=RATE, vol="true_vol")
+    return views.once(spark, d, "american", options.clean(views.quotes(spark, d)), lambda terms: options.early_exercise(terms, rate=RATE, vol="true_vol"))
 
 
 @query("o5_american_greeks", "underlying:k expiry:k strike:f option_type:k price:f fd_delta:f fd_gamma:f fd_theta:f fd_vega:f fd_rho:f", digits=4)
 def o5_american(spark, d):
-    return options.american_greeks(options.clean(views.quotes(spark, d)), RATE, vol="true_vol")
+    return american_greeks(spark, d, options.clean(views.quotes(spark, d)))
+
+
+def american_greeks(spark, d, quoted: DataFrame) -> DataFrame:
+    return views.once(spark, d, "american-greeks", quoted, lambda terms: options.american_greeks(terms, RATE, vol="true_vol"))
 
 
 @query("o5_american_calls", "underlying:k expiry:k strike:f price:k delta:k gamma:k vega:k rho:k", "SELECT underlying, expiry, strike, true AS price, true AS delta, true AS gamma, true AS vega, true AS rho FROM flagged WHERE reason IS NULL AND option_type = 'call'", digits=4)
 def o5_calls(spark, d):
     """Calls without dividends, which early exercise gains nothing: whether the tree's figures are the closed form's, to the tree's own error."""
-    calls = options.clean(views.quotes(spark, d)).where("option_type = 'call'")
-    at = options.with_greeks(options.american_greeks(calls, RATE, vol="true_vol").withColumnRenamed("price", "tree"), RATE, vol="true_vol")
+    quoted = options.clean(views.quotes(spark, d))
+    calls = american_greeks(spark, d, quoted).where("option_type = 'call'")
+    at = options.with_greeks(calls.withColumnRenamed("price", "tree"), RATE, vol="true_vol")
     at = options.with_price(at, *(F.col(c) for c in ("spot", "strike", "tte", "true_vol")), F.lit(True), RATE, out="fair")
     near = lambda a, b, e: F.abs(F.col(a) - F.col(b)) <= e
     spot = F.col("spot")

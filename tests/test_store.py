@@ -23,3 +23,26 @@ def test_a_view_is_built_again_when_a_table_changes(spark, tmp_path):
     assert view().count() == 5 and len(built) == 2
     fs, at = store._files(spark, old)
     assert not fs.exists(at)
+
+
+def test_equal_quotes_are_priced_once(spark, tmp_path):
+    from panelforge.plans import registry, views
+
+    spark.createDataFrame([(k, 901.0) for k in (11, 21, 31, 41)], "p_partkey long, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    queries = registry.queries()
+    for name, view in (("o4_american", "american"), ("o5_american_greeks", "american-greeks"), ("o5_bumped_greeks", "bumped")):
+        got = queries[name](spark, str(tmp_path)).collect()
+        priced = spark.read.parquet(store._PATHS[spark.sparkContext.applicationId, str(tmp_path), view][1])
+        assert len(got) == 4 * priced.count() and priced.count() == priced.select(*views.TERMS).distinct().count()
+        by = {}
+        for r in got:
+            by.setdefault((r.expiry, r.strike, r.option_type), set()).add(tuple(r)[4:])
+        assert all(len(x) == 1 for x in by.values())
+
+
+def test_generated_methods_are_small_enough_to_be_compiled(spark, tmp_path):
+    from panelforge.plans import registry
+
+    spark.createDataFrame([(1, 901.0)], "p_partkey long, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    assert registry.queries()["o3_greeks"](spark, str(tmp_path)).count() > 0
+    assert int(spark.conf.get(registry.METHOD_SETTING)) <= 8000
