@@ -56,9 +56,14 @@ def snapshots(quotes: DataFrame) -> DataFrame:
     return quotes.select("underlying", "quote_date", "snapshot").distinct()
 
 
-def last_snapshots(quotes: DataFrame) -> DataFrame:
-    """The quotes of each day's last snapshot."""
-    last = quotes.groupBy("underlying", "quote_date").agg(F.max("snapshot").alias("snapshot"))
+def last_times(quotes: DataFrame) -> DataFrame:
+    """underlying, quote_date and the last snapshot of each day."""
+    return quotes.groupBy("underlying", "quote_date").agg(F.max("snapshot").alias("snapshot"))
+
+
+def last_snapshots(quotes: DataFrame, last: DataFrame | None = None) -> DataFrame:
+    """The quotes of each day's last snapshot; ``last`` may hold ``last_times``."""
+    last = last_times(quotes) if last is None else last
     return quotes.join(last, ["underlying", "quote_date", "snapshot"], "left_semi")
 
 
