@@ -200,10 +200,19 @@ def _slices(points: DataFrame, least: int) -> DataFrame:
     return at.where(F.size("points") >= least)
 
 
-def _fitted(points: DataFrame, names: tuple[str, ...], fit: Callable, model: Callable, least: int) -> DataFrame:
+def _once(rows: DataFrame, shape: str, run: Callable, schema: str, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows with what ``run`` gives for their ``shape``: equal shapes are fitted once. ``kept`` may write the fits, so that Spark knows their size before it joins."""
+    shapes = rows.select(shape).distinct().repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, shape)  # small rows, long work a row
+    return rows.join(kept(shapes.mapInPandas(run, schema)), shape).drop(shape)
+
+
+def _as_it_is(made: DataFrame) -> DataFrame:
+    return made
+
+
+def _fitted(points: DataFrame, names: tuple[str, ...], fit: Callable, model: Callable, least: int, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """SLICE, tte, the parameters, rmse and n of each slice."""
     rows = _slices(points, least)
-    kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -213,30 +222,29 @@ def _fitted(points: DataFrame, names: tuple[str, ...], fit: Callable, model: Cal
                 k, w, s = _padded(part["points"].tolist(), int(n.max()))
                 p = fit(k, w, s)
                 gap = np.where(s > 0, model(k, p) - w, 0.0)
-                out = part[[*SLICE, "tte"]].copy()
+                out = part[["points"]].copy()
                 for i, c in enumerate(names):
                     out[c] = p[:, i]
                 out["rmse"], out["n"] = np.sqrt((gap * gap).sum(1) / n), n
                 yield out
 
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (*SLICE, "tte")) + "".join(f", {c} double" for c in (*names, "rmse")) + ", n long"
-    return rows.mapInPandas(run, schema)
+    schema = f"points {dict(rows.dtypes)['points']}" + "".join(f", {c} double" for c in (*names, "rmse")) + ", n long"
+    return _once(rows, "points", run, schema, kept).select(*SLICE, "tte", *names, "rmse", "n")
 
 
-def svi_slices(points: DataFrame, no_butterfly: bool = False, least: int = LEAST) -> DataFrame:
+def svi_slices(points: DataFrame, no_butterfly: bool = False, least: int = LEAST, kept: Callable[[DataFrame], DataFrame] = _as_it_is) -> DataFrame:
     """SLICE, tte, a, b, rho, m, sigma, rmse, n of each slice of ``least`` points or more, weighed by 1 / spread."""
-    return _fitted(points, ("a", "b", "rho", "m", "sigma"), lambda k, w, s: svi_fit(k, w, s, no_butterfly), svi, least)
+    return _fitted(points, ("a", "b", "rho", "m", "sigma"), lambda k, w, s: svi_fit(k, w, s, no_butterfly), svi, least, kept)
 
 
-def ssvi_slices(points: DataFrame, least: int = LEAST) -> DataFrame:
+def ssvi_slices(points: DataFrame, least: int = LEAST, kept: Callable[[DataFrame], DataFrame] = _as_it_is) -> DataFrame:
     """SLICE, tte, theta, rho, psi, rmse, n of each slice."""
-    return _fitted(points, ("theta", "rho", "psi"), ssvi_fit, ssvi, least)
+    return _fitted(points, ("theta", "rho", "psi"), ssvi_fit, ssvi, least, kept)
 
 
-def ssvi_surfaces(points: DataFrame, least: int = LEAST) -> DataFrame:
+def ssvi_surfaces(points: DataFrame, least: int = LEAST, kept: Callable[[DataFrame], DataFrame] = _as_it_is) -> DataFrame:
     """SURFACE, tte, rho, eta, gamma, theta, psi, rmse, n: one surface a key, a row a maturity. Keys with fewer than two maturities of ``least`` points have none."""
     one = _slices(points, least).groupBy(*SURFACE).agg(F.array_sort(F.collect_list(F.struct("tte", "points"))).alias("mats")).where(F.size("mats") >= 2)
-    kinds = dict(one.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -251,14 +259,15 @@ def ssvi_surfaces(points: DataFrame, least: int = LEAST) -> DataFrame:
                     p = np.stack([theta, np.broadcast_to(rho[:, None], theta.shape), psi], 2).reshape(-1, 3)
                     gap = np.where(s > 0, ssvi(k.reshape(-1, width), p).reshape(k.shape) - w, 0.0)
                     n = (s > 0).sum(2)
-                    out = part[list(SURFACE)].loc[part.index.repeat(m)].reset_index(drop=True)
-                    out["tte"] = [x["tte"] for row in mats for x in row]
-                    for c, v in (("rho", rho), ("eta", eta), ("gamma", gamma)):
-                        out[c] = np.repeat(v, m)
-                    out["theta"], out["psi"], out["rmse"], out["n"] = theta.ravel(), psi.ravel(), np.sqrt((gap * gap).sum(2) / n).ravel(), n.ravel()
+                    rmse = np.sqrt((gap * gap).sum(2) / n)
+                    values = np.stack([np.broadcast_to(x, theta.shape) for x in ([[y["tte"] for y in row] for row in mats], rho[:, None], eta[:, None], gamma[:, None], theta, psi, rmse)], 2)
+                    out = part[["mats"]].copy()
+                    out["fits"] = [[(*map(float, v), int(c)) for v, c in zip(*row, strict=True)] for row in zip(values, n, strict=True)]
                     yield out
 
-    return one.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in SURFACE) + ", tte double, rho double, eta double, gamma double, theta double, psi double, rmse double, n long")
+    names = ("tte", "rho", "eta", "gamma", "theta", "psi", "rmse")
+    schema = f"mats {dict(one.dtypes)['mats']}, fits array<struct<{', '.join(f'{c}: double' for c in names)}, n: long>>"
+    return _once(one, "mats", run, schema, kept).select(*SURFACE, F.explode("fits").alias("x")).select(*SURFACE, "x.*")
 
 
 def butterfly_free(theta: Column, rho: Column, psi: Column, tolerance: float = 1e-9) -> Column:

@@ -178,12 +178,12 @@ def surface_rows(spark, d, falls: float = 1.0) -> DataFrame:
 def o16(spark, d):
     root = lambda k: F.sqrt((k - F.col("m")) * (k - F.col("m")) + F.col("sigma") * F.col("sigma"))
     pts = _smile(svi_slices(spark, d), lambda k: F.col("a") + F.col("b") * (F.col("rho") * (k - F.col("m")) + root(k)))
-    return smiles.svi_slices(pts.repartition("underlying"))
+    return smiles.svi_slices(pts.repartition("underlying"), kept=views.kept(spark, d, "svi-planted"))
 
 
 @closed("o19_ssvi_recovered", "underlying:k theta:f rho:f psi:f", "SELECT * FROM planted", digits=4, planted=_SSVI)
 def o19(spark, d):
-    return smiles.ssvi_slices(_smile(ssvi_rows(spark, d), _ssvi).repartition("underlying"))
+    return smiles.ssvi_slices(_smile(ssvi_rows(spark, d), _ssvi).repartition("underlying"), kept=views.kept(spark, d, "ssvi-planted"))
 
 
 @closed("o19_ssvi_as_svi", "underlying:k a:f b:f rho:f m:f sigma:f", "SELECT underlying, theta / 2 * (1 - rho * rho) AS a, theta * psi / 2 AS b, rho, -rho / psi AS m, sqrt(1 - rho * rho) / psi AS sigma FROM planted", planted=_SSVI)
@@ -193,7 +193,7 @@ def o19b(spark, d):
 
 @closed("o20_surface_recovered", "underlying:k tte:f rho:f eta:f gamma:f theta:f psi:f", "SELECT * FROM planted", digits=3, planted=_SURFACES.format("1.0"))
 def o20(spark, d):
-    return smiles.ssvi_surfaces(_smile(surface_rows(spark, d).drop("as_of"), _ssvi).repartition("underlying"))
+    return smiles.ssvi_surfaces(_smile(surface_rows(spark, d).drop("as_of"), _ssvi).repartition("underlying"), kept=views.kept(spark, d, "surface-planted"))
 
 
 _RULES = """SELECT underlying, bool_and(theta * (1 + abs(rho)) * psi < 4 AND theta * (1 + abs(rho)) * psi * psi <= 4) AS butterfly_free, bool_and(coalesce(theta >= before - 1e-6, true) AND coalesce(slope >= -1e-6 AND slope <= (1 + sqrt(1 - rho * rho)) / nullif(rho * rho, 0) + 1e-6, slope >= -1e-6)) AS calendar_free

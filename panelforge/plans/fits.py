@@ -185,7 +185,7 @@ def p23_full_tearsheet(spark: SparkSession, d: str) -> DataFrame:
 
 
 def o16_svi_fits(spark: SparkSession, d: str) -> DataFrame:
-    return smiles.svi_slices(true_points(spark, d))
+    return smiles.svi_slices(true_points(spark, d), kept=views.kept(spark, d, "svi-fits"))
 
 
 def o17_butterfly_free(spark: SparkSession, d: str) -> DataFrame:
@@ -200,24 +200,25 @@ def o17_butterfly_free(spark: SparkSession, d: str) -> DataFrame:
         return F.pow(1 - k * first / (2 * w), F.lit(2.0)) - first * first / 4 * (1 / w + 0.25) + second / 2
 
     grid = F.transform(F.sequence(F.lit(-36), F.lit(36)), lambda i: i / 40.0)
-    return at.select("underlying", "as_of", "expiry", F.forall(grid, lambda k: g(k) >= -1e-3).alias("free"))
+    checked = views.once(spark, d, "svi-free", at, lambda fits: fits.withColumn("free", F.forall(grid, lambda k: g(k) >= -1e-3)), ("a", "b", "rho", "m", "sigma"))
+    return checked.select("underlying", "as_of", "expiry", "free")
 
 
 def o17_svi_no_butterfly(spark: SparkSession, d: str) -> DataFrame:
-    return smiles.svi_slices(true_points(spark, d), no_butterfly=True)
+    return smiles.svi_slices(true_points(spark, d), no_butterfly=True, kept=views.kept(spark, d, "svi-fits-free"))
 
 
 def o19_ssvi_slices(spark: SparkSession, d: str) -> DataFrame:
-    return smiles.ssvi_slices(true_points(spark, d))
+    return smiles.ssvi_slices(true_points(spark, d), kept=views.kept(spark, d, "ssvi-fits"))
 
 
 def o20_ssvi_surfaces(spark: SparkSession, d: str) -> DataFrame:
-    return smiles.ssvi_surfaces(true_points(spark, d))
+    return smiles.ssvi_surfaces(true_points(spark, d), kept=views.kept(spark, d, "surface-fits"))
 
 
 def o21_ssvi_checks(spark: SparkSession, d: str) -> DataFrame:
     """The rules' verdict and the pointwise one on fitted surfaces."""
-    at = smiles.ssvi_surfaces(true_points(spark, d))
+    at = smiles.ssvi_surfaces(true_points(spark, d), kept=views.kept(spark, d, "surface-fits"))
     return smiles.surface_checks(at).withColumnRenamed("calendar_free", "calendar_by_rule").join(smiles.pointwise_calendar(at), ["underlying", "as_of"])
 
 

@@ -208,3 +208,19 @@ def test_meta_labels_and_book(spark):
     )
     got = signals.meta_labels(rows).orderBy("date").collect()
     assert [x.meta for x in got] == [1.0, 1.0, None, None, None]  # what the next row pays; null without a side or a return
+
+
+def test_equal_slices_and_surfaces_are_fitted_once(spark):
+    from panelforge.operators import smiles
+
+    smile = [(t, k, (0.2 + 0.1 * k * k - 0.05 * k) ** 2 * t, 0.1) for t in (0.25, 1.0) for k in (-0.3, -0.2, -0.1, 0.0, 0.1, 0.2)]
+    pts = spark.createDataFrame([(u, "d", str(t), t, k, w, s) for u in range(5) for t, k, w, s in smile], "underlying int, as_of string, expiry string, tte double, log_moneyness double, total_variance double, spread double")
+    for fit, n, rows in ((smiles.svi_slices, 2, 10), (smiles.ssvi_slices, 2, 10), (smiles.ssvi_surfaces, 1, 10)):
+        fits = []
+
+        def kept(made, fits=fits):
+            fits.append(made.count())
+            return made
+
+        got = [tuple(r) for r in fit(pts, kept=kept).collect()]
+        assert fits == [n] and len(got) == rows and len({r[2:] for r in got}) <= 4 and len({r[0] for r in got}) == 5
