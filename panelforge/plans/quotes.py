@@ -51,7 +51,8 @@ def o1b(spark, d):
 @query("o2_price", "underlying:k expiry:k strike:f option_type:k price:f", "SELECT underlying, expiry, strike, option_type, fair AS price FROM quotes", digits=4)
 def o2(spark, d):
     q = views.quotes(spark, d)
-    return options.with_price(q, F.col("spot"), F.col("strike"), F.col("tte"), F.col("true_vol"), F.col("option_type") == "call", RATE)
+    priced = lambda terms: options.with_price(terms, F.col("spot"), F.col("strike"), F.col("tte"), F.col("true_vol"), F.col("option_type") == "call", RATE)
+    return views.once(spark, d, "prices", q, priced)
 
 
 _D = f"SELECT *, d1 - true_vol * sqrt(tte) AS d2 FROM (SELECT *, (ln(spot / strike) + ({RATE} + true_vol * true_vol / 2) * tte) / (true_vol * sqrt(tte)) AS d1 FROM flagged WHERE reason IS NULL)"
@@ -67,7 +68,11 @@ _C = "option_type = 'call'"
     digits=5, dd=_D,
 )
 def o3(spark, d):
-    return options.trader_units(options.with_greeks(options.clean(views.quotes(spark, d)), RATE, vol="true_vol"))
+    return options.trader_units(greeks(spark, d))
+
+
+def greeks(spark, d) -> DataFrame:
+    return views.once(spark, d, "greeks", options.clean(views.quotes(spark, d)), lambda terms: options.with_greeks(terms, RATE, vol="true_vol"))
 
 
 @query("o4_american", "underlying:k expiry:k strike:f option_type:k american:f european:f premium:f", digits=4)
@@ -103,8 +108,12 @@ def o6(spark, d):
 
 @query("o7_implied_vol", "underlying:k expiry:k strike:f option_type:k implied_vol:f reason:k", "SELECT underlying, expiry, strike, option_type, true_vol AS implied_vol, 'ok' AS reason FROM otm", digits=4)
 def o7(spark, d):
+    return implied(spark, d)
+
+
+def implied(spark, d) -> DataFrame:
     otm = options.with_forward(options.clean(views.quotes(spark, d)), RATE)
-    return options.implied_vols(otm, RATE)
+    return views.once(spark, d, "implied", otm, lambda terms: options.implied_vols(terms, RATE), ("mid", "spot", "strike", "tte", "option_type"))
 
 
 @query("o8_forward", "underlying:k expiry:k strike:f option_type:k forward:f log_moneyness:f", "SELECT * FROM otm", digits=4)
@@ -114,8 +123,7 @@ def o8(spark, d):
 
 @query("o9_points", "underlying:k expiry:k strike:f option_type:k implied_vol:f total_variance:f call_price:f", "SELECT * FROM points", digits=4)
 def o9(spark, d):
-    otm = options.with_forward(options.clean(views.quotes(spark, d)), RATE)
-    return options.points(options.implied_vols(otm, RATE), RATE)
+    return options.points(implied(spark, d), RATE)
 
 
 _SEG = """SELECT underlying, as_of, tte AS t, log_moneyness AS x0, total_variance AS y0, lead(log_moneyness) OVER w AS x1, lead(total_variance) OVER w AS y1, row_number() OVER w AS r FROM points WINDOW w AS (PARTITION BY underlying, as_of, tte ORDER BY log_moneyness)"""
@@ -234,7 +242,7 @@ def o23b(spark, d):
 
 @query("o24_pick_contracts", "id:k underlying:k expiry:k strike:f option_type:k", f"""SELECT id, underlying, expiry, strike, option_type FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(abs(vendor_delta) - 0.3), strike) AS r FROM (SELECT *, underlying || '|' || option_type AS id, dense_rank() OVER (PARTITION BY underlying, option_type ORDER BY abs(tte * 365 - 120), expiry) AS e FROM deltas) WHERE e = 1) WHERE r = 1""", digits=4, dd=_D, deltas=f"SELECT *, CASE WHEN {_C} THEN {norm_cdf_sql('d1')} ELSE -{norm_cdf_sql('(-d1)')} END AS vendor_delta FROM dd")
 def o24(spark, d):
-    q = options.with_greeks(options.clean(views.quotes(spark, d)), RATE, vol="true_vol").withColumnRenamed("delta", "vendor_delta")
+    q = greeks(spark, d).withColumnRenamed("delta", "vendor_delta")
     targets = q.select("underlying", "as_of", "option_type").distinct().select(F.concat_ws("|", "underlying", "option_type").alias("id"), "*", F.lit(120.0).alias("days"), F.lit(0.3).alias("delta"))
     return options.pick_contracts(targets, q)
 
