@@ -277,17 +277,18 @@ def tail_fits(over_: DataFrame, least: int = 10, rounds: int = 5, points: int =
     high = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.exp(math.log(1e-3) + i * (math.log(30 / 1e-3) / (points - 1))) / F.col("mean"))
     grid = stats.select("book", "mean", F.concat(low, high).alias("grid"))
     for last in (*[False] * (rounds - 1), True):
-        sums = over_.join(grid, "book").select("book", "x", F.posexplode("grid").alias("i", "t")).groupBy("book", "i", "t").agg(F.avg(F.log1p(F.col("t") * F.col("x"))).alias("xi"))
+        i = F.col("i")
+        at = over_.join(grid, "book").select("book", "x", "mean", "grid", F.posexplode("grid").alias("i", "t"))
+        # each cell carries its neighbours: the next grid needs no join with this one, which would double the plan a round
+        at = at.select("book", "x", "mean", "i", "t", F.get("grid", F.greatest(F.lit(0), i - 1)).alias("a"), F.get("grid", F.least(F.size("grid") - 1, i + 1)).alias("b"))
+        sums = at.groupBy("book", "mean", "i", "t", "a", "b").agg(F.avg(F.log1p(F.col("t") * F.col("x"))).alias("xi"))
         sums = sums.where("xi > -0.5").withColumn("like", -(F.ln(F.col("xi") / F.col("t")) + F.col("xi") + 1))
-        best = sums.groupBy("book").agg(F.max_by(F.struct("i", "t", "xi"), "like").alias("b"))
+        best = sums.groupBy("book").agg(F.max_by(F.struct("i", "t", "xi", "a", "b", "mean"), "like").alias("b"))
         if last:
             return best.select("book", F.col("b.xi").alias("xi"), (F.col("b.xi") / F.col("b.t")).alias("beta"))
-        at = grid.join(best, "book")
-        size, i = F.size("grid"), F.col("b.i")
-        a, b = F.get("grid", F.greatest(F.lit(0), i - 1)), F.get("grid", F.least(size - 1, i + 1))
         tiny = 1e-9 / F.col("mean")
-        finer = F.transform(F.sequence(F.lit(0), F.lit(points)), lambda j: a + (b - a) * (j / float(points)))  # noqa: B023
-        grid = at.select("book", "mean", F.transform(finer, lambda t: F.when(F.abs(t) < tiny, tiny).otherwise(t)).alias("grid"))  # noqa: B023
+        finer = F.transform(F.sequence(F.lit(0), F.lit(points)), lambda j: F.col("a") + (F.col("b") - F.col("a")) * (j / float(points)))
+        grid = best.select("book", "b.mean", "b.a", "b.b").select("book", "mean", F.transform(finer, lambda t: F.when(F.abs(t) < tiny, tiny).otherwise(t)).alias("grid"))  # noqa: B023
 
 
 def gpd_fit(e: np.ndarray) -> tuple[float, float]:

@@ -35,3 +35,11 @@ def test_tails_of_books(spark):
     assert got["b"].threshold == pytest.approx(u) and got["b"].n_exceedances == 150
     assert got["b"].var == pytest.approx(var, rel=1e-3) and got["b"].es == pytest.approx((var + beta - xi * u) / (1 - xi), rel=1e-2)
     assert got["short"].n_exceedances == 2 and got["short"].xi is None and got["short"].es is None
+
+
+def test_a_round_adds_to_the_plan_of_a_tail_fit_and_does_not_double_it(spark):
+    from panelforge.operators import solvers
+
+    x = spark.createDataFrame([("a", float(k)) for k in range(1, 40)], "book string, x double")
+    joins = lambda n: solvers.tail_fits(x, 10, n)._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(5) - joins(4) == joins(2) - joins(1)
