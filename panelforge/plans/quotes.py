@@ -29,10 +29,10 @@ def query(name: str, columns: str, source: str | None = None, digits: int = 6, *
 
 
 def true_points(spark, d) -> DataFrame:
-    """Surface points from the known volatility."""
+    """Surface points from the known volatility, straight from the parts: a part's quotes are made in one task, so neither the quotes are written nor a row of them shuffled."""
 
     def build() -> DataFrame:
-        otm = options.with_forward(options.clean(views.quotes(spark, d)), RATE)
+        otm = options.with_forward(options.clean(views.priced_quotes(spark, d)), RATE)
         return options.points(otm, RATE, vol="true_vol")
 
     return stored(spark, d, "points", build)

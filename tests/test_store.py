@@ -46,3 +46,22 @@ def test_generated_methods_are_small_enough_to_be_compiled(spark, tmp_path):
     spark.createDataFrame([(1, 901.0)], "p_partkey long, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
     assert registry.queries()["o3_greeks"](spark, str(tmp_path)).count() > 0
     assert int(spark.conf.get(registry.METHOD_SETTING)) <= 8000
+
+
+def test_points_are_made_where_their_part_is(spark, tmp_path, monkeypatch):
+    """Neither are all quotes written for the points, nor is a row of them shuffled; tasks grow with the parts."""
+    from panelforge.operators import options
+    from panelforge.plans import quotes, views
+
+    d = str(tmp_path)
+    spark.createDataFrame([(k, 900.0 + k) for k in range(60)], "p_partkey long, p_retailprice double").write.parquet(f"{d}/part.parquet")
+    built = []
+    monkeypatch.setattr(quotes, "stored", lambda spark, d, name, build: built.append(build()) or built[-1])
+    points = quotes.true_points(spark, d)
+    assert (spark.sparkContext.applicationId, d, "quotes") not in store._PATHS
+    plan = points._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange" not in plan[: plan.index("Generate")]
+    before = options.points(options.with_forward(options.clean(views.quotes(spark, d)), views.RATE), views.RATE, vol="true_vol")
+    assert sorted(points.collect()) == sorted(before.collect()) and before.count() > 1000
+    monkeypatch.setattr(views, "PARTS_A_TASK", 2)
+    assert views.wide_quotes(spark, d).rdd.getNumPartitions() == 30
