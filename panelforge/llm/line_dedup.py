@@ -139,6 +139,8 @@ def near_pairs(documents: DataFrame, firsts: DataFrame) -> DataFrame:
     """doc, th, pos of the first lines that have an earlier line one edit away.
 
     A different line has each of its block keys once, so a key counted twice is one of two lines.
+    Spark sizes variants by the lines they are made of, and lines and lists by their compressed files, all far too low:
+    joins with them are hinted to merge, else the driver collects them for a broadcast.
     """
     shared = firsts.select(F.explode("keys").alias("bk")).groupBy("bk").count().where("count > 1").select("bk")
     spread = firsts.select("nr", F.posexplode("keys").alias("block", "bk"))
@@ -146,7 +148,7 @@ def near_pairs(documents: DataFrame, firsts: DataFrame) -> DataFrame:
     places = hot.join(firsts.select("nr", *_AT), "nr")
     wanted = written(places.groupBy("doc", "th").agg(F.collect_list(F.struct("pos", "blocks")).alias("want")), "line-wanted")  # the lines of one document
     texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), "text")
-    found = texts.join(wanted, ["doc", "th"]).select("doc", "th", "text", "want")
+    found = texts.join(wanted.hint("merge"), ["doc", "th"]).select("doc", "th", "text", "want")
     kind = dict(firsts.dtypes)["doc"]
     candidates = found.mapInArrow(_wanted, f"doc {kind}, th long, pos int, line string, blocks array<int>").dropDuplicates(list(_AT))
     candidates = written(candidates, "line-candidates")
@@ -156,11 +158,11 @@ def near_pairs(documents: DataFrame, firsts: DataFrame) -> DataFrame:
     several = F.max(at) != F.min(at)
     met = emitted.groupBy("key").agg(*least, several.alias("several")).where("several").drop("several")
     partner = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
-    pairs = emitted.join(met, "key").select(*_AT, partner.alias("other")).where(F.col("other") < at).distinct()
+    pairs = emitted.join(met.hint("merge"), "key").select(*_AT, partner.alias("other")).where(F.col("other") < at).distinct()
     pairs = pairs.select(*_AT, *(F.col(f"other.{c}").alias(f"o_{c}") for c in _AT))
     text = candidates.select(*_AT, "line")
     other = text.select(*(F.col(c).alias(f"o_{c}") for c in _AT), F.col("line").alias("o_line"))
-    seen = pairs.join(text, list(_AT)).join(other, [f"o_{c}" for c in _AT])
+    seen = pairs.join(text.hint("merge"), list(_AT)).join(other.hint("merge"), [f"o_{c}" for c in _AT])
     return seen.where(F.levenshtein("line", "o_line", 1) >= 0).select(*_AT).distinct()
 
 
