@@ -21,7 +21,7 @@ def _large_star(e: DataFrame) -> DataFrame:
     low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.max("hub").alias("hub")).where("hub")
     low = low.select(F.col("u").alias("v"), "m", F.explode(F.array(*(F.lit(k) for k in range(SALTS)))).alias("salt"))
     dealt = e.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int"))
-    return _linked(dealt.join(low, ["v", "salt"]).select("u", F.col("m").alias("v")))
+    return _linked(dealt.join(low.hint("merge"), ["v", "salt"]).select("u", F.col("m").alias("v")))  # Spark sizes the exploded rows as one of them
 
 
 def _small_star(e: DataFrame) -> DataFrame:

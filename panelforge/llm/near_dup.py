@@ -249,7 +249,7 @@ def near_duplicates(documents: DataFrame, span: int = SPAN) -> DataFrame:
     classes = written(classes.select(F.monotonically_increasing_id().alias("nr"), F.col("of.doc_id").alias("id"), "of.th", "h1", "h2", "n", "sig"), "near-classes")
     emitted = classes.select("nr", "sig").mapInArrow(_keys, "key long, id long")
     shared = emitted.groupBy("key").count().where("count > 1").select("key")  # a class has each of its keys once
-    live = written(emitted.join(shared, "key", "left_semi").select("key", "id"), "near-live")
+    live = written(emitted.join(shared.hint("merge"), "key", "left_semi").select("key", "id"), "near-live")  # Spark sizes 72 keys a class as less than a class
     asked = classes.join(live.select(F.col("id").alias("nr")).distinct(), "nr", "left_semi").select(F.col("id").alias("doc_id"), "th", "nr")
     sets = texts.join(asked, ["doc_id", "th"]).select("nr", "text").mapInArrow(_sets(span), "id long, sig binary, set binary")
     several = alive.groupBy("doc_id").agg(F.count("*").alias("c"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("c > 1")

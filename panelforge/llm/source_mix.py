@@ -112,7 +112,7 @@ def cuts(sizes: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, weight: s
     """source, source_size, target and, of each round, _rest and _cut: a row a source."""
     goal = targets(sizes, weights, cap)
     extra = F.sum(F.col(weight) * F.col("size")).alias("_weighted") if weight else F.round(F.try_divide(F.sum(lean() * F.col("size")), F.sum("size")), 9).alias("_lean")
-    goal = _with(goal, sizes.groupBy("source").agg(extra))
+    goal = written(_with(goal, sizes.groupBy("source").agg(extra)), "mix-goal")  # unwritten, Spark sizes it above the rows, and broadcasts them
     drawn = _drawn(_beside(sizes, goal), weight, cap)
     mean = drawn.groupBy("source").agg(F.avg("_p").alias("_mean"), F.sum(F.col("_whole") * F.col("size")).alias("_certain"))
     goal = _with(goal, mean)
